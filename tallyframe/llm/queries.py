@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.op1_token_planes import op1_token_planes
 from tallyframe.llm.op6_token_counts import op6_token_counts
+from tallyframe.llm.op8_superminhash import op8_superminhash
 from tallyframe.llm.op10_best_fit import op10_best_fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_planes, op6_token_counts, op10_best_fit)}
+    return {f.__name__: f for f in (op1_token_planes, op6_token_counts, op8_superminhash, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
