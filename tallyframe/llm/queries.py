@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.op1_token_planes import op1_token_planes
+from tallyframe.llm.op4_string_tiling import op4_string_tiling
 from tallyframe.llm.op5_line_spread import OP5_SQL, op5_line_spread
 from tallyframe.llm.op6_token_counts import op6_token_counts
 from tallyframe.llm.op8_superminhash import op8_superminhash
@@ -14,7 +15,7 @@ from tallyframe.llm.op10_best_fit import op10_best_fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_planes, op5_line_spread, op6_token_counts, op8_superminhash, op10_best_fit)}
+    return {f.__name__: f for f in (op1_token_planes, op4_string_tiling, op5_line_spread, op6_token_counts, op8_superminhash, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
