@@ -205,5 +205,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
     )
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` without all but one document of each group.
+
+    The documents that go are joined by doc_id: broadcast while they are few,
+    shuffled beyond that.
+    """
+    gone = kept(near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
