@@ -120,8 +120,11 @@ def sample(docs: DataFrame, usable: Column, label: str, most: int) -> DataFrame:
     return rows.orderBy("h").limit(most) if last is not None else rows.limit(0)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, places: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (places x labels) and bias of the proximal follow-the-regularised-leader."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int | np.ndarray]], n_labels: int, places: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (places x labels) and bias of the proximal follow-the-regularised-leader.
+
+    A row is its places, their values, and a label or the labels' probabilities.
+    """
     z, n = np.zeros((places + 1, n_labels)), np.zeros((places + 1, n_labels))
     rng = np.random.default_rng(7)
 
@@ -137,7 +140,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, places:
             s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
-            p[y] -= 1.0
+            if isinstance(y, int):
+                p[y] -= 1.0
+            else:
+                p -= y
             g = x[:, None] * p
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
@@ -179,7 +185,7 @@ def train(docs: DataFrame, usable: Column, max_train: int = MAX_TRAIN, bits: int
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("label", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-    vectors = sample(docs, usable, "lang", max_train).mapInArrow(step, "h long, label string, at array<int>, x array<float>").toArrow()
+    vectors = sample(docs, usable, "lang", max_train).repartition(16).mapInArrow(step, "h long, label string, at array<int>, x array<float>").toArrow()
     got = sorted(zip(vectors["h"].to_pylist(), vectors["label"].to_pylist(), [np.asarray(v.values) for v in vectors["at"]], [np.asarray(v.values, dtype=np.float64) for v in vectors["x"]], strict=True), key=lambda r: (r[0], r[1]))
     labels = sorted({r[1] for r in got})
     rows = [(at, x, labels.index(label)) for _, label, at, x in got]

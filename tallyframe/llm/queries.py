@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.op1_token_planes import op1_token_planes
 from tallyframe.llm.op2_language import op2_language
+from tallyframe.llm.op3_toxicity import op3_toxicity
 from tallyframe.llm.op4_string_tiling import op4_string_tiling
 from tallyframe.llm.op5_line_spread import OP5_SQL, op5_line_spread
 from tallyframe.llm.op6_token_counts import op6_token_counts
@@ -17,7 +18,7 @@ from tallyframe.llm.op10_best_fit import op10_best_fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_planes, op2_language, op4_string_tiling, op5_line_spread, op6_token_counts, op7_tiles, op8_superminhash, op10_best_fit)}
+    return {f.__name__: f for f in (op1_token_planes, op2_language, op3_toxicity, op4_string_tiling, op5_line_spread, op6_token_counts, op7_tiles, op8_superminhash, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
