@@ -14,11 +14,12 @@ from tallyframe.llm.op5_line_spread import OP5_SQL, op5_line_spread
 from tallyframe.llm.op6_token_counts import op6_token_counts
 from tallyframe.llm.op7_tiles import OP7_SQL, op7_tiles
 from tallyframe.llm.op8_superminhash import op8_superminhash
+from tallyframe.llm.op9_urls import op9_urls
 from tallyframe.llm.op10_best_fit import op10_best_fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_planes, op2_language, op3_toxicity, op4_string_tiling, op5_line_spread, op6_token_counts, op7_tiles, op8_superminhash, op10_best_fit)}
+    return {f.__name__: f for f in (op1_token_planes, op2_language, op3_toxicity, op4_string_tiling, op5_line_spread, op6_token_counts, op7_tiles, op8_superminhash, op9_urls, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
