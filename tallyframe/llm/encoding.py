@@ -21,8 +21,9 @@ import regex
 #: Words after which a worker's memo turns over.  It changes speed and memory only.
 MEMO_WORDS = 250_000
 
-_RUN = re.compile(r"\s\s|\s\Z|[\x1c-\x1f\x85]")
-_ODD = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(r"\s")
+#: str.split also cuts at these control characters, which the vocabulary keeps.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 #: Fixed value: how a byte-level vocabulary without a pattern of its own cuts a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,77 +69,60 @@ def specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in library(path).get_added_tokens_decoder().values())
 
 
-class Memo:
-    """A dictionary of bounded size: the entries used since the last two turnovers."""
+class Memo(dict):
+    """What ``make`` gives for a key, made once; at a turnover, keys not used since the last one go."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those not known; the known ones are in ``new`` afterwards."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        absent = keys.difference(self.new)
-        if absent and self.old:
-            new, old = self.new, self.old
-            known = absent.intersection(old)
-            for key in known:
-                new[key] = old[key]
-            absent -= known
-        return list(absent)
+    def __missing__(self, key: str):
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class ByteLevelEncoder:
     """Ids of texts for a byte-level vocabulary whose words take one leading space."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        self.path = path
-        self.after_space, self.at_start, self.pieces = Memo(memo_words), Memo(memo_words // 8), Memo(memo_words)
-        self.split, self.merge = split_pattern(path).findall, library(path).model.tokenize
+        self.path, self.split, self.specials = path, split_pattern(path).findall, specials(path)
+        merge = library(path).model.tokenize
+        self.pieces = Memo(lambda piece: b"".join([t.id.to_bytes(4, "little") for t in merge(as_letters(piece))]), memo_words)
+        self.after_space = Memo(lambda word: self._word(word, " "), memo_words)
+        self.at_start = Memo(lambda word: self._word(word, ""), memo_words // 4)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(library(self.path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, memo: Memo, words: set[str], lead: str) -> None:
-        absent = memo.missing(words)
-        split, merge, new, pieces = self.split, self.merge, memo.new, self.pieces
-        pieces.missing(set())
-        for word in absent:
-            ids = b""
-            for piece in split(lead + word):
-                got = pieces.new.get(piece) or pieces.old.get(piece)
-                if got is None:
-                    got = b"".join([t.id.to_bytes(4, "little") for t in merge(as_letters(piece))])
-                    pieces.new[piece] = got
-                ids += got
-            new[word] = ids
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """None where the text must go to the library whole."""
+        if not word or _SPACE.search(word) or any(s in word for s in self.specials):
+            return None
+        return b"".join([self.pieces[piece] for piece in self.split(lead + word)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null is an empty text."""
-        cut: list[list[list[str]] | None] = []
-        starts: set[str] = set()
-        rest: set[str] = set()
+        out = []
+        first, after, join = self.at_start, self.after_space.__getitem__, b"".join
         for text in texts:
             if not text:
-                cut.append([])
-            elif _RUN.search(text) or any(s in text for s in specials(self.path)):
-                cut.append(None)
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                for words in lines:
-                    starts.add(words[0])
-                    rest.update(words[1:])
-                cut.append(lines)
-        self._learn(self.at_start, starts, "")
-        self._learn(self.after_space, rest, " ")
-        out = []
-        first, after = self.at_start.new, self.after_space.new.__getitem__
-        for text, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                out.append(self._whole(text or ""))
-            else:
-                out.append(self.newline.join([first[w[0]] + b"".join(map(after, w[1:])) for w in lines]))
+                out.append(b"")
+                continue
+            try:
+                lines = []
+                for line in text.split("\n"):
+                    head, _, rest = line.partition(" ")
+                    lines.append(first[head] + join(map(after, rest.split(" "))) if _ else first[head] + b"")
+                out.append(self.newline.join(lines))
+            except TypeError:
+                out.append(self._whole(text))
+        for memo in (self.pieces, self.after_space, self.at_start):
+            memo.turn()
         return out
 
 
@@ -146,30 +130,28 @@ class WordCounter:
     """Token counts of texts for a vocabulary that drops white space between words."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        self.path = path
-        self.words, self.pieces = Memo(memo_words), Memo(memo_words)
-        self.normal, self.split, self.merge = library(path).normalizer.normalize_str, split_pattern(path).findall, library(path).model.tokenize
+        self.path, self.specials = path, specials(path)
+        self.normal, self.split, merge = library(path).normalizer.normalize_str, split_pattern(path).findall, library(path).model.tokenize
+        self.pieces = Memo(lambda piece: len(merge(as_letters(piece))), memo_words)
+        self.words = Memo(self._word, memo_words)
+
+    def _word(self, word: str) -> int | None:
+        if any(s in word for s in self.specials):
+            return None
+        return sum([self.pieces[piece] for piece in self.split(word.lower() if word.isascii() else self.normal(word))])
 
     def count(self, texts: list[str | None]) -> list[int]:
-        whole = library(self.path).encode
-        cut = [None if text and (_ODD.search(text) or any(s in text for s in specials(self.path))) else (text or "").split() for text in texts]
-        words: set[str] = set()
-        for w in cut:
-            words.update(w or ())
-        absent, pieces, new = self.words.missing(words), self.pieces, self.words.new
-        pieces.missing(set())
-        for word in absent:
-            n = 0
-            for piece in self.split(word.lower() if word.isascii() else self.normal(word)):
-                got = pieces.new.get(piece) or pieces.old.get(piece)
-                if got is None:
-                    got = pieces.new[piece] = len(self.merge(as_letters(piece)))
-                n += got
-            new[word] = n
-        return [
-            len(whole(text, add_special_tokens=False)) if w is None else sum(map(new.__getitem__, w))
-            for text, w in zip(texts, cut, strict=True)
-        ]
+        out, get = [], self.words.__getitem__
+        for text in texts:
+            try:
+                out.append(sum(map(get, text.split())) if text else 0)
+                if text and any(c in text for c in _ODD):
+                    out[-1] = len(library(self.path).encode(text, add_special_tokens=False))
+            except TypeError:
+                out.append(len(library(self.path).encode(text, add_special_tokens=False)))
+        self.pieces.turn()
+        self.words.turn()
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import crc32_combine, partitions, scratch, slices
+from tallyframe.llm.common import crc32_combine, kept, partitions, scratch, slices
 from tallyframe.llm.encoding import byte_level
 
 BLOCK_IDS = 65_536
@@ -139,7 +139,7 @@ def write_planes(
         .parquet(f"{path}/blocks")
     )
     blocks = spark.read.parquet(f"{path}/blocks")
-    index = blocks.select("shard", "block", "first_id", "n_ids", F.size("docs").alias("n_docs"), F.col("docs.doc_id")[0].alias("first_doc_id"), F.transform("planes", F.octet_length).alias("plane_bytes"))
+    index = blocks.select("shard", "block", "first_id", "n_ids", F.size("docs").alias("n_docs"), F.get("docs.doc_id", F.lit(0)).alias("first_doc_id"), F.transform("planes", F.octet_length).alias("plane_bytes"))
     index.write.parquet(f"{path}/index")
 
 
@@ -173,7 +173,7 @@ def _pieces(spark: SparkSession, path: str, digest: bool) -> DataFrame:
 
 
 def _joined(spark: SparkSession, path: str, digest: bool, finish) -> DataFrame:
-    pieces = _pieces(spark, path, digest)
+    pieces = kept(_pieces(spark, path, digest), "pieces")  # read twice below
     # Only documents that run over the end of a block (two a block at most) are shuffled.
     split = (
         pieces.filter(~F.col("whole"))
