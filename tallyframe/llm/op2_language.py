@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         m = held.value
         for batch in slices(batches):
             names, scores = [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(read).to_pylist():
                 counts = ngram_counts(text, bits) if text and m.labels else None
                 if counts is None:
                     names.append("und")
@@ -215,8 +215,9 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f"_{i}") for i in range(len(keep))], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[f"_{i}" for i in range(len(keep))], "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    read = f"_{keep.index('text')}" if "text" in keep else "_text"  # texts go to Python once
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], *[F.col("text").alias(c) for c in [read] if c == "_text"])
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(step, schema)
 
 
