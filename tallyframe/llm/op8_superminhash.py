@@ -7,13 +7,15 @@
    permutation of the signature's places and offers a growing rank at each, so
    places are negatively correlated (less variance than independent hashes)
    and the walk ends as soon as no place can still improve.
-3. Signatures are banded.  With 24 bands of 4 places a pair at similarity 0.85
-   shares no band with probability 2e-8.
-4. Buckets are never expanded into all pairs.  In a round every bucket tests
-   all its members against a few leaders (one, then two, four, ...), links are
-   verified on the full sets, and linked members are merged.  A bucket is done
-   when its members are all in one group, or when every member has led: then
-   each pair from different groups has been tested.
+3. Signatures are banded.  With 32 bands of 5 places a pair at similarity 0.85
+   shares no band with probability 7e-9, one at 0.8 with 3e-6.  The members of
+   a bucket are tied to its smallest member (a star, never all pairs); what
+   hangs together so is a family, and all links lie within families.
+4. Families are cut into blocks of bounded size, and blocks meet as tiles.  In a
+   tile, pairs whose signatures agree too little for the similarity (5 standard
+   errors) are passed over, pairs already linked in the tile as well, and the
+   rest are verified on their full sets.  A tile returns a spanning forest of
+   its links, so what leaves it grows with its members, not its pairs.
 5. Links meet in connected components by alternating stars.
 
 Cases: a null or blank text has no shingles and stays alone.  A text of fewer
@@ -30,15 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyframe.llm.common import kept, mixed, slices
 from tallyframe.llm.graph import components
 from tallyframe.llm.hashing import shingles, words
 
-BANDS, BAND_ROWS = 24, 4
-#: Ids of at most so many rows are broadcast (8 MB); beyond it the join shuffles.
+BANDS, BAND_ROWS = 32, 5
+#: Ids or buckets of at most so many rows are broadcast (some 10 MB); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Bytes of shingles in one block of a family.
+BLOCK_BYTES = 4 << 20
 #: Elements that walk together.
 WALKERS = 65_536
 
@@ -98,108 +101,95 @@ def signed(docs: DataFrame, k: int = 5, bands: int = BANDS, band_rows: int = BAN
     return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id and its sorted shingle hashes as binary."""
+def sets_of(docs: DataFrame, k: int, places: int) -> DataFrame:
+    """doc_id, its sorted shingle hashes, and 16 bits of each place of its signature, as binary."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            sets = [s.tobytes() for s in shingles(*words(batch.column("text")), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "elements"])
-
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, elements binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.
-
-    A leader can have any number of partners: its set is dealt out under a few
-    salts, so that its pairs are spread over as many tasks.
-    """
-    salts = 16
+            sets = shingles(*words(batch.column("text")), k)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            signature = mixed(superminhash(np.concatenate(sets), owner, len(sets), places).view(np.uint64)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in signature], pa.binary())], names=["doc_id", "elements", "signature"])
+
+    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, elements binary, signature binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def tile_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``left`` (``right`` empty), or between ``left`` and ``right``."""
+    rows = left + right
+    sets = [np.frombuffer(r["elements"], np.uint64) for r in rows]
+    n, signature = np.array([len(s) for s in sets]), np.stack([np.frombuffer(r["signature"], np.uint16) for r in rows])
+    j = percent / 100
+    least = j - 5 * np.sqrt(j * (1 - j) / signature.shape[1])
+    parent, out = list(range(len(rows))), []
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(left)):
+        first = len(left) if right else i + 1
+        if first >= len(rows):
+            break
+        agree = (signature[first:] == signature[i]).mean(axis=1)
+        possible = np.flatnonzero((agree >= least) & (100 * np.minimum(n[first:], n[i]) >= percent * np.maximum(n[first:], n[i])))
+        for k in (possible[np.argsort(-agree[possible], kind="stable")] + first).tolist():
+            a, b = find(i), find(k)
+            if a != b and similar(sets[i], sets[k], percent):
+                parent[max(a, b)] = min(a, b)
+                out.append((rows[i]["rid"], rows[k]["rid"]))
+    return out
+
+
+def family_links(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that connect what is similar within each family of ``sets`` (family, rid, elements, signature)."""
+    weight = sets.groupBy("family").agg(F.sum(F.octet_length("elements") + F.octet_length("signature")).alias("bytes"))
+    blocks = weight.select("family", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
+    placed = sets.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    packed = kept(placed.groupBy("family", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("rid", "elements", "signature")).alias("rows")), "blocks")
+    within = packed.select("rows", F.array().cast(packed.schema["rows"].dataType).alias("others"))
+    left = packed.filter("block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    right = packed.filter("block > 0").select("family", F.col("block").alias("other"), F.col("rows").alias("others"))
+    across = left.join(right, ["family", "other"]).select("rows", "others")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small)) if len(large) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-    leaders = pairs.select(F.col("a").alias("doc_id")).distinct()
-    led = sets.join(leaders, "doc_id").select(F.col("doc_id").alias("a"), F.col("elements").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return (
-        pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        .join(led, ["a", "salt"])
-        .select("a", "b", "x", "y")
-        .mapInArrow(step, "a long, b long")
-        .distinct()
-    )
+        for batch in slices(batches, 1):
+            links = tile_links(batch.column("rows")[0].as_py(), batch.column("others")[0].as_py(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    return within.unionByName(across).mapInArrow(step, "a long, b long")
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     rows = kept(signed(docs, k, bands, band_rows), "signed")
     classes = kept(
         rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rid"), F.first("bands").alias("bands")), "classes"
     )
-    banded = classes.select("rid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high").select("bucket")
-    buckets = kept(banded.join(shared, "bucket"), "buckets")
-    members = kept(buckets.select(F.col("rid").alias("doc_id")).distinct(), "members")
-    few = members.count() <= BROADCAST_IDS
-    named = docs.join(F.broadcast(members) if few else members, "doc_id", "left_semi")
-    sets = kept(sets_of(named, k), "sets")
-
-    groups: DataFrame | None = None  # (node, comp) of what is linked so far
-    served: DataFrame | None = None  # (bucket, rid) that have led
-    leaders_now = 1
-    while True:
-        if groups is None:
-            state = buckets.withColumn("comp", F.col("rid"))
-        else:
-            state = buckets.join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        if served is not None:
-            state = state.join(served, ["bucket", "rid"], "left_anti")
-        open_ = state.groupBy("bucket").agg(F.min("rid").alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        if leaders_now == 1:
-            leaders = open_.select("bucket", F.col("leader").alias("rid"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("rid")
-            leaders = state.join(open_.select("bucket"), "bucket", "left_semi").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= leaders_now).select("bucket", "rid")
-        leaders = kept(leaders.distinct(), "leaders")
-        if leaders.isEmpty():
-            break
-        led = leaders.join(state, ["bucket", "rid"]).select("bucket", F.col("rid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-        pairs = (
-            state.join(led, "bucket")
-            .filter((F.col("comp") != F.col("comp_a")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
-            .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
-            .distinct()
-        )
-        links = verified(kept(pairs, "pairs"), sets, percent)
-        if groups is not None:
-            named_a, named_b = groups.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), groups.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            links = links.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-        merged = components(links).cache()
-        if groups is None:
-            groups = kept(merged, "groups")
-        else:
-            moved = groups.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            fresh = merged.join(groups, "node", "left_anti")
-            groups = kept(moved.unionByName(fresh), "groups")
-        merged.unpersist()
-        served = kept(leaders if served is None else served.unionByName(leaders), "served")
-        leaders_now *= 2
-
-    linked = groups if groups is not None else docs.sparkSession.createDataFrame([], "node long, comp long")
-    named = classes.select("set_a", "set_b", "n_shingles", "rid").join(linked.withColumnRenamed("node", "rid"), "rid", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rid").alias("component_id"))
+    banded = classes.select("rid", F.explode("bands").alias("bucket"))
+    shared = kept(banded.groupBy("bucket").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high").select("bucket", "low"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+    families = kept(components(banded.join(shared, "bucket").select(F.col("low").alias("a"), F.col("rid").alias("b"))), "families")
+    members = families.select(F.col("node").alias("doc_id"))
+    named = docs.join(F.broadcast(members) if families.count() <= BROADCAST_IDS else members, "doc_id", "left_semi")
+    sets = sets_of(named, k, bands * band_rows).select(F.col("doc_id").alias("rid"), "elements", "signature")
+    sets = kept(sets.join(families.select(F.col("node").alias("rid"), F.col("comp").alias("family")), "rid"), "sets")
+    groups = components(family_links(sets, percent, block_bytes))
+
+    named = classes.select("set_a", "set_b", "n_shingles", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rid").alias("component_id"))
     return (
-        rows.join(named, ["set_a", "set_b", "n_shingles"], "left")
+        rows.select("doc_id", "n_shingles", "set_a", "set_b")
+        .join(named, ["set_a", "set_b", "n_shingles"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
