@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 2048)
         (F.col("d.digest_a") == F.col("m.digest_a")) & (F.col("d.digest_b") == F.col("m.digest_b")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")),
         "left_semi",
     )
-    encoded = wanted.mapInArrow(encode, "digest_a long, digest_b long, n_tokens long")
+    encoded = wanted.mapInArrow(encode, "digest_a long, digest_b long, n_tokens long").dropDuplicates(["digest_a", "digest_b"])
     encoded.withColumn("version", F.lit(version)).select("digest_a", "digest_b", "version", "n_tokens").write.mode("append").parquet(cache)
     counts = stored_counts(spark, cache, version)
     return (
