@@ -47,7 +47,9 @@ def _correlation(out: DataFrame, interval: bool) -> DataFrame:
 def pearson(df: DataFrame, a: str, b: str, missing: str = "drop") -> DataFrame:
     """r, t, p, Fisher interval and a label; null where a variable has no spread or pairs are under three."""
     pairs = complete(df, a, b, missing)
-    return _correlation(pairs.agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.corr("x", "y").alias("r")), True)
+    sums = pairs.agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"))
+    some = (F.col("vx") > 0) & (F.col("vy") > 0)
+    return _correlation(sums.withColumn("r", F.when(some, F.col("vxy") / F.sqrt(F.when(some, F.col("vx") * F.col("vy"))))), True)
 
 
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
