@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few texts are Python strings at a time."""
+#: Bytes of text that a task takes up at once; a longer text is taken up alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, bounded in rows and in bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        total, at = np.concatenate(([0], np.cumsum(size))), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(total, total[at] + most, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def row_key(*columns: str) -> list[Column]:

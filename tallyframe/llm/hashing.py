@@ -13,6 +13,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)
 _STEPS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
+
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     return np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,26 +59,46 @@ def words(column: pa.Array, kind: tuple[bytes, bool] = SPACED) -> tuple[np.ndarr
     if hi == lo:
         return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[lo:hi]
-    offsets = offsets - lo
-    values = table_of(*kind)[data]
-    inside = np.empty(len(data) + 2, bool)
+    offsets, table = offsets - lo, table_of(*kind)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = _break(data, offsets, table, min(at + CHUNK, len(data)))
+        found, start = _hashed(table[data[at:end]], offsets - at)
+        hashes.append(found)
+        starts.append(start + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _break(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on over which no word runs."""
+    row_end = int(offsets[np.searchsorted(offsets, at)])
+    while at < row_end:
+        gap = np.flatnonzero(table[data[at : min(at + 4096, row_end)]] == 0)
+        if len(gap):
+            return at + int(gap[0])
+        at = min(at + 4096, row_end)
+    return at
+
+
+def _hashed(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in a stretch of letters, 0 being none; rows begin at ``offsets``."""
+    inside = np.empty(len(values) + 2, bool)
     inside[0] = inside[-1] = False
     np.not_equal(values, 0, out=inside[1:-1])
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
-    edges = offsets[1:-1]  # where a row ends, a word ends
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = offsets[(offsets > 0) & (offsets < len(values))]  # where a row ends, a word ends
     both = edges[inside[1:-1][edges - 1] & inside[1:-1][edges]]
     first[both] = True
     last[both - 1] = True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
-    total = np.empty(len(data) + 1, np.uint64)
+    up, down = _powers(1 << max(16, int(len(values)).bit_length()))
+    total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
-    np.multiply(values, up[: len(data)], out=values)
+    np.multiply(values, up[: len(values)], out=values)
     np.cumsum(values, out=total[1:])
-    hashes = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEPS[63])
-    return hashes, np.searchsorted(start, offsets)
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEPS[63]), start
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

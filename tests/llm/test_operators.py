@@ -7,11 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyframe.llm.common import crc32_combine, scratch
+from tallyframe.llm import hashing
+from tallyframe.llm.common import crc32_combine, scratch, slices
 from tallyframe.llm.encoding import byte_level, word_counter
 from tallyframe.llm.graph import components
 from tallyframe.llm.op1_token_planes import from_planes, read_digests, read_ids, to_planes, write_planes
@@ -70,6 +72,22 @@ def test_planes_round_trip(bits):
     assert (from_planes(to_planes(ids, bits), len(ids), bits) == ids).all()
 
 
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n\u00e9") for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "x" * 500, "end", "start"]
+    whole, bounds = hashing.words(pa.array(texts))
+    again = [len((t or "").split()) for t in texts]
+    assert np.diff(bounds).tolist() == again and len(set(whole.tolist())) == len({w for t in texts for w in (t or "").split()})
+    monkeypatch.setattr(hashing, "CHUNK", 7)
+    small, bounds_small = hashing.words(pa.array(texts))
+    assert (small == whole).all() and (bounds_small == bounds).all()
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 5, 5, 100, 1, 1)], "n": [1, 2, 3, 4, 5, 6]})
+    assert [b.num_rows for b in slices([batch], 2, 12)] == [2, 1, 1, 2] and [b.num_rows for b in slices([batch], 10, 10**6)] == [6]
+
+
 def test_crc32_combine():
     a, b = b"some bytes", b"and more of them"
     assert crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
