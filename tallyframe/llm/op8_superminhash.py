@@ -208,3 +208,30 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM cut
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), elements AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM elements a JOIN elements b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sizes
+  UNION
+  SELECT edges.y, reach.root FROM reach JOIN edges ON edges.x = reach.node
+), comps AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sizes s JOIN comps ON node = s.doc_id
+"""

@@ -13,7 +13,7 @@ from tallyframe.llm.op4_string_tiling import op4_string_tiling
 from tallyframe.llm.op5_line_spread import OP5_SQL, op5_line_spread
 from tallyframe.llm.op6_token_counts import op6_token_counts
 from tallyframe.llm.op7_tiles import OP7_SQL, op7_tiles
-from tallyframe.llm.op8_superminhash import op8_superminhash
+from tallyframe.llm.op8_superminhash import OP8_SQL, op8_superminhash
 from tallyframe.llm.op9_urls import op9_urls
 from tallyframe.llm.op10_best_fit import op10_best_fit
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_spread": OP5_SQL, "op7_tiles": OP7_SQL}
+    return {"op5_line_spread": OP5_SQL, "op7_tiles": OP7_SQL, "op8_superminhash": OP8_SQL}
