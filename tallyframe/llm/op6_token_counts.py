@@ -81,11 +81,11 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 2048)
     )
     encoded = wanted.mapInArrow(encode, "digest_a long, digest_b long, n_tokens long").dropDuplicates(["digest_a", "digest_b"])
     encoded.withColumn("version", F.lit(version)).select("digest_a", "digest_b", "version", "n_tokens").write.mode("append").parquet(cache)
-    counts = stored_counts(spark, cache, version)
-    return (
-        rows.join(counts, ["digest_a", "digest_b"])
-        .join(known.select("digest_a", "digest_b", F.lit(True).alias("hit")), ["digest_a", "digest_b"], "left")
-        .select("doc_id", "n_bytes", F.col("stored").alias("n_tokens"), (F.col("stored") > limit).alias("over_limit"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    # One small side and one join, so that Spark can split the rows of a digest that many copies share.
+    hits = known.select("digest_a", "digest_b", F.lit(True).alias("hit"))
+    counts = kept(stored_counts(spark, cache, version).join(hits, ["digest_a", "digest_b"], "left"), "counts")
+    return rows.join(counts, ["digest_a", "digest_b"]).select(
+        "doc_id", "n_bytes", F.col("stored").alias("n_tokens"), (F.col("stored") > limit).alias("over_limit"), F.coalesce("hit", F.lit(False)).alias("hit")
     )
 
 
