@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+        # Written by itself, so that Spark can split the edges of a node with very many neighbours in the join.
+        root = kept(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("root")), "roots")
         large = both.join(root, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("root"))

@@ -156,7 +156,8 @@ def family_links(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES)
     weight = sets.groupBy("family").agg(F.sum(F.octet_length("elements") + F.octet_length("signature")).alias("bytes"))
     blocks = weight.select("family", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
     placed = sets.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    packed = kept(placed.groupBy("family", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("rid", "elements", "signature")).alias("rows")), "blocks")
+    # Dealt out by block: what went before lies by family, and a family can be any size.
+    packed = kept(placed.repartition("family", "block").groupBy("family", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("rid", "elements", "signature")).alias("rows")), "blocks")
     within = packed.select("rows", F.array().cast(packed.schema["rows"].dataType).alias("others"))
     left = packed.filter("block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
     right = packed.filter("block > 0").select("family", F.col("block").alias("other"), F.col("rows").alias("others"))
