@@ -99,12 +99,25 @@ def effect_label(v: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value") -> DataFrame:
-    """``df`` with q_value: smallest false-discovery rate at which a row is significant; a null p counts as 1."""
-    filled = F.coalesce(F.col(p), F.lit(1.0))
-    order = Window.orderBy("_p", *[c for c in df.columns if c.startswith("field")])  # one row a test
-    ranked = df.withColumn("_p", filled).withColumn("_rank", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    q = F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), q)).drop("_p", "_rank", "_m")
+    """``df`` with q_value: smallest false-discovery rate at which a row is significant; a null p counts as 1.
+
+    Equal p-values share the q of the last of them, so distinct p-values are
+    counted and ranged, each range adds up and takes its minima from the end, and
+    one row a range gives what comes before and after: no window runs over all
+    rows in one task.
+    """
+    rows = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))).persist()  # each test is made once
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()).persist()
+    before, after = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("total"))
+    ahead = totals.select("_part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_ahead"), F.sum("total").over(Window.partitionBy()).alias("_m"))
+    inner = Window.partitionBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = ranged.join(F.broadcast(ahead), "_part").withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_ahead") + F.sum("_n").over(inner.orderBy("_p"))))
+    later = scaled.groupBy("_part").agg(F.min("_q").alias("least")).select("_part", F.min("least").over(after).alias("_later"))
+    q = F.least(F.lit(1.0), F.min("_q").over(inner.orderBy(F.desc("_p"))), F.col("_later"))
+    found = scaled.join(F.broadcast(later), "_part").select("_p", q.alias("q_value"))
+    return rows.join(found, "_p").select(*df.columns, "q_value")
 
 
 def associations(df: DataFrame, fields: Fields | None = None) -> DataFrame:
