@@ -8,7 +8,8 @@ whichever order the runs stand in the document.
    searched for seeds, first through a bitmap of fixed size (2 MB) that lets
    nothing through but possible seeds, then by a join on the seed.
 2. A pair of document and item is tiled only if its seeds could cover enough of
-   the item: a seed covers ``min_match`` words at most.
+   the item: a seed covers ``min_match`` words at most at each of its places in
+   the item.
 3. Tiling: Karp-Rabin hashes of all windows of both texts give the common runs;
    the longest is marked first, then the longest of what is left unmarked, down
    to ``min_match`` words.  Coverage is the marked share of the item's words.
@@ -17,7 +18,8 @@ Words are runs of letters and digits, lower-cased.
 
 Cases: an item of fewer than ``min_match`` words is one seed of its own length;
 an item without words is left out.  Items with the same words are one, the
-smallest item_id.  A null or blank document leaks nothing (coverage 0).
+smallest item_id; items that share an item_id but not the words, or have none,
+are items of their own.  A null or blank document leaks nothing (coverage 0).
 Repeated rows keep a row each.  Ties between items go to the smallest item_id.
 Empty tables give no rows, or no leaks.  Other columns are left out, and kept
 by ``remove_leaks``.
@@ -76,24 +78,29 @@ def tiled(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
     return out
 
 
-def seeds_of(items: DataFrame, min_match: int) -> DataFrame:
-    """(seed, item_id, n_words, span) of every run of every item; ``span`` is the run's words."""
-    schema = pa.schema([("item_id", pa.int64()), ("same", pa.int64()), ("n_words", pa.int32()), ("span", pa.int32()), ("seeds", pa.list_(pa.int64()))])
+def different_items(items: DataFrame, min_match: int) -> DataFrame:
+    """(same, n_words, item_id, span, item, seeds, places), a row for each different run of words.
+
+    ``same`` is a hash of all words; ``span`` is the words of a seed, and
+    ``places`` has how often the item holds each seed.
+    """
+    schema = pa.schema([("item_id", pa.int64()), ("same", pa.int64()), ("n_words", pa.int32()), ("span", pa.int32()), ("item", pa.string()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes, bounds = word_hashes(batch.column("text"))
             out = []
-            for item_id, a, b in zip(batch.column("item_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            for item_id, text, a, b in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), bounds[:-1], bounds[1:], strict=True):
                 if b > a:
                     span = int(min(min_match, b - a))
                     whole = int(runs(hashes[a:b], int(b - a)).view(np.int64)[0])
-                    out.append({"item_id": item_id, "same": whole, "n_words": int(b - a), "span": span, "seeds": np.unique(runs(hashes[a:b], span)).view(np.int64).tolist()})
+                    seeds, places = np.unique(runs(hashes[a:b], span), return_counts=True)
+                    out.append({"item_id": item_id, "same": whole, "n_words": int(b - a), "span": span, "item": text, "seeds": seeds.view(np.int64).tolist(), "places": places.tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    every = items.select("item_id", "text").mapInArrow(step, "item_id long, same long, n_words int, span int, seeds array<long>")
-    alike = every.groupBy("same", "n_words").agg(F.min("item_id").alias("item_id"))
-    return every.join(alike, ["same", "n_words", "item_id"]).dropDuplicates(["same", "n_words"]).select("item_id", "n_words", "span", F.explode("seeds").alias("seed"))
+    every = items.select("item_id", "text").mapInArrow(step, "item_id long, same long, n_words int, span int, item string, seeds array<long>, places array<int>")
+    first = F.min(F.struct("item", "seeds", "places")).alias("first")
+    return every.groupBy("same", "n_words", "span").agg(F.min("item_id").alias("item_id"), first).select("same", "n_words", "span", "item_id", "first.*")
 
 
 def bitmap_of(seeds: DataFrame) -> np.ndarray:
@@ -110,7 +117,8 @@ def bitmap_of(seeds: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """(key_a, key_b, item_id, coverage, n_tiles) of every document's best item that reaches the coverage."""
     spark = docs.sparkSession
-    seeds = kept(seeds_of(items, min_match), "seeds")
+    different = kept(different_items(items, min_match), "items")
+    seeds = kept(different.select("same", "n_words", "span", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("same", "n_words", "span", F.col("s.seeds").alias("seed"), F.col("s.places").alias("places")), "seeds")
     spans = sorted(r["span"] for r in seeds.select("span").distinct().collect())  # min_match values at most
     bitmap = spark.sparkContext.broadcast(bitmap_of(seeds))
 
@@ -135,7 +143,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float
     hits = docs.select(*row_key("doc_id", "text"), "text").mapInArrow(search, "key_a long, key_b long, text string, seeds array<long>")
     hits = kept(hits.dropDuplicates(["key_a", "key_b"]), "hits")
     shared = hits.select("key_a", "key_b", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    pairs = shared.groupBy("key_a", "key_b", "item_id", "n_words", "span").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * F.col("span") >= coverage * F.col("n_words")).select("key_a", "key_b", "item_id")
+    # Every covered word lies in a shared seed at one of its places in the item.
+    pairs = shared.groupBy("key_a", "key_b", "same", "n_words", "span").agg(F.sum("places").alias("n")).filter(F.col("n") * F.col("span") >= coverage * F.col("n_words")).select("key_a", "key_b", "same", "n_words")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -147,8 +156,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float
                 [*[batch.column(c) for c in ("key_a", "key_b", "item_id")], pa.array(share, pa.float64()), pa.array([len(f) for f in found], pa.int64())], names=["key_a", "key_b", "item_id", "coverage", "n_tiles"]
             )
 
-    texts = items.select("item_id", F.col("text").alias("item")).dropDuplicates(["item_id"])
-    tiles = pairs.join(texts, "item_id").join(hits.select("key_a", "key_b", "text"), ["key_a", "key_b"]).select("key_a", "key_b", "item_id", "item", "text")
+    texts = different.select("same", "n_words", "item_id", "item")
+    tiles = pairs.join(texts, ["same", "n_words"]).join(hits.select("key_a", "key_b", "text"), ["key_a", "key_b"]).select("key_a", "key_b", "item_id", "item", "text")
     tiles = tiles.mapInArrow(tile, "key_a long, key_b long, item_id long, coverage double, n_tiles long").filter(F.col("coverage") >= coverage)
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("m"), "n_tiles"))
     return kept(tiles.groupBy("key_a", "key_b").agg(best.alias("best")).select("key_a", "key_b", (-F.col("best.m")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.n_tiles").alias("n_tiles")), "leaks")
