@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of five sites or more stay in one document; a document left without text goes."""
-    out = remove_spread_lines(docs, 5)
+    """Lines of five sites or more, short ones too, stay in one document; a document left without text goes."""
+    out = remove_spread_lines(docs, 5, 1)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
     return out.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

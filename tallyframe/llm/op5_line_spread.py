@@ -88,7 +88,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_spread_lines(docs.select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+    return remove_spread_lines(docs.select("doc_id", "source", "text"), 5, 1).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
 OP5_SQL = r"""
