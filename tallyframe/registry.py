@@ -259,10 +259,11 @@ def chi_square(spark, folder):
 
 @query(f"""SELECT role, {", ".join(f"sum(CASE WHEN turn = {i} THEN 1 ELSE 0 END)::BIGINT AS t{i}" for i in range(2))} FROM conversations GROUP BY role""")
 def crosstab_table(spark, folder):
-    turns = table(spark, folder, "conversations").filter("turn < 2").withColumn("turn", F.concat(F.lit("t"), F.col("turn").cast("string")))
+    turns = table(spark, folder, "conversations").withColumn("turn", F.concat(F.lit("t"), F.col("turn").cast("string")))
     both = relate.crosstab_table(turns, "role", "turn")
+    names = sorted((c for c in both.columns if c != "row"), key=lambda c: int(c[1:]))
     roles = table(spark, folder, "conversations").select("role").distinct()
-    return roles.join(both, F.col("role") == F.col("row"), "left").select("role", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("t0", "t1")])
+    return roles.join(both, F.col("role") == F.col("row"), "left").select("role", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
 
 
 @query(f"""SELECT 'Intercept' AS term, {r("regr_intercept(l_extendedprice, l_quantity)", "b", 3)} FROM lineitem UNION ALL SELECT 'l_quantity', {r("regr_slope(l_extendedprice, l_quantity)", "b", 3)} FROM lineitem""", 3)
