@@ -117,34 +117,43 @@ def cluster_metrics(df: DataFrame, features: list[str], cluster: str) -> DataFra
     return ch.crossJoin(db)
 
 
-def silhouette(df: DataFrame, features: list[str], cluster: str, most: int = 10_000) -> float | None:
-    """Mean Euclidean silhouette; exact up to ``most`` rows, otherwise of that many rows chosen by hash against each other.
+def silhouette(df: DataFrame, features: list[str], cluster: str, block: int = 2000) -> float | None:
+    """Mean Euclidean silhouette over all rows, exact at each size; the work grows with the square of the different points.
 
-    The chosen rows are broadcast (``most`` rows at most) and each task measures its own against them.
+    Equal rows are one point with a weight.  Points are packed into blocks by
+    hash, and each block meets each other one; a meeting gives the sums of
+    distances by point and cluster.
     """
     import numpy as np
     import pandas as pd
 
     rows = df.select(F.col(cluster).cast("int").alias("c"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
-    chosen = rows.orderBy(F.xxhash64(*rows.columns)).limit(most)
-    points = chosen.toPandas()
-    if points["c"].nunique() < 2:
+    points = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w")).persist()
+    sizes = points.groupBy(F.col("c").alias("kind")).agg(F.sum("w").alias("n")).persist()
+    kinds = np.array(sorted(r["kind"] for r in sizes.collect()))  # a row a cluster
+    if len(kinds) < 2:
         return None
-    held = df.sparkSession.sparkContext.broadcast((points["c"].to_numpy(), points.drop(columns="c").to_numpy()))
+    blocks = -(-points.count() // block)
+    dealt = points.select(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).alias("block"), F.struct("c", "w", F.array(*rows.columns[1:]).alias("x")).alias("p"))
+    packed = dealt.groupBy("block").agg(F.collect_list("p").alias("p")).select("block", "p.c", "p.w", F.flatten("p.x").alias("x")).persist()
+    left = packed.select("c", "w", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tiles = left.join(packed.select("block", F.col("c").alias("c2"), F.col("w").alias("w2"), F.col("x").alias("x2")), "block").drop("block")
 
     def step(batches):
-        labels, xs = held.value
-        kinds = np.unique(labels)
         for pdf in batches:
-            out = []
-            for own, x in zip(pdf["c"].to_numpy(), pdf.drop(columns="c").to_numpy(), strict=True):
-                d = np.sqrt(((xs - x) ** 2).sum(axis=1))
-                mean = {k: d[labels == k].sum() / max(1, (labels == k).sum() - (k == own)) for k in kinds}
-                a, b = mean[own], min(v for k, v in mean.items() if k != own)
-                out.append(0.0 if (labels == own).sum() == 1 else (b - a) / max(a, b, 1e-300))
-            yield pd.DataFrame({"s": out})
-
-    return chosen.repartition(8).mapInPandas(step, "s double").agg(F.avg("s")).first()[0]
+            for c, w, x, c2, w2, x2 in zip(*[pdf[k] for k in ("c", "w", "x", "c2", "w2", "x2")], strict=True):
+                a, b = np.asarray(x).reshape(len(c), -1), np.asarray(x2).reshape(len(c2), -1)
+                d = np.sqrt(sum((a[:, i, None] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
+                sums = d @ ((np.asarray(c2)[:, None] == kinds) * np.asarray(w2)[:, None].astype(float))
+                yield pd.DataFrame({"c": c, "w": w, "x": list(a), "sums": list(sums)})
+
+    sums = tiles.mapInPandas(step, "c int, w long, x array<double>, sums array<double>")
+    sums = sums.groupBy("c", "w", "x").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(len(kinds))]).alias("sums"))
+    means = sums.select("c", "w", "x", F.explode(F.arrays_zip(F.array(*[F.lit(int(k)) for k in kinds]).alias("kind"), "sums")).alias("k")).select("c", "w", "x", "k.kind", F.col("k.sums").alias("total")).join(F.broadcast(sizes), "kind")
+    own = F.col("kind") == F.col("c")
+    each = means.groupBy("c", "w", "x").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("total") / F.greatest(F.lit(1), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)))
+    return each.agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
 
 
 def rank_from(df: DataFrame, by: str, n: int, key: str) -> DataFrame:
