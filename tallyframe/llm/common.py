@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -12,17 +14,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` of the session names it.  Where it is unset, as in
-    a local test, a temporary folder is made and set.
+    a local test, a temporary folder is made and set; on a cluster that is an
+    error, as executors would each write to a disk of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = known or Path(tempfile.mkdtemp(prefix="tallyframe-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -79,35 +85,56 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _times(matrix: tuple[int, ...], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
+
+
+@lru_cache(maxsize=64)
+def _zero_bytes(k: int) -> tuple[int, ...]:
+    """The operator on a crc32 that 2**k zero bytes are."""
+    if k:
+        half = _zero_bytes(k - 1)
+        return tuple(_times(half, x) for x in half)
+    power = (0xEDB88320, *[1 << n for n in range(31)])  # one zero bit
+    for _ in range(3):
+        power = tuple(_times(power, x) for x in power)
+    return power
+
+
 def crc32_combine(first: int, second: int, length: int) -> int:
     """crc32 of two byte strings joined, from their crc32s and the second's length."""
+    for k in range(max(0, length).bit_length()):
+        if length >> k & 1:
+            first = _times(_zero_bytes(k), first)
+    return first ^ second if length > 0 else first
 
-    def times(matrix: list[int], vector: int) -> int:
-        out, i = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return out
-
-    if length <= 0:
-        return first
-    # The operator for one zero bit, squared until it stands for one zero byte.
-    power = [0xEDB88320] + [1 << n for n in range(31)]
-    for _ in range(3):
-        power = [times(power, x) for x in power]
-    while length:
-        if length & 1:
-            first = times(power, first)
-        length >>= 1
-        if length:
-            power = [times(power, x) for x in power]
-    return first ^ second
-
-
-def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
+
+#: Bytes of a batch between the JVM and Python; a longer row travels alone.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes: long texts count by their length, not as a row.
+
+    The limit is a setting of the session; a smaller one of the user's stays.  At
+    the end of a task the worker gives back what it no longer uses.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.match(r"\d+", spark.conf.get(key))
+    if not given or int(given[0]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ _STEPS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.
 
 
 #: Bytes that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -22,7 +22,7 @@ def _letters() -> np.ndarray:
     return np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     inverse = pow(int(_BASE), -1, 2**64)

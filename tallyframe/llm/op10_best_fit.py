@@ -1,30 +1,43 @@
-"""Best-fit packing of token pieces into sequences of a fixed length.
+"""Best-fit packing of token pieces into sequences of a fixed length, by bulk-synchronous supersteps.
 
 Documents are encoded and cut into pieces; every piece gets its rank among the
 pieces of its length, by counting within partitions and adding up the counts of
-the partitions before (no window over single pieces).  Lengths and gaps are
-whole numbers up to the sequence length, so the range-sorted list of pieces and
-the range-sorted list of gaps are runs of equal values, at most ``max_tokens``
-runs each however many documents there are.
-
-Supersteps then match runs: each run of pieces, longest first, goes to its
-successor among the gaps, the smallest gap that holds it.  Where more pieces
-than gaps meet, the ranks decide: the first ranks take the gaps and the rest
-sweep on.  Matched gaps are updated and sorted in again, and so on until no
-piece fits a gap; the rest open sequences of their own.  Sequences opened
-together are filled alike, so a superstep moves whole ranges of ranks and the
-plan stays a few thousand ranges.  The plan goes back to the pieces by range
-lookup on (length, rank).
+the partitions before (no window over single pieces).  Pieces of a length are
+alike, and so are gaps of a size; the range-sorted list of pieces and that of
+gaps are kept as tables of runs (length, first rank, how many), whose number
+depends on ``max_tokens`` and the supersteps, not on the documents.
+
+A superstep takes the band of the longest pieces that are left and places as
+many of them as there is room for, all at once:
+
+1. Gaps are sorted by size, and each offers as many slots as it holds pieces of
+   the band.  Running sums of slots and pieces from the longest down say how
+   many pieces of each length get a slot: where more claim the slots than there
+   are, the ranks decide, longest first.
+2. Those pieces, shortest first, each go to their successor, the first slot that
+   holds them and that no piece before them has: a running maximum.
+3. Runs of pieces and of slots, cut into ranges of the slots' order, meet in a
+   sweep over each range.
+4. The gaps are updated and written with what is left, and the next superstep
+   begins.
+
+Where no gap holds a piece of the band, the longest pieces open sequences: those
+of which whole sequences can be filled do so, else as many of the longest as the
+band's volume needs.  The driver sees the lengths that are left, the largest gap
+and a counter; runs are matched by Spark and the result is joined to the pieces.
+
+Sequences are as many as one-by-one best-fit decreasing makes, to within a few
+(tested).
 
 Cases: a null or empty text is the end id alone.  Repeated rows are packed as
-documents of their own.  An empty table gives no rows.  Other columns are left
-out.
+documents of their own, and rows that share a doc_id too.  A null doc_id is kept
+as it is.  A very long text is cut into pieces and needs one batch of memory.
+An empty table gives no rows.  Other columns are left out.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +47,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import kept, slices
-from tallyframe.llm.encoding import byte_level
+from tallyframe.llm.common import in_arrow, kept, partitions, scratch, slices
+from tallyframe.llm.encoding import ENCODE_BYTES, ENCODE_ROWS, byte_level
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 
+#: Kinds of runs: pieces that are left, gaps, and pieces that have their place.
+LEFT, GAP, PLACED = 0, 1, 2
+RUNS = "kind int, size int, first long, n long, sequence long, each long, at int"
+
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; the first one takes what full pieces leave."""
@@ -51,57 +68,135 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) -> Dat
     """One row for each piece, with its number among the pieces of its length in its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, end = TaskContext.get().partitionId(), [0] * (max_tokens + 1), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            out = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), byte_level(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, max_tokens)):
-                    out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), part, seen[n]))
-                    seen[n] += 1
+        part, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
+        for batch in slices(batches, ENCODE_ROWS, ENCODE_BYTES):
+            ids, bounds = byte_level(tokenizer).encode(batch.column("text"), end_id)
+            data, out = memoryview(ids).cast("B"), []
+            for doc_id, at, n in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True):
+                for k, (start, length) in enumerate(cut(n, max_tokens)):
+                    out.append((doc_id, k, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), part, seen[length]))
+                    seen[length] += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
+    return in_arrow(docs.select("doc_id", "text"), encode, PIECES)
+
+
+def band_of(longest: int, max_tokens: int) -> int:
+    """The length over which pieces are in the band of the longest one: as many fill a sequence, or half to double as many."""
+    k = max_tokens // longest
+    if k < 4:
+        return max_tokens // (k + 1)
+    low = max_tokens // 4
+    while low >= longest:
+        low //= 2
+    return low
+
+
+_GAP, _PIECE = "STRUCT<size: INT, sequence: BIGINT, k: BIGINT, lo: BIGINT, hi: BIGINT>", "STRUCT<size: INT, first: BIGINT, lo: BIGINT, hi: BIGINT>"
+
+
+def _run(*values: str) -> str:
+    """A row of the table of runs as a SQL struct."""
+    return "named_struct(" + ", ".join(f"'{name}', CAST({value} AS {kind})" for (name, kind), value in zip((c.split() for c in RUNS.split(", ")), values, strict=True)) + ")"
+
+
+#: One superstep in which the band's pieces go to their successors among the gaps.
+MATCH = f"""
+WITH both AS (  -- slots that hold a piece, and pieces as long or longer; a gap counts for pieces of its own size
+  SELECT *, sum(slots) OVER down AS hold, sum(n) OVER down AS pieces, sum(slots) OVER () AS total FROM (
+    SELECT kind, size, first, sequence, IF(kind = 0, n, 0L) AS n, greatest(1, size DIV :longest) AS k, IF(kind = 1, n * greatest(1, size DIV :longest), 0L) AS slots FROM {{runs}} WHERE size > :low)
+  WINDOW down AS (ORDER BY size DESC, kind DESC, sequence DESC)
+), settled AS (  -- where more pieces claim the slots than there are, the longest get them
+  SELECT size, first, n, total, hold, get - lag(get, 1, 0L) OVER (ORDER BY size DESC) AS take FROM (
+    SELECT *, pieces + least(0, min(hold - pieces) OVER (ORDER BY size DESC)) AS get FROM both WHERE kind = 0)
+), sent AS (  -- shortest first to the successor that is free
+  SELECT size, first, total, lo + before AS lo, lo + before + take AS hi FROM (
+    SELECT *, max(total - hold - before) OVER (ORDER BY size) AS lo FROM (
+      SELECT *, sum(take) OVER (ORDER BY size) - take AS before FROM settled WHERE take > 0))
+), placed AS (  -- the slots in order
+  SELECT struct(size, sequence, k, total - hold AS lo, total - hold + slots AS hi) AS gap, total FROM both WHERE kind = 1
+), cells AS (  -- both sides, cut at the bounds of ranges of slots
+  SELECT gap, NULL AS piece, gap.lo AS lo, gap.hi AS hi, greatest(1, total DIV :ranges + 1) AS width FROM placed
+  UNION ALL SELECT NULL, struct(size, first, lo, hi), lo, hi, greatest(1, total DIV :ranges + 1) FROM sent
+), events AS (
+  SELECT range, e.* FROM (
+    SELECT range, inline(filter(array(
+      struct(greatest(lo, range * width) AS pos, least(hi, (range + 1) * width) AS stop, gap, piece),
+      IF(piece IS NULL, NULL, struct(least(hi, (range + 1) * width) AS pos, CAST(NULL AS LONG) AS stop, CAST(NULL AS {_GAP}) AS gap, CAST(NULL AS {_PIECE}) AS piece))), e -> e IS NOT NULL)) FROM (
+        SELECT *, explode(sequence(lo DIV width, (hi - 1) DIV width)) AS range FROM cells)) e
+), swept AS (  -- from each event to the next, with the runs that are open there
+  SELECT pos, next, last(gap, true) OVER seen AS gap, last(piece, true) OVER seen AS piece FROM (
+    SELECT *, coalesce(lead(pos) OVER (PARTITION BY range ORDER BY pos), max(stop) OVER (PARTITION BY range)) AS next FROM events)
+  WINDOW seen AS (PARTITION BY range ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), met AS (
+  SELECT gap.size AS gap, gap.sequence, gap.k, pos - gap.lo AS x, next - gap.lo AS y, IF(has, piece.size, 0) AS length, IF(has, piece.first + pos - piece.lo, NULL) AS rank FROM (
+    SELECT *, coalesce(pos < piece.hi, false) AS has FROM swept WHERE next > pos)
+), filled AS (  -- sequences that are filled alike, with k pieces each, and parts of a sequence at either end of a run
+  SELECT gap, length, sequence + nth AS sequence, many, m, rank + a - x AS rank, a FROM (
+    SELECT *, inline(filter(array(
+      named_struct('nth', (x + k - 1) DIV k, 'many', y DIV k - (x + k - 1) DIV k, 'a', (x + k - 1) DIV k * k, 'm', k),
+      named_struct('nth', x DIV k, 'many', 1L, 'a', x, 'm', IF(x % k <> 0, least(y, (x + k - 1) DIV k * k) - x, 0L)),
+      named_struct('nth', y DIV k, 'many', 1L, 'a', y DIV k * k, 'm', IF(y DIV k >= (x + k - 1) DIV k, y % k, 0L))), f -> f.many > 0 AND f.m > 0)) FROM met)
+), joined AS (
+  SELECT *, (sum(length * m) OVER mine) - length * m AS before, sum(length * m) OVER (PARTITION BY sequence) AS used, row_number() OVER mine AS i FROM filled AS f
+  WINDOW mine AS (PARTITION BY sequence ORDER BY a)
+), done AS (
+  SELECT kind, size, first, n, sequence, each, at FROM {{runs}} WHERE kind < 2 AND size <= :low
+  UNION ALL SELECT 0, size, first + take, n - take, NULL, NULL, NULL FROM settled WHERE n > take
+  UNION ALL SELECT inline(array({_run("IF(i = 1, 1, NULL)", "gap - used", "NULL", "many", "sequence", "NULL", "NULL")}, {_run("2", "length", "rank", "many * m", "sequence", "m", ":most - gap + before")})) FROM joined
+)
+SELECT CAST(kind AS INT), CAST(size AS INT), CAST(first AS LONG), CAST(n AS LONG), CAST(sequence AS LONG), CAST(each AS LONG), CAST(at AS INT) FROM done
+WHERE kind = 0 OR kind = 1 AND size >= :least OR kind = 2 AND size > 0
+"""
+
+#: One superstep in which no gap holds a piece of the band: the longest open sequences.
+OPEN = f"""
+WITH band AS (  -- whole sequences of those of which the fewest fill one, else as many pieces as the band's volume needs
+  SELECT *, IF(whole > 0, n DIV fill, 0) AS filled FROM (SELECT size, first, n, :most DIV :longest AS fill, IF(:most DIV size = :most DIV :longest, n DIV (:most DIV size), 0) AS whole FROM {{runs}} WHERE kind = 0 AND size > :low)
+), opened AS (
+  SELECT size, first, n, IF(any, filled, greatest(0, least(n, volume - longer))) AS open, IF(any, fill, 1) AS each FROM (
+    SELECT *, max(filled) OVER () > 0 AS any, greatest(1, sum(size * n) OVER () DIV :most) AS volume, sum(n) OVER (ORDER BY size DESC) - n AS longer FROM band)
+), numbered AS (
+  SELECT *, open * each AS take, :new + sum(open) OVER (ORDER BY size DESC) - open AS sequence FROM opened
+), done AS (
+  SELECT kind, size, first, n, sequence, each, at FROM {{runs}} WHERE kind = 1 OR kind = 0 AND size <= :low
+  UNION ALL SELECT 0, size, first + take, n - take, NULL, NULL, NULL FROM numbered WHERE n > take
+  UNION ALL SELECT inline(array({_run("1", ":most - each * size", "NULL", "open", "sequence", "NULL", "NULL")}, {_run("2", "size", "first", "take", "sequence", "each", "0")})) FROM numbered WHERE open > 0
+)
+SELECT CAST(kind AS INT), CAST(size AS INT), CAST(first AS LONG), CAST(n AS LONG), CAST(sequence AS LONG), CAST(each AS LONG), CAST(at AS INT) FROM done
+WHERE kind <> 1 OR size >= :least
+"""
 
 
-def plan(counts: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset) of every range that is placed together.
+def placed_runs(counts: DataFrame, max_tokens: int) -> DataFrame:
+    """(length, first, n, sequence, each, at) of all runs of pieces, from (length, n).
 
-    ``counts``: pieces of each length, at most ``max_tokens`` entries.
+    Piece ``first + i`` goes to sequence ``sequence + i // each``, at place ``at + i % each * length``.
     """
-    left = dict(sorted(counts.items()))  # pieces of each length not placed yet; the lowest ranks go first
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by gap: ranges (first sequence, how many)
-    sizes: list[int] = []  # the gaps there are, ascending
-    out, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(left, reverse=True):
-        rank = 0
-        while left[length]:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):  # the successor
-                gap = sizes[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-                took = min(n, left[length])
-                if n > took:
-                    add(gap, first + took, n - took)
-            else:
-                each = max_tokens // length
-                gap, first, took = max_tokens, opened, -(-left[length] // each)
-                opened += took
-            out.append((length, rank, took, first, max_tokens - gap))
-            add(gap - length, first, took)
-            rank, left[length] = rank + took, left[length] - took
-    return out
+    spark = counts.sparkSession
+    runs = kept(counts.selectExpr("0 AS kind", "length AS size", "0L AS first", "n", "CAST(NULL AS LONG) AS sequence", "CAST(NULL AS LONG) AS each", "CAST(NULL AS INT) AS at"), "runs")
+    steps, new = [], 0
+    while True:
+        # Control only: the lengths that are left, the largest gap, the sequences opened.
+        sign = runs.agg(
+            F.sort_array(F.collect_set(F.when(F.col("kind") == LEFT, F.col("size")))).alias("left"), F.max(F.when(F.col("kind") == GAP, F.col("size"))).alias("gap"),
+            F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).alias("end"),
+        ).first()
+        new = max(new, sign["end"] or 0)
+        if not sign["left"]:
+            break
+        longest, least = sign["left"][-1], sign["left"][0]
+        low = band_of(longest, max_tokens)
+        fits = (sign["gap"] or 0) >= next(size for size in sign["left"] if size > low)
+        step = spark.sql(
+            MATCH if fits else OPEN, {"low": low, "longest": longest, "least": least, "most": max_tokens, **({"ranges": partitions(spark)} if fits else {"new": new})},
+            runs=runs.filter(F.col("kind") != PLACED),
+        )
+        steps.append(scratch(spark, "superstep"))
+        runs = kept(step.coalesce(1), "superstep", steps[-1])
+    done = (spark.read.schema(RUNS).parquet(*steps) if steps else runs).filter(F.col("kind") == PLACED)
+    return done.select(F.col("size").alias("length"), "first", "n", "sequence", "each", "at")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens: int = 1024) -> DataFrame:
@@ -110,24 +205,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens: int = 102
     by_part = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before_part = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_tokens rows at most
-    ranges: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, rank, n, first, offset in plan(counts, max_tokens):
-        ranges.setdefault(length, []).append((rank, n, first, offset))
-    table = {k: np.array(v, dtype=np.int64) for k, v in ranges.items()}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                own, known = np.flatnonzero(length == n), table[int(n)]
-                hit = known[np.searchsorted(known[:, 0], rank[own], side="right") - 1]
-                sequence[own], offset[own] = hit[:, 2] + rank[own] - hit[:, 0], hit[:, 3]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "piece", "start", "length_", "ids_crc32")], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = rows.join(before_part, ["part", "length"]).select("doc_id", "piece", "start", "length", F.col("length").cast("long").alias("length_"), "ids_crc32", (F.col("before") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = rows.join(before_part, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local"))
+    # A few rows for each length and superstep, whatever the documents: bounded by max_tokens.
+    runs = F.broadcast(placed_runs(by_part.groupBy("length").agg(F.sum("n").alias("n")), max_tokens).withColumnRenamed("length", "size"))
+    found = ranked.join(runs, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    nth = F.col("rank") - F.col("first")
+    return found.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+        (F.col("sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"),
+    )
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import crc32_combine, kept, partitions, scratch, slices
-from tallyframe.llm.encoding import byte_level
+from tallyframe.llm.common import crc32_combine, in_arrow, kept, partitions, scratch, slices
+from tallyframe.llm.encoding import ENCODE_BYTES, ENCODE_ROWS, byte_level
 
 BLOCK_IDS = 65_536
 
@@ -88,7 +87,6 @@ def write_planes(
         n_held = 0
         starts: list[dict] = []  # documents that start among them
         running: tuple[int, int | None, int, int] | None = None  # row, doc_id, ids before this block, ids from it on
-        end = np.array([end_id], "<u4").tobytes()
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n_held, starts, running, block, total
@@ -117,27 +115,20 @@ def write_planes(
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_BLOCKS)
 
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), byte_level(tokenizer).encode(texts), strict=True):
-                found = np.frombuffer(ids + end, "<u4")
-                starts.append({"row": row, "doc_id": doc_id, "at": n_held, "n": len(found)})
-                held.append(found)
-                n_held += len(found)
+        for batch in slices(batches, ENCODE_ROWS, ENCODE_BYTES):
+            ids, bounds = byte_level(tokenizer).encode(batch.column("text"), end_id)
+            held.append(ids)
+            for doc_id, at, n in zip(batch.column("doc_id").to_pylist(), (n_held + bounds[:-1]).tolist(), np.diff(bounds).tolist(), strict=True):
+                starts.append({"row": row, "doc_id": doc_id, "at": at, "n": n})
                 row += 1
-                if n_held >= 4 * block_ids:
-                    yield from blocks(False)
+            n_held += len(ids)
+            if n_held >= 4 * block_ids:
+                yield from blocks(False)
         yield from blocks(True)
 
     spark = docs.sparkSession
-    (
-        docs.select("doc_id", "text")
-        .repartitionByRange(shards or partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(encode, BLOCKS)
-        .write.option("compression", "uncompressed")
-        .parquet(f"{path}/blocks")
-    )
+    sorted_docs = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    in_arrow(sorted_docs, encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     index = blocks.select("shard", "block", "first_id", "n_ids", F.size("docs").alias("n_docs"), F.get("docs.doc_id", F.lit(0)).alias("first_doc_id"), F.transform("planes", F.octet_length).alias("plane_bytes"))
     index.write.parquet(f"{path}/index")
@@ -169,40 +160,53 @@ def _pieces(spark: SparkSession, path: str, digest: bool) -> DataFrame:
                     out.append((b["shard"], row, doc, start, before, whole, hi - lo, zlib.crc32(own).to_bytes(4, "little") if digest else own))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(read, PIECES)
+    return in_arrow(spark.read.parquet(f"{path}/blocks"), read, PIECES)
 
 
-def _joined(spark: SparkSession, path: str, digest: bool, finish) -> DataFrame:
+def _joined(spark: SparkSession, path: str, digest: bool) -> DataFrame:
     pieces = kept(_pieces(spark, path, digest), "pieces")  # read twice below
     # Only documents that run over the end of a block (two a block at most) are shuffled.
     split = (
         pieces.filter(~F.col("whole"))
         .groupBy("shard", "row")
         .agg(F.first("doc_id").alias("doc_id"), F.first("in_shard").alias("in_shard"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("before", "n", "ids"))).alias("parts"))
-        .select("shard", "doc_id", "in_shard", "n_tokens", finish(F.col("parts")).alias("ids"))
+        .select("shard", "doc_id", "in_shard", "n_tokens", "parts")
     )
     whole = pieces.filter("whole").select("shard", "doc_id", "in_shard", F.col("n").alias("n_tokens"), "ids")
     # One row for each shard, of two numbers: small whatever the documents.
-    return whole.unionByName(split).join(F.broadcast(shard_starts(spark, path)), "shard").withColumn("start", F.col("shard_start") + F.col("in_shard"))
+    return whole.unionByName((_combined if digest else _concatenated)(split)).join(F.broadcast(shard_starts(spark, path)), "shard").withColumn("start", F.col("shard_start") + F.col("in_shard"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian 32-bit, as binary) of every document."""
-    return _joined(spark, path, False, lambda parts: F.aggregate(parts, F.lit(b"").cast("binary"), lambda all_, p: F.concat(all_, p["ids"]))).select("doc_id", "start", "n_tokens", "ids")
+    return _joined(spark, path, False).select("doc_id", "start", "n_tokens", "ids")
+
+
+def _combined(split: DataFrame) -> DataFrame:
+    """The rows of ``split`` with the crc32 of all their parts as ``ids``."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                crc = 0
+                for p in parts:
+                    crc = crc32_combine(crc, int.from_bytes(p["ids"], "little"), 4 * p["n"])
+                out.append(crc.to_bytes(4, "little"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "doc_id", "in_shard", "n_tokens")], pa.array(out, pa.binary())], names=["shard", "doc_id", "in_shard", "n_tokens", "ids"])
+
+    return in_arrow(split, step, "shard int, doc_id long, in_shard long, n_tokens long, ids binary")
 
 
-@F.udf(T.BinaryType())
-def _combined(parts) -> bytes:
-    crc = 0
-    for p in parts:
-        crc = crc32_combine(crc, int.from_bytes(p["ids"], "little"), 4 * p["n"])
-    return crc.to_bytes(4, "little")
+def _concatenated(split: DataFrame) -> DataFrame:
+    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda all_, p: F.concat(all_, p["ids"]))
+    return split.select("shard", "doc_id", "in_shard", "n_tokens", ids.alias("ids"))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the ids in its blocks."""
     crc = F.conv(F.concat(*[F.lpad(F.hex(F.substring("ids", k, 1)), 2, "0") for k in (4, 3, 2, 1)]), 16, 10).cast("long")
-    return _joined(spark, path, True, _combined).select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))
+    return _joined(spark, path, True).select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

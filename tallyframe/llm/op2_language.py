@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import held_out, slices
+from tallyframe.llm.common import held_out, in_arrow, slices
 
 BITS = 15
 MAX_TRAIN = 4000
@@ -107,7 +107,7 @@ def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
 
     out = np.zeros((1 << bits) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(step, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in in_arrow(docs.select("text"), step, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas().itertuples():
         out[r.place] = r.n
     return out[:-1], int(out[-1])
 
@@ -185,7 +185,7 @@ def train(docs: DataFrame, usable: Column, max_train: int = MAX_TRAIN, bits: int
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("label", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-    vectors = sample(docs, usable, "lang", max_train).repartition(16).mapInArrow(step, "h long, label string, at array<int>, x array<float>").toArrow()
+    vectors = in_arrow(sample(docs, usable, "lang", max_train).repartition(16), step, "h long, label string, at array<int>, x array<float>").toArrow()
     got = sorted(zip(vectors["h"].to_pylist(), vectors["label"].to_pylist(), [np.asarray(v.values) for v in vectors["at"]], [np.asarray(v.values, dtype=np.float64) for v in vectors["x"]], strict=True), key=lambda r: (r[0], r[1]))
     labels = sorted({r[1] for r in got})
     rows = [(at, x, labels.index(label)) for _, label, at, x in got]
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     read = f"_{keep.index('text')}" if "text" in keep else "_text"  # texts go to Python once
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], *[F.col("text").alias(c) for c in [read] if c == "_text"])
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(step, schema)
+    return in_arrow(rows, step, schema)
 
 
 def usable_for_language() -> Column:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept, row_key, slices
+from tallyframe.llm.common import in_arrow, kept, row_key, slices
 from tallyframe.llm.hashing import ALPHANUMERIC, runs, words
 
 BITMAP_BITS = 1 << 24
@@ -98,7 +98,7 @@ def different_items(items: DataFrame, min_match: int) -> DataFrame:
                     out.append({"item_id": item_id, "same": whole, "n_words": int(b - a), "span": span, "item": text, "seeds": seeds.view(np.int64).tolist(), "places": places.tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    every = items.select("item_id", "text").mapInArrow(step, "item_id long, same long, n_words int, span int, item string, seeds array<long>, places array<int>")
+    every = in_arrow(items.select("item_id", "text"), step, "item_id long, same long, n_words int, span int, item string, seeds array<long>, places array<int>")
     first = F.min(F.struct("item", "seeds", "places")).alias("first")
     return every.groupBy("same", "n_words", "span").agg(F.min("item_id").alias("item_id"), first).select("same", "n_words", "span", "item_id", "first.*")
 
@@ -140,7 +140,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float
                 own = pa.ListArray.from_arrays(pa.array(np.append(at, pairs.shape[1]), pa.int32()), pa.array(pairs[1]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in ("key_a", "key_b", "text")], own], names=["key_a", "key_b", "text", "seeds"])
 
-    hits = docs.select(*row_key("doc_id", "text"), "text").mapInArrow(search, "key_a long, key_b long, text string, seeds array<long>")
+    hits = in_arrow(docs.select(*row_key("doc_id", "text"), "text"), search, "key_a long, key_b long, text string, seeds array<long>")
     hits = kept(hits.dropDuplicates(["key_a", "key_b"]), "hits")
     shared = hits.select("key_a", "key_b", F.explode("seeds").alias("seed")).join(seeds, "seed")
     # Every covered word lies in a shared seed at one of its places in the item.
@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float
 
     texts = different.select("same", "n_words", "item_id", "item")
     tiles = pairs.join(texts, ["same", "n_words"]).join(hits.select("key_a", "key_b", "text"), ["key_a", "key_b"]).select("key_a", "key_b", "item_id", "item", "text")
-    tiles = tiles.mapInArrow(tile, "key_a long, key_b long, item_id long, coverage double, n_tiles long").filter(F.col("coverage") >= coverage)
+    tiles = in_arrow(tiles, tile, "key_a long, key_b long, item_id long, coverage double, n_tiles long").filter(F.col("coverage") >= coverage)
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("m"), "n_tiles"))
     return kept(tiles.groupBy("key_a", "key_b").agg(best.alias("best")).select("key_a", "key_b", (-F.col("best.m")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.n_tiles").alias("n_tiles")), "leaks")
 

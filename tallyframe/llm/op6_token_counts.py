@@ -27,8 +27,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept, scratch, slices
-from tallyframe.llm.encoding import word_counter
+from tallyframe.llm.common import in_arrow, kept, scratch, slices
+from tallyframe.llm.encoding import ENCODE_BYTES, ENCODE_ROWS, word_counter
 
 CACHE = "digest_a long, digest_b long, version string, n_tokens long"
 
@@ -59,8 +59,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 2048)
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n = word_counter(tokenizer).count(batch.column("text").to_pylist())
+        for batch in slices(batches, ENCODE_ROWS, ENCODE_BYTES):
+            n = word_counter(tokenizer).count(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest_a"), batch.column("digest_b"), pa.array(n, pa.int64())], names=["digest_a", "digest_b", "n_tokens"])
 
     digested = docs.select(
@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 2048)
         (F.col("d.digest_a") == F.col("m.digest_a")) & (F.col("d.digest_b") == F.col("m.digest_b")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")),
         "left_semi",
     )
-    encoded = wanted.mapInArrow(encode, "digest_a long, digest_b long, n_tokens long").dropDuplicates(["digest_a", "digest_b"])
+    encoded = in_arrow(wanted, encode, "digest_a long, digest_b long, n_tokens long").dropDuplicates(["digest_a", "digest_b"])
     encoded.withColumn("version", F.lit(version)).select("digest_a", "digest_b", "version", "n_tokens").write.mode("append").parquet(cache)
     # One small side and one join, so that Spark can split the rows of a digest that many copies share.
     hits = known.select("digest_a", "digest_b", F.lit(True).alias("hit"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import kept
+from tallyframe.llm.common import in_arrow, kept
 
 BLOCK_ROWS = 1024
 
@@ -64,7 +64,7 @@ def blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
 
     schema = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
     keyed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    return keyed.repartition(n_blocks, "dim", "block").select("vec_id", "v", "dim", "block").mapInArrow(step, "dim int, block int, ids binary, values binary")
+    return in_arrow(keyed.repartition(n_blocks, "dim", "block").select("vec_id", "v", "dim", "block"), step, "dim int, block int, ids binary, values binary")
 
 
 def rounded(values: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_blocks: int
         yield pa.RecordBatch.from_arrays([pa.array(out[0][real], pa.int64()), pa.array(out[1][real], pa.int64()), pa.array(out[2][real], pa.float64())], names=["query_id", "vec_id", "score"])
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = tiles.select("dim", "q_ids", "q_values", "ids", "values").mapInArrow(product, schema)
+    found = in_arrow(tiles.select("dim", "q_ids", "q_values", "ids", "values"), product, schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

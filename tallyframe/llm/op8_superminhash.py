@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept, mixed, slices
+from tallyframe.llm.common import in_arrow, kept, mixed, slices
 from tallyframe.llm.graph import components
 from tallyframe.llm.hashing import shingles, words
 
@@ -98,7 +98,7 @@ def signed(docs: DataFrame, k: int = 5, bands: int = BANDS, band_rows: int = BAN
                 [batch.column("doc_id"), pa.array(n), *[pa.array(_long(np.array(s, dtype=np.uint64))) for s in sums], pa.array(list(places), pa.list_(pa.int64()))], schema=schema
             )
 
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return in_arrow(docs.select("doc_id", "text"), step, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, k: int, places: int) -> DataFrame:
@@ -111,7 +111,7 @@ def sets_of(docs: DataFrame, k: int, places: int) -> DataFrame:
             signature = mixed(superminhash(np.concatenate(sets), owner, len(sets), places).view(np.uint64)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in signature], pa.binary())], names=["doc_id", "elements", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, elements binary, signature binary")
+    return in_arrow(docs.select("doc_id", "text"), step, "doc_id long, elements binary, signature binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -168,7 +168,7 @@ def family_links(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES)
             links = tile_links(batch.column("rows")[0].as_py(), batch.column("others")[0].as_py(), percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return within.unionByName(across).mapInArrow(step, "a long, b long")
+    return in_arrow(within.unionByName(across), step, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

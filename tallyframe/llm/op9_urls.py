@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm.common import slices
+from tallyframe.llm.common import in_arrow, slices
 from tallyframe.llm.op2_language import ftrl
 
 BITS = 14
@@ -144,7 +144,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, urls: tu
             columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return pages.select("page_id", "url").mapInArrow(step, "page_id long, host string, path string, rule string, verdict string, score double")
+    return in_arrow(pages.select("page_id", "url"), step, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -25,7 +26,7 @@ from tallyframe.llm.op6_token_counts import count_tokens
 from tallyframe.llm.op7_tiles import nearest
 from tallyframe.llm.op8_superminhash import keep_one_of_each, near_duplicates, superminhash
 from tallyframe.llm.op9_urls import judge, split_url
-from tallyframe.llm.op10_best_fit import cut, pack, plan
+from tallyframe.llm.op10_best_fit import cut, pack, placed_runs
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,8 +63,13 @@ def ids_of(texts, path=BYTES):
 def test_encoders_equal_the_library():
     rng, letters = random.Random(1), "aAbZ09 .,'\n\té́²½Σßñ_-|#\xa0　😀漢ِ'sll   \x1d"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(500)] + ["a<|endoftext|>b", "<|startoftext|> A"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in byte_level(BYTES).encode(texts)] == ids_of(texts)
-    assert word_counter(WORDS).count(texts) == [len(x) for x in ids_of(texts, WORDS)]
+    texts += [None, "", " ", "\n", "  \n ", "a ", " a", "a\n\n\n b", "\n\na", "don't'", "DON'T!!", "x" * 5000, "y z" * 3000]
+    for column in (pa.array(texts), pa.array(["pad", *texts])[1:], pa.array(texts[:7]), pa.array([None, ""]), pa.array([], pa.string())):
+        ids, bounds = byte_level(BYTES).encode(column)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == ids_of(column.to_pylist())
+        ids, bounds = byte_level(BYTES).encode(column, 7)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x + [7] for x in ids_of(column.to_pylist())]
+        assert word_counter(WORDS).count(column).tolist() == [len(x) for x in ids_of(column.to_pylist(), WORDS)]
 
 
 @pytest.mark.parametrize("bits", [1, 8])
@@ -308,23 +314,43 @@ def test_op9_judges_urls(spark):
     assert judge(pages.limit(0)).count() == 0
 
 
-def test_plan_is_tight_and_whole():
+def best_fit_decreasing(counts, most):
+    """How many sequences best fit makes, piece by piece, longest first."""
+    gaps, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else most
+            n += gap == most
+            if gap > length:
+                insort(gaps, gap - length)
+    return n
+
+
+@pytest.mark.parametrize("case", ["spread", "halves", "claims", "tiny"])
+def test_supersteps_are_tight_and_whole(spark, case):
     rng = random.Random(17)
-    counts = {n: rng.randrange(1, 50) for n in rng.sample(range(1, 101), 60)}
-    room, rank = defaultdict(list), defaultdict(int)
-    for length, first_rank, n, first, offset in plan(counts, 100):
-        assert first_rank == rank[length]
-        rank[length] += n
-        for k in range(n):
-            room[first + k].append((offset, length))
-    assert dict(rank) == counts
+    counts = {
+        "spread": {n: rng.randrange(1, 50) for n in rng.sample(range(1, 101), 60)},
+        "halves": {n: rng.randrange(1, 4) for n in range(26, 51)},
+        "claims": {60: 1, 40: 2, 39: 1},  # both pieces of 40 claim the one gap of 40
+        "tiny": {1: 500, 3: 40, 70: 3},
+    }[case]
+    room, ranks = defaultdict(list), defaultdict(list)
+    for r in placed_runs(spark.createDataFrame(list(counts.items()), "length int, n long"), 100).collect():
+        for i in range(r.n):
+            ranks[r.length].append(r["first"] + i)
+            room[r.sequence + i // r.each].append((r["at"] + i % r.each * r.length, r.length))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
     for pieces in room.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= 100
-    assert len(room) <= 1.02 * -(-sum(n * c for n, c in counts.items()) // 100) + 1
+    assert len(room) <= best_fit_decreasing(counts, 100) + 1
+    if case == "claims":
+        assert sorted(sorted(n for _, n in pieces) for pieces in room.values()) == [[39, 40], [40, 60]]
 
 
 def test_op10_packs_everything_once(spark, odd_docs, no_docs):
