@@ -137,8 +137,8 @@ def associations(df: DataFrame, fields: Fields | None = None) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     out = benjamini_hochberg(out).withColumn("significant_fdr", F.col("q_value") <= ALPHA)
-    out = out.withColumns({"effect_label": effect_label(F.col("effect")), "evidence_score": F.col("effect") * F.when(F.col("significant_fdr"), 1.0).otherwise(0.25)})
-    return out
+    out = out.withColumns({"effect_label": effect_label(F.col("effect")), "evidence_score": F.coalesce("effect", F.lit(0.0)) * F.when(F.col("significant_fdr"), 1.0).otherwise(0.25)})
+    return out.orderBy(F.desc("evidence_score"), F.desc_nulls_last("effect"), "field_1", "field_2")  # a row a pair of fields
 
 
 def supported(pairs: DataFrame) -> DataFrame:

@@ -114,8 +114,9 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, most: int = 5000) -> DataFrame:
-    """Points for a scatter plot: those of at most ``most`` rows, the sample being what the plot shows."""
-    return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().limit(most)
+    """Points for a scatter plot: those of the ``most`` rows whose values hash smallest, the sample being what the plot shows."""
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    return points.orderBy(F.xxhash64("x", "y"), "x", "y").limit(most)
 
 
 def boxplot(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyframe.operators.profile import parsed_date, structural_exclusions
 
@@ -106,6 +107,23 @@ def fold(key: list[str], folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(folds)).cast("int")
 
 
+def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int, seed: int, buckets: int = 256, name: str = "_fold") -> DataFrame:
+    """``df`` with a fold number in ``name`` that deals the rows of each class out in turn.
+
+    Rows of a class are numbered by hash of the key: within hash buckets, and from
+    the number of its rows in the buckets before, so no window holds a whole
+    class.  Equal rows are dealt out like others.
+    """
+    h = F.xxhash64(F.lit(seed), *key)
+    rows = df.withColumns({"_hash": h, "_bucket": F.pmod(h, F.lit(buckets)).cast("int")})
+    counts = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(label, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    local = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash"))
+    out = rows.withColumn("_local", local).join(F.broadcast(ahead), [label, "_bucket"])  # classes times buckets
+    return out.withColumn(name, F.pmod(F.col("_ahead") + F.col("_local") - 1, F.lit(folds)).cast("int")).drop("_hash", "_bucket", "_local", "_ahead")
+
+
 def model_features(df: DataFrame, target: str) -> list[str]:
     """Columns to learn from: neither ids, constants, the target, nor types that aren't numbers or texts."""
     usable = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType)) and f.name != target and not f.name.startswith("_")]

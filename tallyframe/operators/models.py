@@ -1,11 +1,15 @@
 """Supervised routes: boosted trees with out-of-fold evidence.
 
-Folds are hashes of the row's key, so they are the same in every run.  A model
-for an outer fold never sees the fold.  The number of trees is a parameter.
+Folds are dealt by hashes of the rows, so they are the same in every run; for
+classes they are stratified.  A model for an outer fold never sees the fold.
+Each route also has its model of all rows, which scores new ones.  The number of
+trees is a parameter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -14,7 +18,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.features import Preprocessor, balanced_weight, class_labels, derived_fields, fold, interactions, log_features, model_features
+from tallyframe.operators.features import Preprocessor, balanced_weight, class_labels, derived_fields, fold, interactions, log_features, model_features, stratified_folds
 from tallyframe.plans.policies import BINARY, MULTICLASS, REGRESSION, Boosting
 
 
@@ -31,10 +35,90 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass
+class Fitted:
+    """A model of all rows: ``score`` adds its predictions to a table with the same columns."""
+
+    target: str
+    features: list[str]
+    labels: list
+    prepare: Callable[[DataFrame], DataFrame]
+    preprocessor: Preprocessor
+    models: list
+    calibrator: object = None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """For numbers ``prediction``; for classes ``probabilities`` by class number and ``prediction``, a label."""
+        rows = self.preprocessor.transform(self.prepare(df.drop(self.target)))
+        if not self.labels:
+            return self.models[0].transform(rows).drop("features")
+        for i, model in enumerate(self.models):
+            rows = model.transform(rows).withColumn(f"_s{i}", F.greatest(F.lit(1e-12), vector_to_array(F.col(model.getProbabilityCol()))[1]))
+            rows = rows.drop(model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol())
+        if len(self.models) == 1:
+            one = self.calibrator.transform(rows.withColumn("score", F.col("_s0")))
+            rows = one.withColumn("probabilities", F.array(1 - F.col("calibrated"), F.col("calibrated"))).drop("score", "calibrated", "_s0", "features")
+            number = F.when(F.col("probabilities")[1] >= BINARY.threshold, 1).otherwise(0)
+        else:
+            total = reduce(lambda a, b: a + b, [F.col(f"_s{i}") for i in range(len(self.models))])
+            rows = rows.withColumn("probabilities", F.array(*[F.col(f"_s{i}") / total for i in range(len(self.models))])).drop("features", *[f"_s{i}" for i in range(len(self.models))])
+            number = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+        return rows.withColumn("prediction", F.get(F.array(*[F.lit(v) for v in self.labels]), number))
+
+
+def _regression_rows(df: DataFrame, target: str) -> DataFrame:
+    return log_features(interactions(derived_fields(df.withColumn("_y", F.col(target).try_cast("double")).filter("_y IS NOT NULL").drop(target))))
+
+
+def fit_regression(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> Fitted:
+    rows = _regression_rows(df, target)
+    features = model_features(rows, "_y")
+    logs = [c.removesuffix("__log1p") for c in rows.columns if c.endswith("__log1p")]
+    prep = Preprocessor(rows, features)
+    model = _boost(GBTRegressor, policy, "_y").fit(prep.transform(rows).select("features", "_y"))
+
+    def prepare(new: DataFrame) -> DataFrame:
+        new = interactions(derived_fields(new))
+        return new.withColumns({f"{c}__log1p": F.log1p(F.col(c).cast("double")) for c in logs})
+
+    return Fitted(target, features, [], prepare, prep, [model])
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    return interactions(derived_fields(df))
+
+
+def fit_binary(df: DataFrame, target: str, policy: Boosting = BINARY) -> Fitted:
+    """The model of all rows, and a calibrator fitted to its scores out of fold."""
+    rows, labels = _classified(df, target)
+    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
+    features = model_features(rows, "_y")
+    scored = _joined([_fit_scores(rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i), features, policy).select("_y", "score") for i in range(policy.folds)])
+    calibrator = IsotonicRegression(featuresCol="score", labelCol="_y", predictionCol="calibrated").fit(scored)
+    prep = Preprocessor(rows, features)
+    model = _boost(GBTClassifier, policy, "_y", weightCol="weight").fit(balanced_weight(prep.transform(rows).select("features", "_y"), "_y"))
+    rows.unpersist()
+    return Fitted(target, features, labels, _prepared, prep, [model], calibrator)
+
+
+def fit_multiclass(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> Fitted:
+    rows, labels = _classified(df, target)
+    features = model_features(rows, "_y")
+    prep = Preprocessor(rows, features)
+    ready = prep.transform(rows).select("features", "_y").persist()
+    models = [_one_against_rest(ready, c, policy) for c in range(len(labels))]
+    ready.unpersist()
+    return Fitted(target, features, labels, _prepared, prep, models)
+
+
+def _one_against_rest(ready: DataFrame, c: int, policy: Boosting):
+    one = balanced_weight(ready.withColumn("_one", (F.col("_y") == c).cast("double")), "_one")
+    return _boost(GBTClassifier, policy, "_one", weightCol="weight").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_hard").fit(one)
+
+
 def regression_oof(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> DataFrame:
     """_key, y and out-of-fold prediction of every row whose target is a number."""
-    rows = log_features(interactions(derived_fields(df.withColumn("_y", F.col(target).try_cast("double")).filter("_y IS NOT NULL").drop(target))))
-    rows = _keyed(rows, "_y").withColumn("_fold", fold(["_key"], policy.folds, policy.seed)).persist()
+    rows = _keyed(_regression_rows(df, target), "_y").withColumn("_fold", fold(["_key"], policy.folds, policy.seed)).persist()
     features = model_features(rows, "_y")
     parts = []
     for i in range(policy.folds):
@@ -68,12 +152,12 @@ def binary_oof(df: DataFrame, target: str, policy: Boosting = BINARY) -> DataFra
     rows, labels = _classified(df, target)
     if len(labels) != 2:
         raise ValueError("a binary target has two values")
-    rows = _keyed(rows, "_y").withColumn("_fold", fold(["_key"], policy.folds, policy.seed)).persist()
+    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
     features = model_features(rows, "_y")
     parts = []
     for i in range(policy.folds):
         train, test = rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i)
-        inner = train.withColumn("_inner", fold(["_key"], policy.inner_folds, 100 + i))
+        inner = stratified_folds(train, "_y", ["_key"], policy.inner_folds, 100 + i, name="_inner")
         scored = _joined([_fit_scores(inner.filter(F.col("_inner") != j), inner.filter(F.col("_inner") == j), features, policy).select("_y", "score") for j in range(policy.inner_folds)])
         calibrator = IsotonicRegression(featuresCol="score", labelCol="_y", predictionCol="calibrated").fit(scored)
         out = calibrator.transform(_fit_scores(train, test, features, policy).select("_key", "_y", "score"))
@@ -86,7 +170,7 @@ def multiclass_oof(df: DataFrame, target: str, policy: Boosting = MULTICLASS) ->
     rows, labels = _classified(df, target)
     if len(labels) < 3:
         raise ValueError("a multiclass target has three values or more")
-    rows = _keyed(rows, "_y").withColumn("_fold", fold(["_key"], policy.folds, policy.seed)).persist()
+    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
     features = model_features(rows, "_y")
     parts = []
     for i in range(policy.folds):
@@ -94,10 +178,7 @@ def multiclass_oof(df: DataFrame, target: str, policy: Boosting = MULTICLASS) ->
         prep = Preprocessor(train, features)
         ready, out = prep.transform(train).select("features", "_y"), prep.transform(test).select("_key", "_y", "features")
         for c in range(len(labels)):
-            one = balanced_weight(ready.withColumn("_one", (F.col("_y") == c).cast("double")), "_one")
-            learner = _boost(GBTClassifier, policy, "_one", weightCol="weight").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_hard")
-            model = learner.fit(one)
-            out = model.transform(out).withColumn(f"_s{c}", F.greatest(F.lit(1e-12), vector_to_array("_p")[1])).drop("_p", "_raw", "_hard")
+            out = _one_against_rest(ready, c, policy).transform(out).withColumn(f"_s{c}", F.greatest(F.lit(1e-12), vector_to_array("_p")[1])).drop("_p", "_raw", "_hard")
         total = reduce(lambda a, b: a + b, [F.col(f"_s{c}") for c in range(len(labels))])
         parts.append(out.select("_key", F.col("_y").cast("int").alias("y"), F.array(*[F.col(f"_s{c}") / total for c in range(len(labels))]).alias("probabilities")))
     return _joined(parts), labels

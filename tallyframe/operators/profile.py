@@ -182,10 +182,10 @@ def field_roles(df: DataFrame, target: str | None = None) -> Fields:
 
 
 def field_profile(df: DataFrame) -> DataFrame:
-    """field, dtype, role, missing_pct, n_unique and unique_ratio of every field that isn't excluded."""
+    """field, dtype, role (numeric or categorical, by type), missing_pct, n_unique and unique_ratio of every field that isn't excluded."""
     fields = field_roles(df)
     rows = [
-        (f.name, f.dataType.simpleString(), fields.role(f.name), 100.0 * fields.counts[f.name][1] / fields.n_rows, fields.counts[f.name][0], fields.counts[f.name][0] / fields.n_rows)
+        (f.name, f.dataType.simpleString(), "numeric" if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else "categorical", 100.0 * fields.counts[f.name][1] / fields.n_rows, fields.counts[f.name][0], fields.counts[f.name][0] / fields.n_rows)
         for f in df.schema
         if f.name in fields.counts and f.name not in fields.excluded
     ]

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.operators.evaluate import cluster_metrics, silhouette
-from tallyframe.operators.features import derived_fields, impute, medians, numeric_columns
+from tallyframe.operators.features import derived_fields, medians, numeric_columns
 from tallyframe.operators.profile import field_roles
 from tallyframe.plans.policies import SEGMENTATION, Segmentation
 
@@ -31,25 +32,48 @@ def segment_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows, features
 
 
-def segments(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tuple[DataFrame, dict]:
-    """``df``'s features with ``segment``, and the evidence for it."""
+@dataclass
+class Segments:
+    """A segmentation: its rows (the features as they were, with ``segment``), the evidence, and what was fitted."""
+
+    rows: DataFrame
+    features: list[str]
+    excluded: list[str]
+    medians: dict[str, float]
+    scaler: StandardScalerModel
+    pca: PCAModel
+    model: KMeansModel
+    evidence: dict
+
+
+def fit_segments(df: DataFrame, policy: Segmentation = SEGMENTATION) -> Segments:
     rows, features = segment_features(df)
-    filled = impute(rows, medians(rows, features), {}).select(*[F.col(c).cast("double").alias(c) for c in features])
-    wide = VectorAssembler(inputCols=features, outputCol="v").transform(filled)
-    scaled = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(wide).transform(wide).persist()
-    every = PCA(k=len(features), inputCol="z", outputCol="c").fit(scaled)
-    running = list(accumulate(every.explainedVariance))
+    fill = medians(rows, features)
+    raw = rows.select(*[F.col(c).cast("double").alias(c) for c in features])
+    filled = raw.select(F.struct(*features).alias("raw"), *[F.coalesce(F.col(c), F.lit(fill.get(c, 0.0))).alias(c) for c in features])
+    wide = VectorAssembler(inputCols=features, outputCol="v").transform(filled).select("raw", "v")
+    scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(wide)
+    scaled = scaler.transform(wide).persist()
+    pca = PCA(k=len(features), inputCol="z", outputCol="c").fit(scaled)
+    running = list(accumulate(pca.explainedVariance))
     m = next((i + 1 for i, v in enumerate(running) if v > policy.variance), len(features))
-    reduced = every.transform(scaled).withColumn("pc", vector_to_array("c")).select("v", *[F.col("pc")[i].alias(f"pc{i}") for i in range(m)])
-    reduced = VectorAssembler(inputCols=[f"pc{i}" for i in range(m)], outputCol="features").transform(reduced).persist()
+    axes = [f"pc{i}" for i in range(m)]
+    reduced = pca.transform(scaled).withColumn("pc", vector_to_array("c")).select("raw", *[F.col("pc")[i].alias(c) for i, c in enumerate(axes)])
+    reduced = VectorAssembler(inputCols=axes, outputCol="features").transform(reduced).persist()
     fits = (KMeans(k=policy.clusters, seed=policy.seed + i, initSteps=2).fit(reduced) for i in range(policy.starts))
     best = min(fits, key=lambda f: f.summary.trainingCost)
-    labelled = best.transform(reduced).withColumnRenamed("prediction", "segment")
-    axes = [f"pc{i}" for i in range(m)]
+    labelled = best.transform(reduced).withColumnRenamed("prediction", "segment").persist()
     scores = cluster_metrics(labelled, axes, "segment").first()
     evidence = {"silhouette": silhouette(labelled, axes, "segment"), "calinski_harabasz": scores[0], "davies_bouldin": scores[1], "pca_dimensions": m, "pca_variance": float(running[m - 1])}
-    out = labelled.withColumn("_x", vector_to_array("v")).select(*[F.col("_x")[i].alias(c) for i, c in enumerate(features)], "segment")
-    return out, evidence
+    scaled.unpersist()
+    reduced.unpersist()
+    return Segments(labelled.select("raw.*", "segment"), features, [c for c in df.columns if c not in features], fill, scaler, pca, best, evidence)
+
+
+def segments(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tuple[DataFrame, dict]:
+    """``df``'s features as they are with ``segment``, and the evidence for it."""
+    fit = fit_segments(df, policy)
+    return fit.rows, fit.evidence
 
 
 def segment_profile(df: DataFrame, features: list[str], segment: str, top: int = 3) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.association import REDUNDANT, associations, connectivity, supported
 from tallyframe.operators.evaluate import binary_metrics, multiclass_metrics, probability_metrics, regression_metrics, selective
-from tallyframe.operators.models import binary_oof, multiclass_oof, regression_oof
+from tallyframe.operators.models import binary_oof, fit_binary, fit_multiclass, fit_regression, multiclass_oof, regression_oof
 from tallyframe.operators.profile import field_profile, field_roles
-from tallyframe.operators.segment import segment_profile, segments
+from tallyframe.operators.segment import fit_segments, segment_profile
 from tallyframe.plans.policies import BINARY, MULTICLASS, REGRESSION, SEGMENTATION, Boosting, Segmentation
 from tallyframe.plans.report import executive_report
 
@@ -25,76 +25,103 @@ def _result(route: str, df: DataFrame, began: float, target: str | None = None,
     return base | {"method": {}, "evidence": {}, "findings": [], "warnings": [], "recommendations": []} | more | {"readiness": "FAST_EXECUTION_READY", "runtime_seconds": time.perf_counter() - began}
 
 
-def _sentence(r) -> dict:
-    words = {1: "positive association", -1: "negative association"}.get(r["direction"], "association")
-    return {"relationship": f"{r['field_1']} ↔ {r['field_2']}", "pair_type": r["pair_type"], "effect": r["effect"], "q_value": r["q_value"], "interpretation": f"{r['effect_label'].replace('_', ' ')} {words}"}
+#: The signs of the measures in a finding's text.
+MEASURE = {"numeric_numeric": "ρ", "categorical_numeric": "ε²", "categorical_categorical": "Cramér's V"}
 
 
-def _ranked(pairs: DataFrame, n: int) -> list[dict]:
+def _sentence(r, numeric: str) -> dict:
+    sign = "positive" if (r["signed_effect"] or 0) > 0 else "negative"
+    kind = {"numeric_numeric": f"{sign} {numeric}", "categorical_numeric": "numeric difference between groups", "categorical_categorical": "association of categories"}[r["pair_type"]]
+    size = r["signed_effect"] if r["pair_type"] == "numeric_numeric" else r["effect"]
+    return {"relationship": f"{r['field_1']} ↔ {r['field_2']}", "pair_type": r["pair_type"], "effect": r["effect"], "q_value": r["q_value"], "interpretation": f"{kind} ({MEASURE[r['pair_type']]}={size:.3f})"}
+
+
+def _ranked(pairs: DataFrame, n: int, numeric: str = "association") -> list[dict]:
     """The strongest findings: a top-k report."""
-    return [_sentence(r) for r in pairs.orderBy(F.desc("evidence_score"), F.desc("effect"), "field_1", "field_2").limit(n).collect()]
+    return [_sentence(r, numeric) for r in pairs.orderBy(F.desc("evidence_score"), F.desc("effect"), "field_1", "field_2").limit(n).collect()]
+
+
+def _advice(*chosen: tuple[bool, str, str]) -> list[dict]:
+    return [{"analysis": analysis, "reason": reason} for holds, analysis, reason in chosen if holds]
 
 
 def association_route(df: DataFrame) -> tuple[dict, dict]:
     began = time.perf_counter()
-    pairs = associations(df).persist()
-    good = supported(pairs).persist()
-    redundant = good.filter((F.col("pair_type") == "numeric_numeric") & (F.col("effect") >= REDUNDANT))
+    fields = field_roles(df)
+    pairs = associations(df, fields).persist()
+    good = supported(pairs)
+    redundant = pairs.filter("significant_fdr").filter((F.col("pair_type") == "numeric_numeric") & (F.col("effect") >= REDUNDANT))
     evidence = {"tests_run": pairs.count(), "fdr_supported": pairs.filter("significant_fdr").count(), "practical_supported": good.count(), "redundancy_candidates": redundant.count()}
-    advice = (["Review redundant numeric fields before modelling."] if evidence["redundancy_candidates"] else []) + ["Follow up supported relationships with a targeted model."]
+    advice = _advice(
+        (evidence["redundancy_candidates"] > 0, "Review of redundant fields", "Some numeric fields say nearly the same, with FDR support."),
+        (evidence["practical_supported"] > 0, "Predictive model", "Supported relationships show which predictors and targets are worth modelling."),
+    )
     method = {"numeric_numeric": "Spearman", "categorical_categorical": "ChiSquare+CramersV", "categorical_numeric": "KruskalWallis+EpsilonSquared", "multiple_testing": "Benjamini-Hochberg"}
-    return _result("association", df, began, method=method, evidence=evidence, findings=_ranked(good, 10), recommendations=advice), {"associations": pairs, "supported": good, "redundancy": redundant}
+    return _result("association", df, began, method=method, evidence=evidence, findings=_ranked(good, 10), recommendations=advice), {"associations": pairs, "supported": good, "redundancy": redundant, "excluded": fields.excluded}
 
 
 def exploratory_route(df: DataFrame) -> tuple[dict, dict]:
     began = time.perf_counter()
     fields = field_roles(df)
     pairs = associations(df, fields).persist()
-    good, ends = supported(pairs), connectivity(pairs)
+    good, ends = supported(pairs), connectivity(pairs).persist()
     strong = pairs.filter((F.col("pair_type") == "numeric_numeric") & (F.col("effect") >= REDUNDANT)).count()
-    top = ends.first()
-    evidence = {"association_pairs": pairs.count(), "fdr_supported": pairs.filter("significant_fdr").count(), "moderate_plus_pairs": good.filter("effect >= 0.30").count(), "very_strong_numeric_pairs": strong, "connected_fields": ends.count()}
-    advice = (["Consider dimension reduction."] if strong else []) + (["Consider segmentation."] if top and top["edges"] >= 5 else []) + ["Run an association analysis for detail."]
-    return _result("exploratory", df, began, method={"profile": "field roles", "associations": "pairwise"}, evidence=evidence, findings=_ranked(good, 8), recommendations=advice), {"profile": field_profile(df), "associations": pairs, "connectivity": ends}
+    top, profile = ends.first(), field_profile(df.drop(*fields.excluded))
+    evidence = {
+        "usable_fields": len(df.columns) - len(fields.excluded), "association_pairs": pairs.count(), "fdr_supported": pairs.filter("significant_fdr").count(),
+        "moderate_plus_pairs": pairs.filter("effect >= 0.30").count(), "very_strong_numeric_pairs": strong, "connected_fields": ends.count(),
+    }
+    advice = _advice(
+        (strong > 0, "Dimension reduction", "Numeric fields share very strong structure."),
+        (top is not None and top["edges"] >= 5, "Segmentation", "One field is connected with five others or more."),
+        (True, "Association analysis", "Every pair is tested with FDR control."),
+    )
+    artifacts = {"profile": profile, "associations": pairs, "supported": good, "connectivity": ends, "excluded": fields.excluded}
+    return _result("exploratory", df, began, method={"profile": "field roles", "associations": "pairwise"}, evidence=evidence, findings=_ranked(good, 8, "monotonic association"), recommendations=advice), artifacts
 
 
 def segmentation_route(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tuple[dict, dict]:
+    """Segments are made from imputed fields and described by the fields as they are."""
     began = time.perf_counter()
-    labelled, evidence = segments(df, policy)
-    features = [c for c in labelled.columns if c != "segment"]
-    profile = segment_profile(labelled, features, "segment").persist()
+    fit = fit_segments(df, policy)
+    profile = segment_profile(fit.rows, fit.features, "segment").persist()
     findings: dict[str, dict] = {}
     for r in profile.orderBy("segment", "side", "place").collect():  # six rows a segment
         findings.setdefault(str(r["segment"]), {"high": [], "low": [], "size_pct": r["size_pct"]})[r["side"]].append(r["field"])
-    return _result("segmentation", df, began, method={"algorithm": "KMeans", "clusters": policy.clusters, "features": len(features)}, evidence=evidence, findings=findings), {"segments": labelled, "profile": profile}
+    method = {"representation": f"{fit.evidence['pca_dimensions']} principal components", "algorithm": "KMeans", "clusters": policy.clusters, "features": len(fit.features), "selection_source": "fixed policy"}
+    artifacts = {"segments": fit.rows, "profile": profile, "features": fit.features, "excluded": fit.excluded, "imputer": fit.medians, "scaler": fit.scaler, "pca": fit.pca, "model": fit.model}
+    return _result("segmentation", df, began, method=method, evidence=fit.evidence, findings=findings), artifacts
 
 
 def regression_route(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> tuple[dict, dict]:
     began = time.perf_counter()
-    oof = regression_oof(df, target, policy).persist()
+    oof, fitted = regression_oof(df, target, policy).persist(), fit_regression(df, target, policy)
     m = regression_metrics(oof, "y", "prediction").first().asDict()
     warnings = ["High values are underestimated on average."] if m.pop("tail_warning") else []
-    return _result("regression", df, began, target, method=asdict(policy), evidence={k: v for k, v in m.items() if k != "n"}, warnings=warnings), {"oof": oof}
+    artifacts = {"oof": oof, "fitted": fitted, "features": fitted.features}
+    return _result("regression", df, began, target, method=asdict(policy), evidence={k: v for k, v in m.items() if k != "n"}, warnings=warnings), artifacts
 
 
 def binary_route(df: DataFrame, target: str, policy: Boosting = BINARY) -> tuple[dict, dict]:
     began = time.perf_counter()
-    oof = binary_oof(df, target, policy).persist()
-    return _result("binary", df, began, target, method=asdict(policy), evidence=binary_metrics(oof, "y", "score", policy.threshold).first().asDict()), {"oof": oof}
+    oof, fitted = binary_oof(df, target, policy).persist(), fit_binary(df, target, policy)
+    artifacts = {"oof": oof, "fitted": fitted, "features": fitted.features, "labels": fitted.labels}
+    return _result("binary", df, began, target, method=asdict(policy), evidence=binary_metrics(oof, "y", "score", policy.threshold).first().asDict()), artifacts
 
 
 def multiclass_route(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> tuple[dict, dict]:
     began = time.perf_counter()
     oof, labels = multiclass_oof(df, target, policy)
-    oof = oof.persist()
+    oof, fitted = oof.persist(), fit_multiclass(df, target, policy)
     guess = oof.withColumn("p", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
     evidence = multiclass_metrics(guess, "y", "p").first().asDict() | probability_metrics(oof, "y", "probabilities", len(labels)).first().asDict() | selective(oof, "y", "probabilities").first().asDict()
-    return _result("multiclass", df, began, target, method=asdict(policy), evidence=evidence), {"oof": oof, "labels": labels}
+    return _result("multiclass", df, began, target, method=asdict(policy), evidence=evidence), {"oof": oof, "labels": labels, "fitted": fitted, "features": fitted.features}
 
 
 #: Names by which a route is asked for.
 INTENTS = {
-    "customer segmentation": "segmentation", "segmentation": "segmentation", "clustering": "segmentation", "regression": "regression", "binary": "binary", "multiclass": "multiclass", "classification": "classification",
+    "customer segmentation": "segmentation", "segmentation": "segmentation", "clustering": "segmentation", "regression": "regression",
+    "binary classification": "binary", "multiclass classification": "multiclass", "classification": "classification", "binary": "binary", "multiclass": "multiclass",
     "exploratory data analysis": "exploratory", "exploratory": "exploratory", "eda": "exploratory", "association analysis": "association", "association": "association",
 }
 UNSUPERVISED: dict[str, Callable[..., tuple[dict, dict]]] = {"segmentation": segmentation_route, "exploratory": exploratory_route, "association": association_route}
@@ -103,7 +130,7 @@ SUPERVISED: dict[str, Callable[..., tuple[dict, dict]]] = {"regression": regress
 
 def execute(df: DataFrame, intent: str, target: str | None = None, mode: str = "fast", policy: Boosting | Segmentation | None = None) -> tuple[dict, dict]:
     """(result, artifacts) of the route that ``intent`` names."""
-    if mode != "fast":
+    if mode.strip().lower() != "fast":
         raise NotImplementedError(f"mode {mode!r} is not available")
     route = INTENTS.get(intent.strip().lower())
     if route is None:
