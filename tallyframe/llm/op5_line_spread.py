@@ -98,7 +98,7 @@ WITH cut AS (
   SELECT doc_id, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM cut
 ), counted AS (
   SELECT trim(line, chr(32) || chr(9) || chr(13)) AS line, count(DISTINCT source) AS sites, min(doc_id) AS first_doc
-  FROM lines GROUP BY 1 HAVING length(trim(line, chr(32) || chr(9) || chr(13))) >= 20 AND count(DISTINCT source) >= 5
+  FROM lines GROUP BY 1 HAVING length(trim(line, chr(32) || chr(9) || chr(13))) >= 1 AND count(DISTINCT source) >= 5
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND l.doc_id <> c.first_doc AS gone
   FROM lines l LEFT JOIN counted c ON trim(l.line, chr(32) || chr(9) || chr(13)) = c.line
