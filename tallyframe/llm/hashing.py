@@ -23,7 +23,7 @@ def _letters() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     inverse = pow(int(_BASE), -1, 2**64)
     up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(inverse), np.uint64)
@@ -93,7 +93,7 @@ def _hashed(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first[both] = True
     last[both - 1] = True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(16, int(len(values)).bit_length()))
+    up, down = powers(1 << max(16, int(len(values)).bit_length()))
     total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
     np.multiply(values, up[: len(values)], out=values)

@@ -10,9 +10,9 @@ whichever order the runs stand in the document.
 2. A pair of document and item is tiled only if its seeds could cover enough of
    the item: a seed covers ``min_match`` words at most at each of its places in
    the item.
-3. Tiling: Karp-Rabin hashes of all windows of both texts give the common runs;
-   the longest is marked first, then the longest of what is left unmarked, down
-   to ``min_match`` words.  Coverage is the marked share of the item's words.
+3. Tiling: Karp-Rabin hashes of the unmarked windows of both texts give the
+   longest common run; it is marked, then the longest of what is left, down to
+   ``min_match`` words.  Coverage is the marked share of the item's words.
 
 Words are runs of letters and digits, lower-cased.
 
@@ -27,7 +27,6 @@ by ``remove_leaks``.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_arrow, kept, row_key, slices
-from tallyframe.llm.hashing import ALPHANUMERIC, runs, words
+from tallyframe.llm.common import in_arrow, kept, mixed, row_key, slices
+from tallyframe.llm.hashing import ALPHANUMERIC, powers, runs, words
 
 BITMAP_BITS = 1 << 24
 #: Leaking documents' keys of at most so many rows are broadcast (8 MB); beyond it the join shuffles.
@@ -48,33 +47,65 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words(pc.utf8_lower(column), ALPHANUMERIC)
 
 
+class _Windows:
+    """Karp-Rabin hashes of all windows of a text, of any length, and which of its words are marked."""
+
+    def __init__(self, hashes: np.ndarray):
+        up, self.down = powers(1 << max(10, len(hashes).bit_length()))
+        self.total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self.total[1:])
+        self.marked = np.zeros(len(hashes), bool)
+
+    def free(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows without a marked word."""
+        seen = np.concatenate(([0], np.cumsum(self.marked)))
+        at = np.flatnonzero(seen[length:] == seen[:-length])
+        return at, mixed((self.total[at + length] - self.total[at]) * self.down[at])
+
+
+def _mark(a: _Windows, b: _Windows, length: int) -> list[tuple[int, int, int]]:
+    """Mark the common windows of a length, first in the document first, then first in the item."""
+    (x, hx), (y, hy) = a.free(length), b.free(length)
+    both = np.intersect1d(hx, hy)
+    x, hx, y, hy = x[np.isin(hx, both)], hx[np.isin(hx, both)], y[np.isin(hy, both)], hy[np.isin(hy, both)]
+    places: dict[int, list[int]] = {}
+    for place, h in zip(x[::-1].tolist(), hx[::-1].tolist(), strict=True):
+        places.setdefault(h, []).append(place)
+    out, end = [], 0
+    for place, h in zip(y.tolist(), hy.tolist(), strict=True):
+        mine = places[h]
+        while place >= end and mine:
+            at = mine.pop()  # a place that is taken now stays taken
+            if not a.marked[at : at + length].any():
+                a.marked[at : at + length] = b.marked[place : place + length] = True
+                out.append((at, place, length))
+                end = place + length
+    return out
+
+
 def tiled(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """(place in item, place in doc, length) of the tiles, longest first."""
-    least = min(min_match, len(item))
-    a, b = runs(item, least), runs(doc, least)
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    at = np.repeat(np.arange(len(b)), hi - lo)
-    within = np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-    i, j = order[lo[at] + within], at
-    by = np.lexsort((i, j - i))  # along each diagonal
-    i, j = i[by], j[by]
-    cuts = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
-    first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(i)]))
-    heap = [(-int(e - s + least - 1), int(j[s]), int(i[s])) for s, e in zip(first, last, strict=True) if e > s]
-    heapq.heapify(heap)
-    in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    while heap and not in_item.all():
-        length, y, x = heapq.heappop(heap)
-        free = ~(in_item[x : x - length] | in_doc[y : y - length])
-        if free.all():
-            in_item[x : x - length] = in_doc[y : y - length] = True
-            out.append((x, y, -length))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if e - s >= least:
-                heapq.heappush(heap, (s - e, y + s, x + s))
+    """(place in item, place in doc, length) of the tiles, longest first.
+
+    The longest length at which the texts have an unmarked window in common is
+    searched by halving, its windows are marked, and the search goes on below it:
+    memory is linear in the texts, however repetitive they are.
+    """
+    least, out = min(min_match, len(item)), []
+    if not least or len(doc) < least:
+        return out
+    a, b, high = _Windows(item), _Windows(doc), min(len(item), len(doc))
+    while high >= least:
+        low = least - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(np.intersect1d(a.free(middle)[1], b.free(middle)[1])):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
+            break
+        out += _mark(a, b, low)
+        high = low - 1
     return out
 
 
