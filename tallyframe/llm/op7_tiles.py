@@ -11,8 +11,8 @@ precision.  Each task keeps one heap of k for each query through all its tiles,
 and the tasks' heaps are merged by rank.  The answer is exact.
 
 Cases: vectors that are null, empty or zero, or hold a null or a non-finite
-component, take no part.  Rows that share a vec_id count as one, the smallest
-vector.  Vectors are compared only with those of the same length.  Ties go to
+component, take no part.  Rows that share a vec_id are vectors of their own, as
+queries and as candidates.  Vectors are compared only with those of the same length.  Ties go to
 the smaller vec_id.  A query with fewer than k candidates gets all of them.  A
 null vec_id takes no part.  An empty table, or one without queries, gives no
 rows.  Other columns are left out.
@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyframe.llm.common import in_arrow, kept
@@ -35,26 +34,27 @@ BLOCK_ROWS = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, dim): one row for each vec_id whose vector takes part."""
+    """(row, vec_id, v, dim) of every row whose vector takes part; ``row`` is a number of its own."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine).groupBy("vec_id").agg(F.min(v.cast("array<double>")).alias("v")).withColumn("dim", F.size("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
 
 
 def blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
-    """(dim, block, ids, values): vectors packed under a hash of vec_id, at most BLOCK_ROWS a row."""
+    """(dim, block, rows, ids, values): vectors packed under a hash of their row, at most BLOCK_ROWS a row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[tuple[int, int], tuple[list[int], list[int], list[np.ndarray]]] = {}
 
         def row(key: tuple[int, int]) -> pa.RecordBatch:
-            ids, values = held.pop(key)
-            return pa.RecordBatch.from_pydict({"dim": [key[0]], "block": [key[1]], "ids": [np.array(ids, "<i8").tobytes()], "values": [np.concatenate(values).astype("<f8").tobytes()]}, schema=schema)
+            rows, ids, values = held.pop(key)
+            return pa.RecordBatch.from_pydict({"dim": [key[0]], "block": [key[1]], "rows": [np.array(rows, "<i8").tobytes()], "ids": [np.array(ids, "<i8").tobytes()], "values": [np.concatenate(values).astype("<f8").tobytes()]}, schema=schema)
 
         for batch in batches:
             flat, offsets = np.asarray(batch.column("v").values), np.asarray(batch.column("v").offsets)
-            for i, (vec_id, dim, block) in enumerate(zip(batch.column("vec_id").to_pylist(), batch.column("dim").to_pylist(), batch.column("block").to_pylist(), strict=True)):
-                ids, values = held.setdefault((dim, block), ([], []))
+            for i, (number, vec_id, dim, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("row", "vec_id", "dim", "block")], strict=True)):
+                rows, ids, values = held.setdefault((dim, block), ([], [], []))
+                rows.append(number)
                 ids.append(vec_id)
                 values.append(flat[offsets[i] : offsets[i + 1]])
                 if len(ids) >= BLOCK_ROWS:
@@ -62,9 +62,9 @@ def blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
         for key in list(held):
             yield row(key)
 
-    schema = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
-    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    return in_arrow(keyed.repartition(n_blocks, "dim", "block").select("vec_id", "v", "dim", "block"), step, "dim int, block int, ids binary, values binary")
+    schema = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("values", pa.binary())])
+    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
+    return in_arrow(keyed.repartition(n_blocks, "dim", "block").select("row", "vec_id", "v", "dim", "block"), step, "dim int, block int, rows binary, ids binary, values binary")
 
 
 def rounded(values: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -91,24 +91,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_blocks: int
     across = candidate_blocks or max(1, -(-n[0] // (16 * BLOCK_ROWS)))
     down = query_blocks or max(1, -(-n[1] // BLOCK_ROWS))
     # The grid: each query block goes to every column of candidates, each candidate to every row of queries.
-    q = blocks(rows.filter(is_query), down).withColumnsRenamed({"block": "down", "ids": "q_ids", "values": "q_values"}).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    q = blocks(rows.filter(is_query), down).withColumnsRenamed({"block": "down", "rows": "q_rows", "ids": "q_ids", "values": "q_values"}).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     c = blocks(rows, across).withColumnRenamed("block", "across").withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     tiles = q.join(c, ["dim", "down", "across"])
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # a query block's ids, and its k best so far
+        heaps: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}  # by a query block's rows and ids, its k best so far
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, key, q_values, ids, values = (batch.column(x)[r].as_py() for x in ("dim", "q_ids", "q_values", "ids", "values"))
+                dim, q_rows, own_ids, q_values, rows_, ids, values = (batch.column(x)[r].as_py() for x in ("dim", "q_rows", "q_ids", "q_values", "rows", "ids", "values"))
+                key = (q_rows, own_ids)
                 x, y = np.frombuffer(q_values, "<f8").reshape(-1, dim), np.frombuffer(values, "<f8").reshape(-1, dim)
-                q_ids, c_ids = np.frombuffer(key, "<i8"), np.frombuffer(ids, "<i8")
+                q_ids, c_ids = np.frombuffer(own_ids, "<i8"), np.frombuffer(ids, "<i8")
                 best_d, best_id = heaps.get(key, (np.full((len(q_ids), k), np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)))
                 (a, sa, na, ea), (b, sb, nb, eb) = rounded(x), rounded(y)
                 exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # whole numbers, so the product has no error
                 dot = (a.astype(exact) @ b.astype(exact).T).astype(np.float64) * (sa * sb)
                 about = np.sqrt(np.maximum(na[:, None] + nb[None, :] - 2 * dot, 0))
                 slack = ea[:, None] + eb[None, :] + 1e-7 * (1 + np.sqrt(na)[:, None] + np.sqrt(nb)[None, :])
-                own = q_ids[:, None] == c_ids[None, :]
+                own = np.frombuffer(q_rows, "<i8")[:, None] == np.frombuffer(rows_, "<i8")[None, :]
                 upper = np.where(own, np.inf, about + slack)
                 limit = best_d[:, -1]
                 if len(c_ids) > k:
@@ -121,13 +122,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_blocks: int
                 first = np.searchsorted(who[order], np.arange(len(q_ids)))
                 top = order[first[:, None] + np.arange(k)]  # every query has at least its k old entries
                 heaps[key] = (d[top], ids_[top])
-        out = [np.concatenate(z) for z in zip(*[(np.repeat(np.frombuffer(key, "<i8"), k), i.ravel(), d.ravel()) for key, (d, i) in heaps.items()], strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        real = np.isfinite(out[2])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0][real], pa.int64()), pa.array(out[1][real], pa.int64()), pa.array(out[2][real], pa.float64())], names=["query_id", "vec_id", "score"])
+        out = [np.concatenate(z) for z in zip(*[(*[np.repeat(np.frombuffer(x, "<i8"), k) for x in key], i.ravel(), d.ravel()) for key, (d, i) in heaps.items()], strict=True)] or [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        real = np.isfinite(out[3])
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[real], pa.int64()) for x in out[:3]], pa.array(out[3][real], pa.float64())], names=["query_row", "query_id", "vec_id", "score"])
 
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = in_arrow(tiles.select("dim", "q_ids", "q_values", "ids", "values"), product, schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    schema = "query_row long, query_id long, vec_id long, score double"
+    found = in_arrow(tiles.select("dim", "q_rows", "q_ids", "q_values", "rows", "ids", "values"), product, schema)
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -137,16 +138,15 @@ def op7_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+  SELECT q.r AS query_row, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
