@@ -20,7 +20,8 @@
 
 Cases: a null or blank text has no shingles and stays alone.  A text of fewer
 than five words is one shingle.  Repeated rows are copies; rows that share a
-doc_id count as one document.  A row without doc_id is linked with nothing and
+doc_id are one node of the graph (``keep_one_of_each`` tells them apart by text).
+A very long text is one set, held by one task at a time.  A row without doc_id is linked with nothing and
 kept.  An empty table gives no rows.  Other columns are left out.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_arrow, kept, mixed, slices
+from tallyframe.llm.common import in_arrow, kept, mixed, row_key, slices
 from tallyframe.llm.graph import components
 from tallyframe.llm.hashing import shingles, words
 
@@ -84,8 +85,8 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set, and the band hashes of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, the row's key, n_shingles, a 128-bit digest of the shingle set, and the band hashes of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -95,10 +96,10 @@ def signed(docs: DataFrame, k: int = 5, bands: int = BANDS, band_rows: int = BAN
             places = band_hashes(superminhash(every, owner, len(sets), bands * band_rows), bands, band_rows)
             sums = [[int(mixed(s + np.uint64(salt)).sum()) for s in sets] for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *[pa.array(_long(np.array(s, dtype=np.uint64))) for s in sums], pa.array(list(places), pa.list_(pa.int64()))], schema=schema
+                [*[batch.column(c) for c in ("doc_id", "key_a", "key_b")], pa.array(n), *[pa.array(_long(np.array(s, dtype=np.uint64))) for s in sums], pa.array(list(places), pa.list_(pa.int64()))], schema=schema
             )
 
-    return in_arrow(docs.select("doc_id", "text"), step, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return in_arrow(docs.select("doc_id", "text", *row_key("doc_id", "text")), step, "doc_id long, key_a long, key_b long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, k: int, places: int) -> DataFrame:
@@ -173,6 +174,10 @@ def family_links(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES)
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    return _grouped(docs, percent, k, bands, band_rows, block_bytes).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int, k: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = kept(signed(docs, k, bands, band_rows), "signed")
     classes = kept(
         rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rid"), F.first("bands").alias("bands")), "classes"
@@ -189,22 +194,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
 
     named = classes.select("set_a", "set_b", "n_shingles", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rid").alias("component_id"))
     return (
-        rows.select("doc_id", "n_shingles", "set_a", "set_b")
+        rows.drop("bands")
         .join(named, ["set_a", "set_b", "n_shingles"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without all but one document of each group.
 
-    The documents that go are joined by doc_id: broadcast while they are few,
-    shuffled beyond that.
+    Rows go by content: of two texts under one doc_id, one may go and the other
+    stay.  Of rows that share doc_id and shingles one stays, so a row that is
+    repeated in full is there once.  Rows without shingles or doc_id all stay.
+    What goes is broadcast while it is few, shuffled beyond that.
     """
-    gone = kept(near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = kept(_grouped(docs, percent).select("doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b", "kept"), "grouped")
+    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    key = F.struct("key_a", "key_b")
+    shared = real.filter("kept").groupBy("doc_id", "set_a", "set_b").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    more = real.join(shared, ["doc_id", "set_a", "set_b"])
+    gone = kept(real.filter(~F.col("kept")).select("key_a", "key_b").unionByName(more.filter(key != F.col("first")).select("key_a", "key_b")).distinct(), "gone")
+    again = kept(more.filter(key == F.col("first")).groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key_a", "key_b"), "repeated")
+    few = {name: F.broadcast(df) if df.count() <= BROADCAST_IDS else df for name, df in (("gone", gone), ("again", again))}
+    left = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text")).join(few["gone"], ["key_a", "key_b"], "left_anti")
+    once = left.join(few["again"], ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
+    return left.join(few["again"], ["key_a", "key_b"], "left_anti").unionByName(once).select("row.*")
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -163,11 +164,71 @@ def test_label_model_knows_good_voters():
     y = rng.random(3000) < 0.3
     good, bad, given = y & (rng.random(3000) < 0.8), rng.random(3000) < 0.3, y & (rng.random(3000) < 0.95)
     votes = np.column_stack([good, good, bad, given]).astype(np.int8)  # the second repeats the first
-    model = fit_label_model(votes, given.astype(float), label_error=0.01)
+    model = fit_label_model(votes[:, :3], votes[:, :3].mean(axis=1), given.astype(int), 0.3)
     assert model.accuracy[0] > 0.85 > model.accuracy[2]
     assert 0 in model.parent[[1]] or 1 in model.parent[[0]]
 
 
+def test_label_model_beats_majority_vote():
+    """Without labels on the rows it judges: good rare voters, copies of a bad one, a start from rates in 400 other rows."""
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.25
+    good = [y & (rng.random(4000) < 0.5) | ~y & (rng.random(4000) < 0.02) for _ in range(5)]
+    noise = rng.random(4000) < 0.2
+    bad = [noise ^ (rng.random(4000) < 0.01) for _ in range(4)]
+    votes = np.column_stack([*good, *bad]).astype(np.int8)
+    mining, votes, apart, y = votes[:400], votes[400:], y[:400], y[400:]
+    rate1, rate0 = ((mining[apart == c].sum(axis=0) + 0.5) / ((apart == c).sum() + 1) for c in (1, 0))
+    start = 1 / (1 + np.exp(-(np.log(1 / 3) + votes @ np.log(rate1 / rate0) / np.sqrt(1 + votes.sum(axis=1)))))
+    model, share = fit_label_model(votes, start, None, 0.25), votes.mean(axis=1)
+    majority = max(((share > cut) == y).mean() for cut in np.unique(share))
+    assert ((model.posterior(votes) > 0.5) == y).mean() > majority
+    given = np.where(rng.random(3600) < 0.3, -1, y ^ (rng.random(3600) < 0.1)).astype(int)
+    told = fit_label_model(votes, start, given, 0.25).posterior(votes, given) > 0.5
+    assert (told == y).mean() > ((model.posterior(votes) > 0.5) == y).mean()  # a noisy label helps
+
+
+def greedy_tiles(item, doc, least):
+    """By the definition: mark the longest common run of unmarked words, first in doc, then first in item."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for y in range(len(doc)):
+            for x in range(len(item)):
+                n = 0
+                while x + n < len(item) and y + n < len(doc) and item[x + n] == doc[y + n] and free_i[x + n] and free_d[y + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (x, y, n)
+        x, y, n = best
+        if n < least or not n:
+            return out
+        free_i[x : x + n] = [False] * n
+        free_d[y : y + n] = [False] * n
+        out.append(best)
+
+
+@pytest.mark.parametrize("words", [2, 3, 30])
+def test_tiles_equal_brute_force(words):
+    rng = np.random.default_rng(words)
+    code = rng.integers(1, 2**63, words, dtype=np.uint64)
+    for _ in range(40):
+        item, doc = (rng.integers(0, words, rng.integers(1, 30)) for _ in range(2))
+        if len(item) > 12:
+            doc = np.concatenate([item[8:], doc, item[:7]])
+        least = min(4, len(item))
+        assert tiled(code[item], code[doc], 4) == greedy_tiles(item.tolist(), doc.tolist(), least)
+
+
+def test_tiles_of_very_repetitive_texts_take_linear_memory():
+    one, two = np.full(5000, 7, np.uint64), np.tile(np.array([7, 7, 9], np.uint64), 7000)
+    tracemalloc.start()
+    assert sum(n for *_, n in tiled(one, np.full(20_000, 7, np.uint64), 5)) == 5000
+    assert tiled(one, two, 5) == []
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
 def test_tiles_cover_reordered_runs():
     item, rng = np.arange(1, 31, dtype=np.uint64), np.random.default_rng(1)
     doc = np.concatenate([rng.integers(100, 999, 40).astype(np.uint64), item[15:], rng.integers(100, 999, 9).astype(np.uint64), item[:15]])
@@ -235,10 +296,15 @@ def test_op7_equals_brute_force(spark):
     for r in nearest(df, F.col("vec_id") % 50 == 0, 5, query_blocks=2, candidate_blocks=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert sorted(got) == [0, 50, 100, 150, 200, 250]
-    w = v.astype(np.float64)
+    near = (v[50] + 0.01).tolist()  # of the same id as another row: a candidate of its own
+    got = defaultdict(list)
+    for r in nearest(df.unionByName(spark.createDataFrame([(9, near, 1)], df.schema)), F.col("vec_id") % 50 == 0, 5, query_blocks=2, candidate_blocks=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ids, w = [*range(300), 3, 9], np.vstack([v, v[3], np.array(near, np.float32)]).astype(np.float64)
+    assert got[50][0][0] == 9
     for q, found in got.items():
         d = np.sqrt(((w - w[q]) ** 2).sum(axis=1))
-        want = sorted((x, i) for i, x in enumerate(d) if i != q)[:5]
+        want = sorted((x, ids[i]) for i, x in enumerate(d) if i != q)[:5]
         assert [i for i, _ in found] == [i for _, i in want] and np.allclose([s for _, s in found], [x for x, _ in want], rtol=1e-12)
     few = nearest(df.filter("vec_id in (0, 1)"), F.col("vec_id") == 0, 5).collect()
     assert [(r.rank, r.vec_id) for r in few] == [(1, 1)]
@@ -293,6 +359,10 @@ def test_op8_equals_brute_force(spark, odd_docs, no_docs):
     odd = near_duplicates(odd_docs).collect()
     assert len(odd) == odd_docs.count() and all(r.kept for r in odd) and near_duplicates(no_docs).count() == 0
     assert keep_one_of_each(odd_docs).columns == odd_docs.columns
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(3, text[0]), (7, text[0]), (7, text[1]), (9, text[2]), (9, text[2]), (9, "  " + text[2]), (11, ""), (11, "")]
+    left = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key_a", F.lit(1)))
+    assert left.columns == ["doc_id", "text", "key_a"] and sorted((r.doc_id, r.text.strip()) for r in left.collect()) == sorted([(3, text[0]), (7, text[1]), (9, text[2]), (11, ""), (11, "")])
 
 
 def test_components(spark):
