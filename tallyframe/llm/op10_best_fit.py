@@ -17,7 +17,8 @@ many of them as there is room for, all at once:
 2. Those pieces, shortest first, each go to their successor, the first slot that
    holds them and that no piece before them has: a running maximum.
 3. Runs of pieces and of slots, cut into ranges of the slots' order, meet in a
-   sweep over each range.
+   sweep over each range.  Ranges are tasks of their own; up to ``RANGE_RUNS`` runs
+   are one range.
 4. The gaps are updated and written with what is left, and the next superstep
    begins.
 
@@ -47,12 +48,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import in_arrow, kept, partitions, scratch, slices
+from tallyframe.llm.common import in_arrow, kept, scratch, slices
 from tallyframe.llm.encoding import ENCODE_BYTES, ENCODE_ROWS, byte_level
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 
+#: Runs of gaps and lengths to a range: with more of them a sweep is spread over several tasks.
+RANGE_RUNS = 4096
 #: Kinds of runs: pieces that are left, gaps, and pieces that have their place.
 LEFT, GAP, PLACED = 0, 1, 2
 RUNS = "kind int, size int, first long, n long, sequence long, each long, at int"
@@ -169,7 +172,7 @@ WHERE kind <> 1 OR size >= :least
 """
 
 
-def placed_runs(counts: DataFrame, max_tokens: int) -> DataFrame:
+def placed_runs(counts: DataFrame, max_tokens: int, range_runs: int = RANGE_RUNS) -> DataFrame:
     """(length, first, n, sequence, each, at) of all runs of pieces, from (length, n).
 
     Piece ``first + i`` goes to sequence ``sequence + i // each``, at place ``at + i % each * length``.
@@ -181,7 +184,7 @@ def placed_runs(counts: DataFrame, max_tokens: int) -> DataFrame:
         # Control only: the lengths that are left, the largest gap, the sequences opened.
         sign = runs.agg(
             F.sort_array(F.collect_set(F.when(F.col("kind") == LEFT, F.col("size")))).alias("left"), F.max(F.when(F.col("kind") == GAP, F.col("size"))).alias("gap"),
-            F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).alias("end"),
+            F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).alias("end"), F.count_if(F.col("kind") != PLACED).alias("runs"),
         ).first()
         new = max(new, sign["end"] or 0)
         if not sign["left"]:
@@ -189,9 +192,10 @@ def placed_runs(counts: DataFrame, max_tokens: int) -> DataFrame:
         longest, least = sign["left"][-1], sign["left"][0]
         low = band_of(longest, max_tokens)
         fits = (sign["gap"] or 0) >= next(size for size in sign["left"] if size > low)
+        here, ranges = runs.filter(F.col("kind") != PLACED), 1 + sign["runs"] // range_runs
         step = spark.sql(
-            MATCH if fits else OPEN, {"low": low, "longest": longest, "least": least, "most": max_tokens, **({"ranges": partitions(spark)} if fits else {"new": new})},
-            runs=runs.filter(F.col("kind") != PLACED),
+            MATCH if fits else OPEN, {"low": low, "longest": longest, "least": least, "most": max_tokens, **({"ranges": ranges} if fits else {"new": new})},
+            runs=here if ranges > 1 else here.coalesce(1),  # few runs need no shuffle
         )
         steps.append(scratch(spark, "superstep"))
         runs = kept(step.coalesce(1), "superstep", steps[-1])

@@ -26,7 +26,8 @@ from tallyframe.llm.op5_line_spread import remove_spread_lines
 from tallyframe.llm.op6_token_counts import count_tokens
 from tallyframe.llm.op7_tiles import nearest
 from tallyframe.llm.op8_superminhash import keep_one_of_each, near_duplicates, superminhash
-from tallyframe.llm.op9_urls import judge, split_url
+from tallyframe.llm.op9_urls import grams, judge, labelled_urls, split_url
+from tallyframe.llm.op9_urls import train as train_urls
 from tallyframe.llm.op10_best_fit import cut, pack, placed_runs
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -384,6 +385,18 @@ def test_op9_judges_urls(spark):
     assert judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_on_held_out_urls():
+    urls, hits = labelled_urls(), defaultdict(int)
+    for part in range(4):
+        weights, bias = train_urls(tuple(u for i, u in enumerate(urls) if i % 4 != part))
+        for url, label in urls[part::4]:
+            host, path = split_url(url)
+            hits[label, bool(bias + weights[grams("h", host)].sum() + weights[grams("p", path)].sum() >= 0)] += 1
+    recall, precision = hits[1, True] / (hits[1, True] + hits[1, False]), hits[1, True] / (hits[1, True] + hits[0, True])
+    print("held-out URLs: recall", recall, "precision", precision)
+    assert recall > 0.6 and precision > 0.8
+
+
 def best_fit_decreasing(counts, most):
     """How many sequences best fit makes, piece by piece, longest first."""
     gaps, n = [], 0
@@ -407,7 +420,7 @@ def test_supersteps_are_tight_and_whole(spark, case):
         "tiny": {1: 500, 3: 40, 70: 3},
     }[case]
     room, ranks = defaultdict(list), defaultdict(list)
-    for r in placed_runs(spark.createDataFrame(list(counts.items()), "length int, n long"), 100).collect():
+    for r in placed_runs(spark.createDataFrame(list(counts.items()), "length int, n long"), 100, 10 if case == "spread" else 4096).collect():  # with several ranges, and with one
         for i in range(r.n):
             ranks[r.length].append(r["first"] + i)
             room[r.sequence + i // r.each].append((r["at"] + i % r.each * r.length, r.length))

@@ -63,3 +63,23 @@ def test_stages(spark, tmp_path):
         else:
             first_fit[at] += n
     assert len(packed) == len(length) and len(room) <= len(first_fit)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, one doc_id with two texts, clashing columns, empty tables."""
+    rows, item, shared = corpus(random.Random(6))
+    long = " ".join(f"the{i} and{i}" for i in range(30_000))
+    odd = [tuple(r) for r in rows[:40]] + [(70, None, None, None, None), (None, rows[41][1], "de", "s", 1), (71, "", "en", "s", 0), (72, long, "en", "s", 5), (73, rows[45][1], "de", "s", 1), (73, rows[45][1], "de", "s", 1), (73, rows[46][1], "en", "s", 1)]
+    docs = spark.createDataFrame(odd, DOCS).selectExpr("*", "7 AS n_removed", "8 AS key_a", "9 AS n_lines", "'x' AS row")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kinds, sizes = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = kept(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == kinds and {tuple(r) for r in docs.select("n_removed", "key_a", "n_lines", "row").distinct().collect()} == {(7, 8, 9, "x")}
+        sizes[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.collect())
+    assert {70, 71}.isdisjoint(sizes["language"]) and sizes["language"].count(73) == 3 and -1 in sizes["language"] and 72 in sizes["language"]
+    assert sizes["lines"].count(73) == 3 and sizes["near_duplicates"].count(73) == 2 and 72 in sizes["decontamination"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.filter("doc_id = 72").count() > 50 and packed.filter("doc_id IS NULL").count() == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
