@@ -81,8 +81,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20
     cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_parts"), i)), "\n"))
     return whole.select(
         *[cleaned.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.size("_parts"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(name) for c, name in (("_parts", "n_lines"), ("_gone", "n_removed"))],
     )
 
 

@@ -11,8 +11,8 @@ parameter; both go to the tasks, and pages are judged in one pass without a
 shuffle.  Weights add up, so a host that many pages share is scored once a
 task.
 
-Cases: a null URL, or one without ``://``, has an empty host and path and is
-allowed unless a rule fits.  Repeated rows keep a row each.  An empty table
+Cases: a null URL, or one without ``://``, has an empty host and path, which the
+model judges like any other.  A very long URL is scored as a whole.  Repeated rows keep a row each.  An empty table
 gives no rows.  Other columns are left out.
 """
 
@@ -138,7 +138,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, urls: tu
             for page_id, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True):
                 host, path = split_url(url)
                 rule, action = known.find(host, path)
-                score = 1 / (1 + np.exp(-np.clip(bias + part("h", host) + part("p", path), -40, 40))) if host or path else 0.0
+                score = 1 / (1 + np.exp(-np.clip(bias + part("h", host) + part("p", path), -40, 40)))
                 out.append((page_id, host, path, rule, action or ("block" if score >= 0.5 else "allow"), float(score)))
             kinds = [pa.int64(), *[pa.string()] * 4, pa.float64()]
             columns = zip(*out, strict=True) if out else [[]] * 6
