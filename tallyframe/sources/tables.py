@@ -129,9 +129,20 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 #: The sample table.
-DEMO = (
-    "Group,Score,Age,Satisfaction\nA,72,21,High\nA,81,22,High\nA,77,24,Medium\nB,85,23,High\nB,79,25,Medium\nB,88,20,High\n"
-)
+DEMO = """Source,Group,Score,Age,Pre,Post,Satisfaction
+Online,A,72,21,60,66,High
+Store,A,81,22,65,68,High
+Online,A,77,24,70,74,Medium
+Store,A,85,23,68,72,High
+Online,B,79,25,72,75,Medium
+Store,B,88,20,75,80,High
+Online,B,88,20,64,68,High
+Store,B,91,22,69,72,High
+Online,C,79,25,71,75,Medium
+Store,C,94,24,73,76,High
+Online,C,86,23,76,80,High
+Store,C,90,26,78,82,Medium
+"""
 
 
 def demo(spark: SparkSession) -> DataFrame:
