@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import special
 from tallyframe.operators import association, compare, describe, evaluate, features, profile, relate, segment
 
+#: The rows of the validation data set. The numbers expected of them below are fixed values too.
 ROWS = [
     (1, "A", "A", 72, 60, 66, 21, "High"), (2, "A", "A", 81, 65, 68, 22, "High"), (3, "A", "A", 77, 70, 74, 24, "Medium"), (4, "A", "A", 85, 68, 72, 23, "High"),
     (5, "A", "B", 79, 72, 75, 25, "Medium"), (6, "A", "B", 88, 75, 80, 20, "High"), (7, "B", "B", 88, 64, 68, 20, "High"), (8, "B", "B", 91, 69, 72, 22, "High"),
