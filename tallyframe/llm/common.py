@@ -116,7 +116,7 @@ def crc32_combine(first: int, second: int, length: int) -> int:
 
 
 #: Bytes of a batch between the JVM and Python; a longer row travels alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

@@ -24,9 +24,9 @@ import pyarrow as pa
 import regex
 
 #: Units after which a worker's memo turns over.  It changes speed and memory only.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 2 << 20
 ENCODE_ROWS = 1 << 16
 
 #: White space in a unit that was cut at ASCII white space, or a control that one of the libraries may take for it.
