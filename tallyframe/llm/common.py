@@ -115,6 +115,12 @@ def crc32_combine(first: int, second: int, length: int) -> int:
     return first ^ second if length > 0 else first
 
 
+def size_in_bytes(setting: str) -> int:
+    """What a setting of Spark such as ``256MB`` or ``4m`` says in bytes; 0 if it says nothing."""
+    said = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", setting.lower())
+    return int(said[1]) << 10 * " kmgtp".index(said[2] or " ") if said else 0
+
+
 #: Bytes of a batch between the JVM and Python; a longer row travels alone.
 BATCH_BYTES = 4 << 20
 
@@ -126,8 +132,7 @@ def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[
     the end of a task the worker gives back what it no longer uses.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = re.match(r"\d+", spark.conf.get(key))
-    if not given or int(given[0]) > BATCH_BYTES:
+    if not 0 < size_in_bytes(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
