@@ -1,37 +1,57 @@
 """All pairs of fields tested for association, with false-discovery control.
 
-Pairs are one column of the data (``pair``), not a loop of jobs: each row is
-melted into its pairs and every count and rank is made for all pairs at once.
-Pairs are first counted by value, so that fields with few values shrink to
-their cross-table before anything is ranked.
+Numeric fields without nulls are ranked once, by ranges of their counted values,
+and the ranks go back to the rows.  One matrix of sums then gives all pairs of
+numeric fields, and one aggregation all of them against the categorical ones.
+Pairs with nulls are a column of the data (``pair``), not a loop of jobs: they
+are melted and ranked among their complete rows.  So are pairs of categories,
+which are counted by value first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions.special import chi2_p, t_p
 from tallyframe.operators.profile import Fields, field_roles
+from tallyframe.shared import kept
 
 ALPHA, PRACTICAL, REDUNDANT = 0.05, 0.15, 0.70
 COLUMNS = ("field_1", "field_2", "pair_type", "test", "effect", "signed_effect", "direction", "p_value")
 
 
+#: Ranks of a field with at most so many distinct values are broadcast (two doubles each).
+BROADCAST_VALUES = 500_000
+
+
 def melted(df: DataFrame, pairs: list[tuple[str, str]], types: tuple[str, str]) -> DataFrame:
     """(pair, x, y, w): for each pair of fields its complete pairs of values and how many rows have them."""
     cells = [F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast(types[0]).alias("x"), F.col(f"`{b}`").cast(types[1]).alias("y")) for i, (a, b) in enumerate(pairs)]
     return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _ranks(cells: DataFrame, side: str) -> DataFrame:
-    """(pair, side, rank, ties): average ranks within each pair, from counts of distinct values."""
-    counts = cells.groupBy("pair", side).agg(F.sum("w").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy("pair").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("ties") + 1) / 2)
+def ranked_counts(counts: DataFrame, by: str, value: str, n: str) -> DataFrame:
+    """``counts`` of distinct values with ``rank``, their average rank within ``by``.
+
+    Values are ranged by (by, value); a range adds up its own counts, and one row
+    for each range and ``by`` says what comes before it, so no window holds a field.
+    """
+    ranged = kept(counts.repartitionByRange(by, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(by, "_part").agg(F.sum(n).alias("_total"))
+    upper = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(by, "_part", F.coalesce(F.sum("_total").over(upper), F.lit(0)).alias("_ahead"))
+    inner = Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_ahead") + F.coalesce(F.sum(n).over(inner), F.lit(0))
+    return ranged.join(F.broadcast(ahead), [by, "_part"]).withColumn("rank", before + (F.col(n) + 1) / 2).drop("_part", "_ahead")
 
 
 def _named(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -43,16 +63,78 @@ def _weighted_corr(n: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), n))
 
 
-def numeric_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Spearman's rank correlation for every pair of numeric fields with ten complete rows."""
+@dataclass
+class Ranked:
+    """Rows with the ranks of those numeric fields that have no null, each ranked once: ``r0``, ``r1``, ..."""
+
+    rows: DataFrame
+    fields: list[str]
+    n: int
+    #: field number -> sum of t ** 3 - t over its ties
+    tied: dict[int, float]
+
+
+def ranked_fields(df: DataFrame, fields: list[str], keep: list[str] | None = None) -> Ranked:
+    """Every numeric field without nulls ranked once among all rows, beside the columns ``keep``.
+
+    A field's values are counted, ranged and ranked for all fields together; the
+    ranks go back to the rows by one join a field, broadcast where its distinct
+    values are few.
+    """
+    x = [F.col(f"`{c}`").cast("double") for c in fields]
+    facts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(x)]).first()
+    whole = [i for i in range(len(fields)) if facts[f"n{i}"] == facts["n"]]
+    names = [fields[i] for i in whole]
+    if not whole or not facts["n"]:
+        return Ranked(df, [], facts["n"], {})
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("field"), x[i].alias("value")) for j, i in enumerate(whole)])).alias("c")).select("c.*")
+    ranks = kept(ranked_counts(cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("ties")), "field", "value", "ties"), "ranks")
+    about = {r["field"]: r for r in ranks.groupBy("field").agg(F.count(F.lit(1)).alias("values"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tied")).collect()}
+    rows = df.select(*[F.col(f"`{c}`").cast("string").alias(f"g{k}") for k, c in enumerate(keep or [])], *[x[i].alias(f"v{j}") for j, i in enumerate(whole)])
+    for j in range(len(whole)):
+        own = ranks.filter(F.col("field") == j).select(F.col("value").alias(f"v{j}"), F.col("rank").alias(f"r{j}"))
+        rows = rows.join(F.broadcast(own) if about[j]["values"] <= BROADCAST_VALUES else own, f"v{j}")
+    return Ranked(rows.drop(*[f"v{j}" for j in range(len(whole))]), names, facts["n"], {j: r["tied"] for j, r in about.items()})
+
+
+def gram(rows: DataFrame, columns: list[str], centre: float) -> DataFrame:
+    """(i, j, s): sums of products of the centred columns, a block product for each batch of rows, added up."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = np.array([np.asarray(c, np.float64) for c in batch.columns]) - centre
+            total += x @ x.T
+        i, j = np.triu_indices(len(columns))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    return rows.select(*columns).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def numeric_pairs(df: DataFrame, fields: list[str], ranked: Ranked | None = None) -> DataFrame:
+    """Spearman's rank correlation for every pair of numeric fields with ten complete rows.
+
+    Fields without nulls are ranked once and all their pairs come from one matrix of
+    sums; only pairs with a null are ranked again among their complete rows.
+    """
     pairs = list(combinations(fields, 2))
-    cells = melted(df, pairs, ("double", "double"))
-    rx, ry = _ranks(cells, "x").select("pair", "x", F.col("rank").alias("rx")), _ranks(cells, "y").select("pair", "y", F.col("rank").alias("ry"))
-    # Ranks have mean (n + 1) / 2 in either field, so one pass of centred sums is enough.
-    size = cells.groupBy("pair").agg(F.sum("w").alias("n"))
-    ranked = cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).join(F.broadcast(size), "pair")
-    u, v = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
-    s = ranked.groupBy("pair").agg(F.first("n").alias("n"), F.sum(F.col("w") * u * v).alias("uv"), F.sum(F.col("w") * u * u).alias("uu"), F.sum(F.col("w") * v * v).alias("vv")).filter("n >= 10")
+    ranked = ranked or ranked_fields(df, fields)
+    place = {c: j for j, c in enumerate(ranked.fields)}
+    once = [(i, place[a], place[b]) for i, (a, b) in enumerate(pairs) if a in place and b in place]
+    parts = []
+    if once and ranked.n >= 10:
+        # The pairs' sums: a row for each pair of fields.
+        sums = {(r.i, r.j): r.s for r in gram(ranked.rows, [f"r{j}" for j in range(len(ranked.fields))], (ranked.n + 1) / 2).collect()}
+        rows = [(i, ranked.n, sums[min(a, b), max(a, b)], sums[a, a], sums[b, b]) for i, a, b in once]
+        parts.append(df.sparkSession.createDataFrame(rows, "pair int, n long, uv double, uu double, vv double"))
+    again = [(a, b) for a, b in pairs if a not in place or b not in place]
+    if again:
+        number = {pair: i for i, pair in enumerate(pairs)}
+        ids = F.create_map(*[F.lit(x) for k, pair in enumerate(again) for x in (k, number[pair])])
+        parts.append(_again(df, again).withColumn("pair", ids[F.col("pair")]))
+    if not parts:
+        parts = [df.sparkSession.createDataFrame([], "pair int, n long, uv double, uu double, vv double")]
+    s = reduce(DataFrame.unionByName, parts)
     some = (F.col("uu") > 0) & (F.col("vv") > 0)
     s = s.withColumn("rho", F.when(some, _weighted_corr(F.col("uv") / F.sqrt(F.when(some, F.col("uu") * F.col("vv"))))))
     d = (F.col("n") - 2).cast("double")
@@ -61,6 +143,16 @@ def numeric_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
     return _named(s, pairs).select("field_1", "field_2", F.lit("numeric_numeric").alias("pair_type"), F.lit("Spearman").alias("test"), F.abs("rho").alias("effect"), F.col("rho").alias("signed_effect"), F.signum("rho").cast("int").alias("direction"), p.alias("p_value"))
 
 
+def _again(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, n, uv, uu, vv) of pairs ranked among their complete rows."""
+    cells = kept(melted(df, pairs, ("double", "double")), "cells")
+    rx, ry = (ranked_counts(cells.groupBy("pair", c).agg(F.sum("w").alias("ties")), "pair", c, "ties").select("pair", c, F.col("rank").alias(f"r{c}")) for c in ("x", "y"))
+    size = cells.groupBy("pair").agg(F.sum("w").alias("n"))
+    both = cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).join(F.broadcast(size), "pair")
+    u, v = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
+    return both.groupBy("pair").agg(F.first("n").alias("n"), F.sum(F.col("w") * u * v).alias("uv"), F.sum(F.col("w") * u * u).alias("uu"), F.sum(F.col("w") * v * v).alias("vv")).filter("n >= 10")
+
+
 def categorical_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
     """Chi-square and bias-corrected Cramer's V for every pair of categorical fields."""
     pairs = list(combinations(fields, 2))
@@ -77,17 +169,49 @@ def categorical_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
     return _named(s, pairs).select("field_1", "field_2", F.lit("categorical_categorical").alias("pair_type"), F.lit("ChiSquare+CramersV").alias("test"), v.alias("effect"), F.lit(None).cast("double").alias("signed_effect"), F.lit(None).cast("int").alias("direction"), chi2_p("chi2", ((r - 1) * (k - 1)).cast("double")).alias("p_value"))
 
 
-def mixed_pairs(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
-    """Kruskal-Wallis and epsilon squared for every categorical field against every numeric one; groups of one row are left out."""
-    pairs = list(product(categorical, numeric))
+def _kruskal_again(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, n, tied, k, spread) of pairs ranked among their complete rows, groups of one row left out."""
     cells = melted(df, pairs, ("string", "double"))
     large = cells.groupBy("pair", "x").agg(F.sum("w").alias("m")).filter("m >= 2")
-    cells = cells.join(large.select("pair", "x"), ["pair", "x"], "left_semi")
-    ranks = _ranks(cells, "y")
+    cells = kept(cells.join(large.select("pair", "x"), ["pair", "x"], "left_semi"), "cells")
+    ranks = kept(ranked_counts(cells.groupBy("pair", "y").agg(F.sum("w").alias("ties")), "pair", "y", "ties"), "ranks")
     sums = cells.join(ranks.select("pair", "y", "rank"), ["pair", "y"]).groupBy("pair", "x").agg(F.sum("w").alias("m"), F.sum(F.col("w") * F.col("rank")).alias("total"))
     ties = ranks.groupBy("pair").agg(F.sum("ties").alias("n"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tied"))
+    spread = F.sum(F.col("m") * (F.col("total") / F.col("m") - (F.col("n") + 1) / 2) ** 2)
+    return sums.join(F.broadcast(ties), "pair").groupBy("pair").agg(F.first("n").alias("n"), F.first("tied").alias("tied"), F.count(F.lit(1)).alias("k"), spread.alias("spread"))
+
+
+def mixed_pairs(df: DataFrame, categorical: list[str], numeric: list[str], ranked: Ranked | None = None) -> DataFrame:
+    """Kruskal-Wallis and epsilon squared for every categorical field against every numeric one; groups of one row are left out.
+
+    Where neither field has a null and no group has one row, the field's ranks among
+    all rows serve, and one aggregation sums them for all numeric fields.
+    """
+    pairs = list(product(categorical, numeric))
+    number = {pair: i for i, pair in enumerate(pairs)}
+    ranked = ranked or ranked_fields(df, numeric, categorical)
+    columns = [f"r{j}" for j in range(len(ranked.fields))]
+    parts, done = [], set()
+    if columns:
+        groups = ranked.rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"g{k}").alias("x")) for k in range(len(categorical))])).alias("g"), *columns).select("g.*", *columns)
+        sums = kept(groups.groupBy("c", "x").agg(F.count(F.lit(1)).alias("m"), *[F.sum(r).alias(r) for r in columns]), "rank-sums")
+        odd = {r.c for r in sums.filter("x IS NULL OR m < 2").select("c").distinct().collect()}  # categorical fields
+        fine = [k for k in range(len(categorical)) if k not in odd]
+        centre, n = (ranked.n + 1) / 2, ranked.n
+        spread = [F.sum(F.col("m") * (F.col(r) / F.col("m") - centre) ** 2).alias(r) for r in columns]
+        for row in sums.filter(F.col("c").isin(fine)).groupBy("c").agg(F.count(F.lit(1)).alias("k"), *spread).collect():  # a row a categorical field
+            for j, name in enumerate(ranked.fields):
+                if (categorical[row.c], name) in number:
+                    done.add((categorical[row.c], name))
+                    parts.append((number[categorical[row.c], name], n, ranked.tied[j], row.k, row[f"r{j}"]))
+    schema = "pair int, n long, tied double, k long, spread double"
+    frames = [df.sparkSession.createDataFrame(parts, schema)]
+    again = [pair for pair in pairs if pair not in done]
+    if again:
+        ids = F.create_map(*[F.lit(x) for k, pair in enumerate(again) for x in (k, number[pair])])
+        frames.append(_kruskal_again(df, again).withColumn("pair", ids[F.col("pair")]))
     n, k = F.col("n"), F.col("k")
-    s = sums.join(F.broadcast(ties), "pair").groupBy("pair").agg(F.first("n").alias("n"), F.first("tied").alias("tied"), F.count(F.lit(1)).alias("k"), F.sum(F.col("m") * (F.col("total") / F.col("m") - (F.col("n") + 1) / 2) ** 2).alias("spread")).filter("k >= 2")
+    s = reduce(DataFrame.unionByName, frames).filter("k >= 2")
     fix = 1 - F.col("tied") / (n.cast("double") ** 3 - n)
     s = s.withColumn("h", F.when(fix > 0, 12 / (n * (n + 1)) * F.col("spread") / F.when(fix > 0, fix)))
     effect = F.when(n > k, F.greatest(F.lit(0.0), (F.col("h") - k + 1) / F.when(n > k, n - k)))
@@ -106,9 +230,9 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value") -> DataFrame:
     one row a range gives what comes before and after: no window runs over all
     rows in one task.
     """
-    rows = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))).persist()  # each test is made once
+    rows = kept(df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))), "tests")  # each test is made once
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()).persist()
+    ranged = kept(counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()), "ranged")
     before, after = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("total"))
     ahead = totals.select("_part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_ahead"), F.sum("total").over(Window.partitionBy()).alias("_m"))
@@ -125,12 +249,13 @@ def associations(df: DataFrame, fields: Fields | None = None) -> DataFrame:
     fields = fields or field_roles(df)
     numeric, categorical = fields.numeric_like, fields.categorical_like
     parts = []
+    ranked = ranked_fields(df, numeric, categorical) if numeric and len(numeric) + len(categorical) > 1 else None
     if len(numeric) > 1:
-        parts.append(numeric_pairs(df, numeric))
+        parts.append(numeric_pairs(df, numeric, ranked))
     if len(categorical) > 1:
         parts.append(categorical_pairs(df, categorical))
     if numeric and categorical:
-        parts.append(mixed_pairs(df, categorical, numeric))
+        parts.append(mixed_pairs(df, categorical, numeric, ranked))
     if not parts:
         raise ValueError("no testable pairs")
     out = parts[0]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions.special import f_p, t_p, t_quantile, tukey_p, tukey_quantile
+from tallyframe.operators.describe import quantiles
 
 
 def measured(column: str, missing: str = "drop") -> Column:
@@ -105,7 +106,7 @@ def brown_forsythe(df: DataFrame, value: str, group: str, missing: str = "drop")
     """One-way F on distances from group medians.  The medians are a small table, joined back."""
     x = measured(value, missing)
     rows = df.select(F.col(group).cast("string").alias("level"), x.alias("x")).filter("level IS NOT NULL AND trim(level) <> '' AND x IS NOT NULL")
-    medians = rows.groupBy("level").agg(F.median("x").alias("median"))
+    medians = quantiles(rows, ["level"], "x", [0.5]).select("level", F.col("q")[0].alias("median"))
     away = rows.join(medians, "level").select("level", F.abs(F.col("x") - F.col("median")).alias("d"))
     return one_way(group_rows(away, "d", "level"), 2).select("k", "n", "df_between", "df_within", "f", "p")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions.special import normal_quantile
+from tallyframe.shared import kept
 
 
 def stacked(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
@@ -19,13 +20,71 @@ def stacked(df: DataFrame, columns: list[str], as_type: str = "double") -> DataF
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast(as_type).alias("value")) for c in columns])).alias("v")).select("v.*")
 
 
+#: 1 / relative rank error of the sketches that bracket an order statistic; groups whose brackets the driver may hold.
+ACCURACY, BRACKETS = 20_000, 20_000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, q: list[float], more: list[Column] | None = None) -> DataFrame:
+    """by, n, what ``more`` aggregates, and ``q``: the exact quantiles of each group, interpolated linearly, as an array.
+
+    No group is buffered or sorted.  A first pass makes one sketch a group, whose
+    error in rank is bounded, and so brackets the two order statistics of each
+    quantile.  The second counts, map-side, how many values lie before, between and
+    beyond the brackets, and the values within them, a few in ten thousand of a
+    group's; their running counts find the order statistics.  Nulls are dropped.
+    """
+    x = F.col(value)
+    rows = rows.filter(x.isNotNull())
+    q, slack = sorted(q), 4 / ACCURACY
+    sides = [min(1.0, max(0.0, p + d)) for p in q for d in (-slack, slack)]
+    first = rows.groupBy(*by).agg(F.count(x).alias("n"), *(more or []), F.percentile_approx(x, sides, ACCURACY).alias("_in"), F.min(x).alias("_least"), F.max(x).alias("_most"))
+    # A row a group: few of them are a local table, which Spark broadcasts by its size; many are a table of their own.
+    known = first.limit(BRACKETS + 1).collect()
+    first = rows.sparkSession.createDataFrame(known, first.schema) if len(known) <= BRACKETS else kept(first, "brackets")
+    first = first.filter("n > 0")
+    # Where the slack is less than a rank, a bracket is all there is.
+    few = F.col("n") <= ACCURACY
+    low = [F.when(few | F.lit(p <= slack), F.col("_least")).otherwise(F.col("_in")[2 * i]) for i, p in enumerate(q)]
+    high = [F.when(few | F.lit(p >= 1 - slack), F.col("_most")).otherwise(F.col("_in")[2 * i + 1]) for i, p in enumerate(q)]
+    inside = F.lit(False)
+    for a, b in zip(low, high, strict=True):
+        inside = inside | ((x >= a) & (x <= b))
+    beyond = sum((F.when(x > b, 1).otherwise(0) for b in high), F.lit(0))
+    joined = _beside(rows.select(*by, x), first.select(*by, "n", "_in", "_least", "_most"), by)
+    cut = joined.select(*by, beyond.alias("_beyond"), F.when(inside, x).alias("_v"), x.alias("_x")).groupBy(*by, "_beyond", "_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_from"))
+    order = Window.partitionBy(*by).orderBy("_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = cut.withColumn("_end", F.sum("_m").over(order)).withColumn("_begin", F.col("_end") - F.col("_m"))
+    ends = _beside(ends, first.select(*by, "n"), by)
+    found = []
+    for i, p in enumerate(q):
+        at = F.lit(p) * (F.col("n") - 1)
+        for j, k in enumerate((F.floor(at), F.least(F.floor(at) + 1, F.col("n") - 1))):
+            found.append(F.max(F.when((F.col("_begin") <= k) & (k < F.col("_end")), F.coalesce("_v", F.raise_error(F.lit("a bracket missed its order statistic"))))).alias(f"_{i}_{j}"))
+    ends = ends.groupBy(*by).agg(*found)
+    out = _beside(first.drop("_in", "_least", "_most"), ends, by)
+    part = [F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for p in q]
+    return out.withColumn("q", F.array(*[F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * part[i] for i in range(len(q))])).drop(*[f"_{i}_{j}" for i in range(len(q)) for j in (0, 1)])
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with what is known of their groups, null groups too; without ``by`` that is one row."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))
+    names = {c: f"_g{i}" for i, c in enumerate(by)}
+    same = None
+    for c, g in names.items():
+        one = F.col(c).eqNullSafe(F.col(g))
+        same = one if same is None else same & one
+    return rows.join(groups.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """n, mean, sd, min, quartiles and max of each column; sd of a single value is 0."""
     by = by or []
     rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select(*by, "v.*").filter("value IS NOT NULL")
     x = F.col("value")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by, "variable").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
+    more = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max")]
+    out = quantiles(rows, [*by, "variable"], "value", [0.25, 0.5, 0.75], more)
     return out.select(*by, "variable", "n", "mean", F.when(F.col("n") == 1, 0.0).otherwise(F.col("sd")).alias("sd"), "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
@@ -65,9 +124,15 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     """value, n, percent of valid and cumulative percent (one decimal), most frequent first, ties by value."""
     v = F.trim(F.col(column).cast("string"))
     counts = df.select(v.alias("value")).filter("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("n"), "value")  # over distinct values, not rows
-    total, running = F.sum("n").over(Window.partitionBy()), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(F.row_number().over(order).alias("rank"), "value", "n", F.round(100 * F.col("n") / total, 1).alias("percent"), F.round(100 * running / total, 1).alias("cumulative_percent"))
+    # Distinct values in ranges of the order; what comes before a range is one row for each.
+    ranged = kept(counts.repartitionByRange(F.desc("n"), "value").withColumn("_part", F.spark_partition_id()), "ranged")
+    upper = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_sum"))
+    ahead = totals.select("_part", *[F.coalesce(F.sum(c).over(upper), F.lit(0)).alias(f"{c}_before") for c in ("_values", "_sum")], F.sum("_sum").over(Window.partitionBy()).alias("_all"))
+    order = Window.partitionBy("_part").orderBy(F.desc("n"), "value")
+    running = F.col("_sum_before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rank = (F.col("_values_before") + F.row_number().over(order)).cast("int")
+    return ranged.join(F.broadcast(ahead), "_part").select(rank.alias("rank"), "value", "n", F.round(100 * F.col("n") / F.col("_all"), 1).alias("percent"), F.round(100 * running / F.col("_all"), 1).alias("cumulative_percent"))
 
 
 def valid_counts(df: DataFrame, column: str) -> DataFrame:
@@ -85,7 +150,7 @@ def ordered_counts(values: DataFrame, column: str = "x") -> DataFrame:
     all values in one task.
     """
     counts = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()).persist()
+    ranged = kept(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranged")
     inner = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
     ahead = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -122,8 +187,8 @@ def scatter_points(df: DataFrame, x: str, y: str, most: int = 5000) -> DataFrame
 def boxplot(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles and whiskers for each group; whiskers are the fences, clamped to the data."""
     x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.filter(F.col(group).isNotNull() & x.isNotNull()).groupBy(F.col(group).cast("string").alias("level")).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), q.alias("q"))
+    rows = df.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("level"), x.alias("value"))
+    out = quantiles(rows, ["level"], "value", [0.25, 0.5, 0.75], [F.min("value").alias("low"), F.max("value").alias("high")])
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     return out.select("level", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.greatest("low", F.col("q")[0] - reach).alias("whisker_low"), F.least("high", F.col("q")[2] + reach).alias("whisker_high"))
 

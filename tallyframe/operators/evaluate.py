@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.operators.describe import ordered_counts
+from tallyframe.operators.describe import ordered_counts, quantiles
 
 
 def _d(c: Column | str) -> Column:
@@ -17,7 +17,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """mae, rmse and r2, and mean absolute error and bias in the tail from the 90 % quantile of the truth on."""
     y, p = _d(truth), _d(predicted)
     rows = df.select(y.alias("y"), p.alias("p")).dropna()
-    cut = F.broadcast(rows.agg(F.percentile("y", F.lit(0.9)).alias("cut"), F.avg("y").alias("mean")))  # one row
+    cut = F.broadcast(quantiles(rows, [], "y", [0.9], [F.avg("y").alias("mean")]).select(F.col("q")[0].alias("cut"), "mean"))  # one row
     e = F.col("p") - F.col("y")
     tail = F.col("y") >= F.col("cut")
     out = rows.crossJoin(cut).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.sum((F.col("y") - F.col("mean")) ** 2)).alias("r2"), F.avg(F.when(tail, F.abs(e))).alias("tail_mae"), F.avg(F.when(tail, e)).alias("tail_bias"))
@@ -88,12 +88,18 @@ def probability_metrics(df: DataFrame, truth: str, probabilities: str, n_classes
     return out.crossJoin(aucs.agg(F.avg("roc_auc").alias("roc_auc_ovr_macro")))
 
 
-def selective(df: DataFrame, truth: str, probabilities: str, confidence: float = 0.60, margin: float = 0.05) -> DataFrame:
-    """What remains when unsure predictions are withheld: coverage, confidence, and accuracy of the accepted."""
+def confidence(probabilities: str, least: float = 0.60, margin: float = 0.05) -> dict[str, Column]:
+    """Columns confidence (of the likeliest class), margin (to the second) and accepted."""
     top = F.sort_array(F.col(probabilities), asc=False)
-    p = df.select(F.col(truth).cast("int").alias("y"), (F.array_position(F.col(probabilities), F.array_max(F.col(probabilities))) - 1).cast("int").alias("p"), top[0].alias("top"), (top[0] - top[1]).alias("margin"))
-    p = p.withColumn("accepted", (F.col("top") >= confidence) & (F.col("margin") >= margin))
-    s = p.agg(F.avg(F.col("accepted").cast("double")).alias("coverage"), F.avg("top").alias("mean_confidence"), F.avg("margin").alias("mean_margin"), F.avg(F.when(F.col("accepted"), (F.col("y") == F.col("p")).cast("double"))).alias("selective_accuracy"))
+    return {"confidence": top[0], "margin": top[0] - top[1], "accepted": (top[0] >= least) & (top[0] - top[1] >= margin)}
+
+
+def selective(df: DataFrame, truth: str, probabilities: str, least: float = 0.60, margin: float = 0.05) -> DataFrame:
+    """What remains when unsure predictions are withheld: coverage, confidence, and accuracy of the accepted."""
+    guess = (F.array_position(F.col(probabilities), F.array_max(F.col(probabilities))) - 1).cast("int")
+    p = df.select(F.col(truth).cast("int").alias("y"), guess.alias("p"), *[c.alias(name) for name, c in confidence(probabilities, least, margin).items()])
+    right = F.avg(F.when(F.col("accepted"), (F.col("y") == F.col("p")).cast("double")))
+    s = p.agg(F.avg(F.col("accepted").cast("double")).alias("coverage"), F.avg("confidence").alias("mean_confidence"), F.avg("margin").alias("mean_margin"), right.alias("selective_accuracy"))
     f1 = multiclass_metrics(p.filter("accepted"), "y", "p").select(F.col("macro_f1").alias("selective_macro_f1"))
     return s.crossJoin(f1).select("coverage", (1 - F.col("coverage")).alias("abstention_rate"), "mean_confidence", "mean_margin", "selective_accuracy", "selective_macro_f1")
 

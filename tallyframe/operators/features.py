@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallyframe.operators.describe import quantiles, stacked
 from tallyframe.operators.profile import parsed_date, structural_exclusions
 
 REFERENCE_DATE = date(2026, 1, 1)
@@ -51,8 +52,8 @@ def log_features(df: DataFrame, least_distinct: int = 20) -> DataFrame:
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     if not columns:
         return {}
-    r = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)) for c in columns]).first()
-    return {c: v for c, v in zip(columns, r, strict=True) if v is not None}
+    found = quantiles(stacked(df, columns), ["variable"], "value", [0.5]).collect()  # a row a column
+    return {r["variable"]: r["q"][0] for r in found}
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:

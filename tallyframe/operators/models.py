@@ -2,8 +2,8 @@
 
 Folds are dealt by hashes of the rows, so they are the same in every run; for
 classes they are stratified.  A model for an outer fold never sees the fold.
-Each route also has its model of all rows, which scores new ones.  The number of
-trees is a parameter.
+All models of a route, those of outer and inner folds and the one of all rows
+that scores new ones, grow together (``boosting.grow``).
 """
 
 from __future__ import annotations
@@ -12,173 +12,136 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.features import Preprocessor, balanced_weight, class_labels, derived_fields, fold, interactions, log_features, model_features, stratified_folds
+from tallyframe.operators.boosting import Fit, Model, grow
+from tallyframe.operators.features import class_labels, derived_fields, fold, interactions, log_features, model_features, stratified_folds
 from tallyframe.plans.policies import BINARY, MULTICLASS, REGRESSION, Boosting
-
-
-def _keyed(df: DataFrame, target: str) -> DataFrame:
-    """``df`` with the row's hash as ``_key``: what folds are dealt by."""
-    return df.withColumn("_key", F.xxhash64(*df.columns))
-
-
-def _boost(kind, policy: Boosting, label: str, **more):
-    return kind(featuresCol="features", labelCol=label, maxIter=policy.trees, maxDepth=policy.depth, stepSize=policy.rate, subsamplingRate=policy.subsample, featureSubsetStrategy=str(policy.columns), seed=policy.seed, **more)
-
-
-def _joined(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+from tallyframe.shared import kept
 
 
 @dataclass
 class Fitted:
     """A model of all rows: ``score`` adds its predictions to a table with the same columns."""
 
+    kind: str
     target: str
     features: list[str]
     labels: list
     prepare: Callable[[DataFrame], DataFrame]
-    preprocessor: Preprocessor
-    models: list
+    model: Model
+    threshold: float | None = None
     calibrator: object = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """For numbers ``prediction``; for classes ``probabilities`` by class number and ``prediction``, a label."""
-        rows = self.preprocessor.transform(self.prepare(df.drop(self.target)))
-        if not self.labels:
-            return self.models[0].transform(rows).drop("features")
-        for i, model in enumerate(self.models):
-            rows = model.transform(rows).withColumn(f"_s{i}", F.greatest(F.lit(1e-12), vector_to_array(F.col(model.getProbabilityCol()))[1]))
-            rows = rows.drop(model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol())
-        if len(self.models) == 1:
-            one = self.calibrator.transform(rows.withColumn("score", F.col("_s0")))
-            rows = one.withColumn("probabilities", F.array(1 - F.col("calibrated"), F.col("calibrated"))).drop("score", "calibrated", "_s0", "features")
-            number = F.when(F.col("probabilities")[1] >= BINARY.threshold, 1).otherwise(0)
+        rows = self.model.scored(self.prepare(df.drop(self.target)))
+        if self.kind == "regression":
+            return rows.withColumn("prediction", F.col("answers")[0]).drop("answers")
+        if self.kind == "binary":
+            one = self.calibrator.transform(rows.withColumn("_score", F.col("answers")[0]))
+            rows = one.withColumn("probabilities", F.array(1 - F.col("_calibrated"), F.col("_calibrated"))).drop("_score", "_calibrated", "answers")
+            number = F.when(F.col("probabilities")[1] >= self.threshold, 1).otherwise(0)
         else:
-            total = reduce(lambda a, b: a + b, [F.col(f"_s{i}") for i in range(len(self.models))])
-            rows = rows.withColumn("probabilities", F.array(*[F.col(f"_s{i}") / total for i in range(len(self.models))])).drop("features", *[f"_s{i}" for i in range(len(self.models))])
-            number = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+            rows = rows.withColumn("probabilities", clipped(F.col("answers"))).drop("answers")
+            number = hardest("probabilities")
         return rows.withColumn("prediction", F.get(F.array(*[F.lit(v) for v in self.labels]), number))
 
 
-def _regression_rows(df: DataFrame, target: str) -> DataFrame:
-    return log_features(interactions(derived_fields(df.withColumn("_y", F.col(target).try_cast("double")).filter("_y IS NOT NULL").drop(target))))
+def clipped(p: Column) -> Column:
+    """Chances of at least 1e-12 that sum to one."""
+    some = F.transform(p, lambda x: F.greatest(x, F.lit(1e-12)))
+    return F.transform(some, lambda x: x / F.aggregate(some, F.lit(0.0), lambda a, b: a + b))
 
 
-def fit_regression(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> Fitted:
-    rows = _regression_rows(df, target)
-    features = model_features(rows, "_y")
-    logs = [c.removesuffix("__log1p") for c in rows.columns if c.endswith("__log1p")]
-    prep = Preprocessor(rows, features)
-    model = _boost(GBTRegressor, policy, "_y").fit(prep.transform(rows).select("features", "_y"))
+def hardest(probabilities: str) -> Column:
+    """The number of the likeliest class, the first of several."""
+    return F.array_position(probabilities, F.array_max(probabilities)).cast("int") - 1
 
-    def prepare(new: DataFrame) -> DataFrame:
-        new = interactions(derived_fields(new))
-        return new.withColumns({f"{c}__log1p": F.log1p(F.col(c).cast("double")) for c in logs})
 
-    return Fitted(target, features, [], prepare, prep, [model])
+def _numbered(rows: DataFrame, label: str) -> DataFrame:
+    """The rows written, each with a number of its own: trees draw rows by it."""
+    return kept(rows.withColumn("_row", F.monotonically_increasing_id()), label)
 
 
-def _prepared(df: DataFrame) -> DataFrame:
-    return interactions(derived_fields(df))
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the row's hash as ``_key``: what folds are dealt by."""
+    return df.withColumn("_key", F.xxhash64(*df.columns))
 
 
-def fit_binary(df: DataFrame, target: str, policy: Boosting = BINARY) -> Fitted:
-    """The model of all rows, and a calibrator fitted to its scores out of fold."""
-    rows, labels = _classified(df, target)
-    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
-    features = model_features(rows, "_y")
-    scored = _joined([_fit_scores(rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i), features, policy).select("_y", "score") for i in range(policy.folds)])
-    calibrator = IsotonicRegression(featuresCol="score", labelCol="_y", predictionCol="calibrated").fit(scored)
-    prep = Preprocessor(rows, features)
-    model = _boost(GBTClassifier, policy, "_y", weightCol="weight").fit(balanced_weight(prep.transform(rows).select("features", "_y"), "_y"))
-    rows.unpersist()
-    return Fitted(target, features, labels, _prepared, prep, [model], calibrator)
+def _prepared(df: DataFrame) -> DataFrame:
+    return interactions(derived_fields(df))
 
 
-def fit_multiclass(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> Fitted:
-    rows, labels = _classified(df, target)
+def regression_models(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> tuple[DataFrame, Fitted]:
+    """(_key, y and out-of-fold prediction of every row whose target is a number), and the model of all of them."""
+    rows = log_features(_prepared(df.withColumn("_y", F.col(target).try_cast("double")).filter("_y IS NOT NULL").drop(target)))
+    logs = [c.removesuffix("__log1p") for c in rows.columns if c.endswith("__log1p")]
+    rows = _numbered(_keyed(rows).withColumn("_fold", fold(["_key"], policy.folds, policy.seed)), "regression")
     features = model_features(rows, "_y")
-    prep = Preprocessor(rows, features)
-    ready = prep.transform(rows).select("features", "_y").persist()
-    models = [_one_against_rest(ready, c, policy) for c in range(len(labels))]
-    ready.unpersist()
-    return Fitted(target, features, labels, _prepared, prep, models)
-
-
-def _one_against_rest(ready: DataFrame, c: int, policy: Boosting):
-    one = balanced_weight(ready.withColumn("_one", (F.col("_y") == c).cast("double")), "_one")
-    return _boost(GBTClassifier, policy, "_one", weightCol="weight").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_hard").fit(one)
+    grown = grow(rows, features, "regression", policy, [*map(Fit, range(policy.folds)), Fit()], folds=["_fold"])
+    oof = grown.held_out(df.sparkSession, list(range(policy.folds))).select("_key", "y", F.col("answers")[0].alias("prediction"))
 
+    def prepare(new: DataFrame) -> DataFrame:
+        return _prepared(new).withColumns({f"{c}__log1p": F.log1p(F.col(c).cast("double")) for c in logs})
 
-def regression_oof(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> DataFrame:
-    """_key, y and out-of-fold prediction of every row whose target is a number."""
-    rows = _keyed(_regression_rows(df, target), "_y").withColumn("_fold", fold(["_key"], policy.folds, policy.seed)).persist()
-    features = model_features(rows, "_y")
-    parts = []
-    for i in range(policy.folds):
-        train, test = rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i)
-        prep = Preprocessor(train, features)
-        model = _boost(GBTRegressor, policy, "_y").fit(prep.transform(train).select("features", "_y"))
-        parts.append(model.transform(prep.transform(test)).select("_key", F.col("_y").alias("y"), "prediction"))
-    return _joined(parts)
+    return oof, Fitted("regression", target, features, [], prepare, grown.model(policy.folds))
 
 
 def _classified(df: DataFrame, target: str) -> tuple[DataFrame, list]:
     labels = class_labels(df, target)
     rows = df.filter(F.col(target).isNotNull())
     number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(target)).cast("double") - 1
-    return interactions(derived_fields(rows.withColumn("_y", number).drop(target))), labels
+    return _prepared(rows.withColumn("_y", number).drop(target)), labels
 
 
-def _fit_scores(train: DataFrame, test: DataFrame, features: list[str], policy: Boosting, label: str = "_y") -> DataFrame:
-    prep = Preprocessor(train, features)
-    weighted = balanced_weight(prep.transform(train).select("features", label), label)
-    model = _boost(GBTClassifier, policy, label, weightCol="weight").fit(weighted)
-    return model.transform(prep.transform(test)).withColumn("score", vector_to_array("probability")[1])
+def isotonic(scored: DataFrame):
+    """A calibrator fitted to (score, y): it adds ``_calibrated`` to tables that have ``_score``."""
+    return IsotonicRegression(featuresCol="_score", labelCol="y", predictionCol="_calibrated").fit(scored.select(F.col("score").alias("_score"), "y"))
 
 
-def binary_oof(df: DataFrame, target: str, policy: Boosting = BINARY) -> DataFrame:
-    """_key, y and calibrated out-of-fold score of every labelled row; the larger class value is 1.
+def binary_models(df: DataFrame, target: str, policy: Boosting = BINARY) -> tuple[DataFrame, Fitted]:
+    """(_key, y, uncalibrated, score and prediction out of fold of every labelled row), and the model of all of them.
 
-    For each outer fold, inner folds give scores on which an isotonic calibrator
-    is fitted; it then maps the scores of the outer fold's model.
+    The larger class value is 1.  For each outer fold the scores of its inner folds
+    fit an isotonic calibrator, which then maps the scores of the outer fold's
+    model.  The model of all rows has a calibrator fitted to all outer folds' scores.
     """
     rows, labels = _classified(df, target)
     if len(labels) != 2:
-        raise ValueError("a binary target has two values")
-    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
+        raise ValueError(f"a binary target has two values, not {len(labels)}")
+    folds = range(policy.folds)
+    rows = stratified_folds(_keyed(rows), "_y", ["_key"], policy.folds, policy.seed)
+    for i in folds:  # rows of the outer fold itself are numbered apart, and not used
+        rows = stratified_folds(rows.withColumn("_stratum", F.col("_y") + F.when(F.col("_fold") == i, 2).otherwise(0)), "_stratum", ["_key"], policy.inner_folds, 101 + i, name=f"_inner{i}").drop("_stratum")
+    rows = _numbered(rows, "binary")
     features = model_features(rows, "_y")
+    fits = [*map(Fit, folds), *[Fit(i, j) for i in folds for j in range(policy.inner_folds)], Fit()]
+    grown = grow(rows, features, "binary", policy, fits, 2, ["_fold", *[f"_inner{i}" for i in folds]])
+    scores = grown.held_out(df.sparkSession, list(range(len(fits) - 1))).select("_key", "y", "fit", F.col("answers")[0].alias("score"))
+    scores = kept(scores, "scores")
     parts = []
-    for i in range(policy.folds):
-        train, test = rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i)
-        inner = stratified_folds(train, "_y", ["_key"], policy.inner_folds, 100 + i, name="_inner")
-        scored = _joined([_fit_scores(inner.filter(F.col("_inner") != j), inner.filter(F.col("_inner") == j), features, policy).select("_y", "score") for j in range(policy.inner_folds)])
-        calibrator = IsotonicRegression(featuresCol="score", labelCol="_y", predictionCol="calibrated").fit(scored)
-        out = calibrator.transform(_fit_scores(train, test, features, policy).select("_key", "_y", "score"))
-        parts.append(out.select("_key", F.col("_y").cast("int").alias("y"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))).alias("score")))
-    return _joined(parts)
-
-
-def multiclass_oof(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> tuple[DataFrame, list]:
-    """(_key, y, probabilities) out of fold, and the labels by class number: one model against the rest for each class."""
+    for i in folds:
+        first = policy.folds + i * policy.inner_folds
+        calibrator = isotonic(scores.filter(F.col("fit").between(first, first + policy.inner_folds - 1)))
+        parts.append(calibrator.transform(scores.filter(F.col("fit") == i).withColumn("_score", F.col("score"))))
+    oof = reduce(DataFrame.unionByName, parts)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated")))
+    oof = oof.select("_key", F.col("y").cast("int").alias("y"), F.col("score").alias("uncalibrated"), score.alias("score"))
+    oof = oof.withColumn("prediction", (F.col("score") >= policy.threshold).cast("int"))
+    final = isotonic(scores.filter(F.col("fit") < policy.folds))
+    return oof, Fitted("binary", target, features, labels, _prepared, grown.model(len(fits) - 1), policy.threshold, final)
+
+
+def multiclass_models(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> tuple[DataFrame, Fitted]:
+    """(_key, y, probabilities and prediction out of fold, by class number), and the model of all rows: one softmax of all classes."""
     rows, labels = _classified(df, target)
     if len(labels) < 3:
-        raise ValueError("a multiclass target has three values or more")
-    rows = stratified_folds(_keyed(rows, "_y"), "_y", ["_key"], policy.folds, policy.seed).persist()
+        raise ValueError(f"a multiclass target has three values or more, not {len(labels)}")
+    rows = _numbered(stratified_folds(_keyed(rows), "_y", ["_key"], policy.folds, policy.seed), "multiclass")
     features = model_features(rows, "_y")
-    parts = []
-    for i in range(policy.folds):
-        train, test = rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i)
-        prep = Preprocessor(train, features)
-        ready, out = prep.transform(train).select("features", "_y"), prep.transform(test).select("_key", "_y", "features")
-        for c in range(len(labels)):
-            out = _one_against_rest(ready, c, policy).transform(out).withColumn(f"_s{c}", F.greatest(F.lit(1e-12), vector_to_array("_p")[1])).drop("_p", "_raw", "_hard")
-        total = reduce(lambda a, b: a + b, [F.col(f"_s{c}") for c in range(len(labels))])
-        parts.append(out.select("_key", F.col("_y").cast("int").alias("y"), F.array(*[F.col(f"_s{c}") / total for c in range(len(labels))]).alias("probabilities")))
-    return _joined(parts), labels
+    grown = grow(rows, features, "multiclass", policy, [*map(Fit, range(policy.folds)), Fit()], len(labels), ["_fold"])
+    oof = grown.held_out(df.sparkSession, list(range(policy.folds))).select("_key", F.col("y").cast("int").alias("y"), clipped(F.col("answers")).alias("probabilities"))
+    return oof.withColumn("prediction", hardest("probabilities")), Fitted("multiclass", target, features, labels, _prepared, grown.model(policy.folds))

@@ -16,6 +16,8 @@ class Boosting:
     inner_folds: int = 3
     seed: int = 42
     threshold: float = 0.31
+    confidence: float = 0.60
+    margin: float = 0.05
 
 
 @dataclass(frozen=True)

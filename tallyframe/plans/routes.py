@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.association import REDUNDANT, associations, connectivity, supported
-from tallyframe.operators.evaluate import binary_metrics, multiclass_metrics, probability_metrics, regression_metrics, selective
-from tallyframe.operators.models import binary_oof, fit_binary, fit_multiclass, fit_regression, multiclass_oof, regression_oof
+from tallyframe.operators.evaluate import binary_metrics, confidence, multiclass_metrics, probability_metrics, regression_metrics, selective
+from tallyframe.operators.models import Fitted, binary_models, multiclass_models, regression_models
 from tallyframe.operators.profile import field_profile, field_roles
 from tallyframe.operators.segment import fit_segments, segment_profile
 from tallyframe.plans.policies import BINARY, MULTICLASS, REGRESSION, SEGMENTATION, Boosting, Segmentation
 from tallyframe.plans.report import executive_report
+from tallyframe.shared import kept
 
 
 def _result(route: str, df: DataFrame, began: float, target: str | None = None, **more) -> dict:
@@ -36,6 +37,10 @@ def _sentence(r, numeric: str) -> dict:
     return {"relationship": f"{r['field_1']} ↔ {r['field_2']}", "pair_type": r["pair_type"], "effect": r["effect"], "q_value": r["q_value"], "interpretation": f"{kind} ({MEASURE[r['pair_type']]}={size:.3f})"}
 
 
+def _without_q(findings: list[dict]) -> list[dict]:
+    return [{k: v for k, v in f.items() if k != "q_value"} for f in findings]
+
+
 def _ranked(pairs: DataFrame, n: int, numeric: str = "association") -> list[dict]:
     """The strongest findings: a top-k report."""
     return [_sentence(r, numeric) for r in pairs.orderBy(F.desc("evidence_score"), F.desc("effect"), "field_1", "field_2").limit(n).collect()]
@@ -77,7 +82,9 @@ def exploratory_route(df: DataFrame) -> tuple[dict, dict]:
         (True, "Association analysis", "Every pair is tested with FDR control."),
     )
     artifacts = {"profile": profile, "associations": pairs, "supported": good, "connectivity": ends, "excluded": fields.excluded}
-    return _result("exploratory", df, began, method={"profile": "field roles", "associations": "pairwise"}, evidence=evidence, findings=_ranked(good, 8, "monotonic association"), recommendations=advice), artifacts
+    method = {"association_screen": "mixed-type fast association scan", "multiple_testing": "Benjamini-Hochberg FDR"}
+    findings = _without_q(_ranked(good, 8, "monotonic association"))
+    return _result("exploratory", df, began, method=method, evidence=evidence, findings=findings, recommendations=advice), artifacts
 
 
 def segmentation_route(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tuple[dict, dict]:
@@ -93,29 +100,56 @@ def segmentation_route(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tu
     return _result("segmentation", df, began, method=method, evidence=fit.evidence, findings=findings), artifacts
 
 
+#: How the frozen models of the supervised routes are described, and how far they are validated.
+METHODS = {
+    "regression": {"feature_engineering": "R3", "model": "XGBoost", "architecture": "Standard_XGBoost", "selection_source": "validated_deep_analysis"},
+    "binary": {"feature_engineering": "validated_binary_FE", "model": "XGBoost", "calibration": "Isotonic", "threshold_policy": "Balanced_F1", "selection_source": "validated_deep_analysis"},
+    "multiclass": {"architecture": "Nominal Multiclass", "model": "XGBoost", "calibration": "Uncalibrated", "selection_source": "validated_deep_analysis"},
+}
+READINESS = {"binary": "FAST_PARITY_VALIDATED"}
+
+
+def _supervised(kind: str, df: DataFrame, began: float, target: str, policy: Boosting, rows: int, method: dict, evidence: dict, warnings: list[str] | None = None) -> dict:
+    """A result of a supervised route; ``policy`` holds the settings that were used, ``dataset.rows`` counts rows with a target."""
+    route = "regression" if kind == "regression" else "classification"
+    base = _result(route, df, began, target, method=METHODS[kind] | method | {"policy": asdict(policy)}, evidence=evidence, warnings=warnings or [])
+    return base | {"analysis_type": kind, "dataset": {"rows": rows, "columns": len(df.columns)}, "readiness": READINESS.get(kind, base["readiness"])}
+
+
+def _mapped(fitted: Fitted) -> dict:
+    return {v: i for i, v in enumerate(fitted.labels)}
+
+
 def regression_route(df: DataFrame, target: str, policy: Boosting = REGRESSION) -> tuple[dict, dict]:
     began = time.perf_counter()
-    oof, fitted = regression_oof(df, target, policy).persist(), fit_regression(df, target, policy)
+    oof, fitted = regression_models(df, target, policy)
+    oof = kept(oof, "oof")
     m = regression_metrics(oof, "y", "prediction").first().asDict()
     warnings = ["High values are underestimated on average."] if m.pop("tail_warning") else []
-    artifacts = {"oof": oof, "fitted": fitted, "features": fitted.features}
-    return _result("regression", df, began, target, method=asdict(policy), evidence={k: v for k, v in m.items() if k != "n"}, warnings=warnings), artifacts
+    rows = m.pop("n")
+    return _supervised("regression", df, began, target, policy, rows, {}, m, warnings), {"oof": oof, "fitted": fitted, "features": fitted.features}
 
 
 def binary_route(df: DataFrame, target: str, policy: Boosting = BINARY) -> tuple[dict, dict]:
+    """``oof`` has the uncalibrated and the calibrated score and the prediction of every labelled row."""
     began = time.perf_counter()
-    oof, fitted = binary_oof(df, target, policy).persist(), fit_binary(df, target, policy)
-    artifacts = {"oof": oof, "fitted": fitted, "features": fitted.features, "labels": fitted.labels}
-    return _result("binary", df, began, target, method=asdict(policy), evidence=binary_metrics(oof, "y", "score", policy.threshold).first().asDict()), artifacts
+    oof, fitted = binary_models(df, target, policy)
+    oof = kept(oof, "oof")
+    evidence = binary_metrics(oof, "y", "score", policy.threshold).first().asDict()
+    artifacts = {"oof": oof, "fitted": fitted, "features": fitted.features, "labels": fitted.labels, "class_mapping": _mapped(fitted)}
+    return _supervised("binary", df, began, target, policy, oof.count(), {"threshold": policy.threshold}, evidence), artifacts
 
 
 def multiclass_route(df: DataFrame, target: str, policy: Boosting = MULTICLASS) -> tuple[dict, dict]:
+    """``oof`` has the chances of all classes, the prediction, its confidence and margin, and whether it is accepted."""
     began = time.perf_counter()
-    oof, labels = multiclass_oof(df, target, policy)
-    oof, fitted = oof.persist(), fit_multiclass(df, target, policy)
-    guess = oof.withColumn("p", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
-    evidence = multiclass_metrics(guess, "y", "p").first().asDict() | probability_metrics(oof, "y", "probabilities", len(labels)).first().asDict() | selective(oof, "y", "probabilities").first().asDict()
-    return _result("multiclass", df, began, target, method=asdict(policy), evidence=evidence), {"oof": oof, "labels": labels, "fitted": fitted, "features": fitted.features}
+    oof, fitted = multiclass_models(df, target, policy)
+    oof = kept(oof.withColumns(confidence("probabilities", policy.confidence, policy.margin)), "oof")
+    evidence = multiclass_metrics(oof, "y", "prediction").first().asDict() | probability_metrics(oof, "y", "probabilities", len(fitted.labels)).first().asDict()
+    evidence |= selective(oof, "y", "probabilities", policy.confidence, policy.margin).first().asDict()
+    mapping = _mapped(fitted)
+    artifacts = {"oof": oof, "labels": fitted.labels, "fitted": fitted, "features": fitted.features, "class_mapping": mapping, "inverse_class_mapping": {i: v for v, i in mapping.items()}}
+    return _supervised("multiclass", df, began, target, policy, oof.count(), {"confidence_policy": {"confidence_min": policy.confidence, "margin_min": policy.margin}}, evidence), artifacts
 
 
 #: Names by which a route is asked for.

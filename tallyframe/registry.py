@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -464,11 +463,7 @@ def segment_profile(spark, folder):
     return segment.segment_profile(rows, ["c_acctbal", "c_custkey", "c_nationkey"], "segment", 2)
 
 
-# --- model routes, with all folds and few trees (README) -------------------------------------------
-
-
-#: Trees of the registered queries; the policies' 400 and 500 are the functions' defaults.
-TREES = 2
+# --- model routes, with the folds, trees and starts of the policies --------------------------------
 
 
 @query()
@@ -480,20 +475,20 @@ def segmentation(spark, folder):
 @query()
 def regression(spark, folder):
     rows = table(spark, folder, "lineitem").filter("l_extendedprice IS NOT NULL").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
-    return evaluate.regression_metrics(models.regression_oof(rows, "l_extendedprice", replace(REGRESSION, trees=TREES)), "y", "prediction")
+    return evaluate.regression_metrics(models.regression_models(rows, "l_extendedprice", REGRESSION)[0], "y", "prediction")
 
 
 @query()
 def binary(spark, folder):
     rows = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id").drop("doc_id", "quality")
-    return evaluate.binary_metrics(models.binary_oof(rows, "toxic", replace(BINARY, trees=TREES)), "y", "score", BINARY.threshold)
+    return evaluate.binary_metrics(models.binary_models(rows, "toxic", BINARY)[0], "y", "score", BINARY.threshold)
 
 
 @query()
 def multiclass(spark, folder):
     rows = table(spark, folder, "events").select("user_id", "value", F.hour("ts").alias("hour"), "event_type")
-    oof, labels = models.multiclass_oof(rows, "event_type", replace(MULTICLASS, trees=TREES))
-    return evaluate.selective(oof, "y", "probabilities").crossJoin(evaluate.probability_metrics(oof, "y", "probabilities", len(labels)))
+    oof, fitted = models.multiclass_models(rows, "event_type", MULTICLASS)
+    return evaluate.selective(oof, "y", "probabilities").crossJoin(evaluate.probability_metrics(oof, "y", "probabilities", len(fitted.labels)))
 
 
 @query(f"""SELECT date_trunc('day', ts) AS window_start, event_type, count(value) AS n, {r("avg(value)", "mean")}, {r("stddev_samp(value)", "sd")} FROM events GROUP BY 1, 2""")
