@@ -94,7 +94,8 @@ def ranked_fields(df: DataFrame, fields: list[str], keep: list[str] | None = Non
     for j in range(len(whole)):
         own = ranks.filter(F.col("field") == j).select(F.col("value").alias(f"v{j}"), F.col("rank").alias(f"r{j}"))
         rows = rows.join(F.broadcast(own) if about[j]["values"] <= BROADCAST_VALUES else own, f"v{j}")
-    return Ranked(rows.drop(*[f"v{j}" for j in range(len(whole))]), names, facts["n"], {j: r["tied"] for j, r in about.items()})
+    rows = kept(rows.drop(*[f"v{j}" for j in range(len(whole))]), "ranked")  # for both kinds of pairs
+    return Ranked(rows, names, facts["n"], {j: r["tied"] for j, r in about.items()})
 
 
 def gram(rows: DataFrame, columns: list[str], centre: float) -> DataFrame:

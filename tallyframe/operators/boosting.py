@@ -24,7 +24,7 @@ executor costs a bounded part.  The rows are written before the first tree.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -323,27 +323,34 @@ def weights_and_base(blocks: RDD, fits: list[Fit], kind: str, classes: int, outp
     return total.sum(axis=1, keepdims=True) / (present * np.maximum(total, 1)), np.zeros((len(fits), outputs))
 
 
-def _summed(part: Iterator[State], layout: Layout, tree: Trees, level: int, number: int, policy: Boosting) -> Iterator[tuple[int, np.ndarray]]:
-    """Sums of gradients and second derivatives of a partition for each (fit, output): (2, nodes of the level, bins + 1)."""
-    offsets, n_nodes, first, loss = layout.offsets, 2**level, 2**level - 1, LOSSES[layout.kind]
-    total = np.zeros((len(layout.fits) * layout.outputs, 2, n_nodes, offsets[-1] + 1))
+def _samples(part: Iterator[State], layout: Layout, number: int, policy: Boosting) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """What a tree is grown from, for each block and fit: (fit, bins, [gradients, second derivatives])."""
     for b, margins in part:
         sample = drawn(b.row, number, policy.seed, policy.subsample)
         for i, fit in enumerate(layout.fits):
             rows = np.flatnonzero(sample & fit.trains(b))
-            y, own = b.y[rows], layout.filled(i, b.bins[:, rows])
+            y = b.y[rows]
             weight = 1.0 if layout.kind == "regression" else layout.weights[i][y.astype(np.int64)]
-            both = [x * weight for x in loss(margins[i][:, rows], y)]
-            for o in range(layout.outputs):
-                t = i * layout.outputs + o
-                node = tree.nodes(t, own, layout.n_numeric, level) - first
-                here = np.flatnonzero(node >= 0)  # others lie in leaves of upper levels
-                node = node[here]
-                for s in range(2):
-                    w = both[s][o, here]
-                    total[t, s, :, -1] += np.bincount(node, w, minlength=n_nodes)
-                    for f, (a, z) in enumerate(zip(offsets, offsets[1:], strict=False)):
-                        total[t, s, :, a:z] += np.bincount(node * (z - a) + own[f, here], w, minlength=n_nodes * (z - a)).reshape(n_nodes, z - a)
+            yield i, layout.filled(i, b.bins[:, rows]), [x * weight for x in LOSSES[layout.kind](margins[i][:, rows], y)]
+
+
+def _summed(samples: Iterable[tuple[int, np.ndarray, list[np.ndarray]]], layout: Layout, tree: Trees, level: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sums of gradients and second derivatives for each (fit, output): (2, nodes of the level, bins + 1)."""
+    offsets, n_nodes, first = layout.offsets, 2**level, 2**level - 1
+    total = np.zeros((len(layout.fits) * layout.outputs, 2, n_nodes, offsets[-1] + 1))
+    for i, own, both in samples:
+        for o in range(layout.outputs):
+            t = i * layout.outputs + o
+            node = tree.nodes(t, own, layout.n_numeric, level) - first
+            here = np.flatnonzero(node >= 0)  # others lie in leaves of upper levels
+            node, bins = (node, own) if len(here) == len(node) else (node[here], own[:, here])
+            weights = [x[o] if len(here) == len(x[o]) else x[o, here] for x in both]
+            for s, w in enumerate(weights):
+                total[t, s, :, -1] += np.bincount(node, w, minlength=n_nodes)
+            for f, (a, z) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                cell = node * (z - a) + bins[f]
+                for s, w in enumerate(weights):
+                    total[t, s, :, a:z] += np.bincount(cell, w, minlength=n_nodes * (z - a)).reshape(n_nodes, z - a)
     yield from enumerate(total)
 
 
@@ -458,8 +465,9 @@ def _grown_here(state: RDD, layout: Layout, policy: Boosting) -> tuple[list[Tree
         own, trees = list(part), []
         for number in range(policy.trees if len(layout.offsets) > 1 else 0):
             tree, allowed = Trees.empty(len(layout.fits) * layout.outputs, policy.depth), column_sample(layout.offsets, layout.n_numeric, number, policy)
+            samples = list(_samples(iter(own), layout, number, policy))
             for level in range(policy.depth):
-                sums = _summed(iter(own), layout, tree, level, number, policy)
+                sums = _summed(samples, layout, tree, level)
                 if not _split(tree, level, [(t, best_splits(s, layout.offsets, layout.n_numeric, allowed)) for t, s in sums], policy.rate):
                     break
             trees.append(tree)
@@ -507,7 +515,7 @@ def _best(offsets: np.ndarray, n_numeric: int, allowed: np.ndarray) -> Callable[
 
 
 def _sums(layout: Layout, tree: Trees, level: int, number: int, policy: Boosting) -> Callable[[Iterator[State]], Iterator[tuple[int, np.ndarray]]]:
-    return lambda part: _summed(part, layout, tree, level, number, policy)
+    return lambda part: _summed(_samples(part, layout, number, policy), layout, tree, level)
 
 
 def _step(layout: Layout, tree: Trees) -> Callable[[State], State]:

@@ -155,13 +155,23 @@ def structural_exclusions(counts: dict[str, tuple[int, int]], target: str | None
     return [c for c in dict.fromkeys(ids + constant) if c != target]
 
 
-def field_roles(df: DataFrame, target: str | None = None) -> Fields:
+def field_roles(df: DataFrame, target: str | None = None, exact: bool = False) -> Fields:
+    """The role of each field.
+
+    Roles ask for counts of distinct values near 1, 2 and ``DISCRETE_VALUES`` only:
+    one pass sketches all columns, and columns that a sketch puts anywhere near get
+    an exact count.  With ``exact`` all do, as a profile shows the counts.
+    """
     fields = [f for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
     dated = [f.name for f in fields if isinstance(f.dataType, T.StringType) and any(p in f.name.lower() for p in DATE_PARTS)]
     q = {f.name: F.col(f"`{f.name}`") for f in fields}
-    r = df.agg(F.count(F.lit(1)), *[F.count_distinct(q[f.name]) for f in fields], *[F.count_if(q[f.name].isNull()) for f in fields], *[F.count(parsed_date(q[c])) for c in dated]).first()
+    r = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(q[f.name], 0.02) for f in fields], *[F.count_if(q[f.name].isNull()) for f in fields], *[F.count(parsed_date(q[c])) for c in dated]).first()
     m = len(fields)
     counts = {f.name: (r[1 + i], r[1 + m + i]) for i, f in enumerate(fields)}
+    near = [c for c in counts if exact or counts[c][0] <= 2 * DISCRETE_VALUES]
+    if near:
+        sure = df.agg(*[F.count_distinct(q[c]) for c in near]).first()
+        counts |= {c: (sure[i], counts[c][1]) for i, c in enumerate(near)}
     parsed = {c: r[1 + 2 * m + i] / max(r[0], 1) for i, c in enumerate(dated)}
     excluded = structural_exclusions(counts, target)
     roles: dict[str, list[str]] = {k: [] for k in ("continuous", "discrete", "binary", "categorical", "datetime")}
@@ -183,7 +193,7 @@ def field_roles(df: DataFrame, target: str | None = None) -> Fields:
 
 def field_profile(df: DataFrame) -> DataFrame:
     """field, dtype, role (numeric or categorical, by type), missing_pct, n_unique and unique_ratio of every field that isn't excluded."""
-    fields = field_roles(df)
+    fields = field_roles(df, exact=True)
     rows = [
         (f.name, f.dataType.simpleString(), "numeric" if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else "categorical", 100.0 * fields.counts[f.name][1] / fields.n_rows, fields.counts[f.name][0], fields.counts[f.name][0] / fields.n_rows)
         for f in df.schema
