@@ -145,8 +145,11 @@ def _odd(text: str, specials: tuple[str, ...]) -> bool:
 
 
 def _word(text: str) -> bool:
-    """Letters of the Latin alphabets, which every version of Unicode knows as such."""
-    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+    """Letters of the Latin alphabets, which every version of Unicode knows as such.
+
+    Not the dotted capital I: its lower case is a letter and a mark, where vocabularies split.
+    """
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text)
 
 
 class _Units:

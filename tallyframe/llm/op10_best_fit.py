@@ -17,8 +17,9 @@ many of them as there is room for, all at once:
 2. Those pieces, shortest first, each go to their successor, the first slot that
    holds them and that no piece before them has: a running maximum.
 3. Runs of pieces and of slots, cut into ranges of the slots' order, meet in a
-   sweep over each range.  Ranges are tasks of their own; up to ``RANGE_RUNS`` runs
-   are one range.
+   sweep over each range.  Ranges are tasks of their own.  Runs are of few sizes:
+   where ``max_tokens`` says that they are one range of ``RANGE_RUNS``, whatever the
+   documents, its task goes from superstep to superstep (``supersteps``).
 4. The gaps are updated and written with what is left, and the next superstep
    begins.
 
@@ -172,12 +173,129 @@ WHERE kind <> 1 OR size >= :least
 """
 
 
+Left, Gap, Placed = tuple[int, int, int], tuple[int, int, int], tuple[int, int, int, int, int, int]
+
+
+def match_range(left: list[Left], gaps: list[Gap], low: int, longest: int, most: int) -> tuple[list[Left], list[Gap], list[Placed]]:
+    """``MATCH`` over a single range: what is left (size, first, n), gaps (size, n, sequence), and what has its place now."""
+    band, rest = sorted(x for x in left if x[0] > low), [x for x in left if x[0] <= low]
+    slots = sorted((size, sequence, n, max(1, size // longest)) for size, n, sequence in gaps if size > low)
+    kept_gaps, placed = [g for g in gaps if g[0] <= low], []
+    ends = np.cumsum([n * k for _, _, n, k in slots])
+    total, sizes = int(ends[-1]), [size for size, *_ in slots]
+    # Slots too small for a piece of each length; where more pieces claim the others than there are, the longest get them.
+    small = [int(ends[i - 1]) if i else 0 for i in np.searchsorted(sizes, [size for size, *_ in band], side="left").tolist()]
+    take, got, claimed, over = {}, 0, 0, 0
+    for (size, _, n), without in zip(reversed(band), reversed(small), strict=True):
+        claimed += n
+        over = min(over, total - without - claimed)
+        take[size], got = claimed + over - got, claimed + over
+    sent, before, free = [], 0, 0
+    for (size, first, n), without in zip(band, small, strict=True):  # shortest first, each to its free successor
+        free = max(free, without - before)
+        if take[size]:
+            sent.append((free + before, free + before + take[size], size, first))
+            before += take[size]
+        if n > take[size]:
+            rest.append((size, first + take[size], n - take[size]))
+    at = 0
+    for (size, sequence, n, k), end in zip(slots, ends.tolist(), strict=True):  # the sweep
+        begin, x, stretches = end - n * k, 0, []
+        while at < len(sent) and sent[at][1] <= begin:
+            at += 1
+        for lo, hi, length, first in sent[at:]:
+            if lo >= end:
+                break
+            a, b = max(lo, begin) - begin, min(hi, end) - begin
+            stretches += [(x, a, 0, 0), (a, b, length, first + begin + a - lo)]
+            x = b
+        new_gaps, new_placed = _filled_run(size, sequence, k, [*stretches, (x, n * k, 0, 0)], most)
+        kept_gaps += new_gaps
+        placed += new_placed
+    return rest, kept_gaps, placed
+
+
+def _filled_run(size: int, sequence: int, k: int, stretches: list[tuple[int, int, int, int]], most: int) -> tuple[list[Gap], list[Placed]]:
+    """A run of gaps with ``k`` slots each after stretches (begin, end, length, first rank) of its slots are filled; length 0 is nothing."""
+    gaps, placed, parts = [], [], {}
+    for x, y, length, first in stretches:
+        at = x
+        while at < y:
+            nth, inside = divmod(at, k)
+            m = min(y - at, k - inside)
+            if m == k:  # sequences that are filled alike
+                many = (y - at) // k
+                gaps.append((size - k * length, many, sequence + nth))
+                placed += [(length, first + at - x, many * k, sequence + nth, k, most - size)] if length else []
+                at += many * k
+            else:
+                parts.setdefault(nth, []).append((m, length, first + at - x))
+                at += m
+    for nth, pieces_ in parts.items():
+        used = 0
+        for m, length, first in pieces_:
+            placed += [(length, first, m, sequence + nth, m, most - size + used)] if length else []
+            used += m * length
+        gaps.append((size - used, 1, sequence + nth))
+    return gaps, placed
+
+
+def open_range(left: list[Left], low: int, longest: int, new: int, most: int) -> tuple[list[Left], list[Gap], list[Placed]]:
+    """``OPEN`` over a single range."""
+    band, rest = sorted((x for x in left if x[0] > low), reverse=True), [x for x in left if x[0] <= low]
+    fill = most // longest
+    opened = [n // fill if most // size == fill else 0 for size, _, n in band]
+    each = fill if any(opened) else 1
+    if not any(opened):
+        room = max(1, sum(size * n for size, _, n in band) // most)
+        for i, (_, _, n) in enumerate(band):
+            opened[i] = min(n, room)
+            room -= opened[i]
+    gaps, placed = [], []
+    for (size, first, n), some in zip(band, opened, strict=True):
+        if some:
+            gaps.append((most - each * size, some, new))
+            placed.append((size, first, some * each, new, each, 0))
+            new += some
+        if n > some * each:
+            rest.append((size, first + some * each, n - some * each))
+    return rest, gaps, placed
+
+
+def supersteps(lengths: list[tuple[int, int]], most: int) -> list[Placed]:
+    """(length, first, n, sequence, each, at) of all runs, from (length, n): the supersteps of a single range."""
+    left, gaps, placed, new = [(size, 0, n) for size, n in lengths], [], [], 0
+    while left:
+        longest, least = max(left)[0], min(left)[0]
+        low = band_of(longest, most)
+        if max(gaps, default=(0,))[0] >= min(size for size, *_ in left if size > low):
+            left, gaps, done = match_range(left, gaps, low, longest, most)
+        else:
+            left, more, done = open_range(left, low, longest, new, most)
+            gaps = gaps + more
+        gaps = [g for g in gaps if g[0] >= least]
+        new = max([new, *(sequence + -(-n // each) for _, _, n, sequence, each, _ in done)])
+        placed += done
+    return placed
+
+
 def placed_runs(counts: DataFrame, max_tokens: int, range_runs: int = RANGE_RUNS) -> DataFrame:
     """(length, first, n, sequence, each, at) of all runs of pieces, from (length, n).
 
     Piece ``first + i`` goes to sequence ``sequence + i // each``, at place ``at + i % each * length``.
+    Lengths and gaps of so few sizes that they are one range go through all
+    supersteps in its task; otherwise a superstep is a job over all ranges.
     """
     spark = counts.sparkSession
+    if 2 * max_tokens <= range_runs:
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = supersteps([x for b in batches for x in zip(b.column("length").to_pylist(), b.column("n").to_pylist(), strict=True)], max_tokens)
+            columns = zip(*done, strict=True) if done else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["length", "first", "n", "sequence", "each", "at"])
+
+        types = [pa.int32(), *[pa.int64()] * 4, pa.int32()]
+        return in_arrow(counts.select("length", "n").coalesce(1), packed, "length int, first long, n long, sequence long, each long, at int")
     runs = kept(counts.selectExpr("0 AS kind", "length AS size", "0L AS first", "n", "CAST(NULL AS LONG) AS sequence", "CAST(NULL AS LONG) AS each", "CAST(NULL AS INT) AS at"), "runs")
     steps, new = [], 0
     while True:

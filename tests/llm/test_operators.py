@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm import hashing
-from tallyframe.llm.common import crc32_combine, scratch, slices
+from tallyframe.llm.common import crc32_combine, scratch, size_in_bytes, slices
 from tallyframe.llm.encoding import byte_level, word_counter
 from tallyframe.llm.graph import components
 from tallyframe.llm.op1_token_planes import from_planes, read_digests, read_ids, to_planes, write_planes
@@ -28,7 +28,7 @@ from tallyframe.llm.op7_tiles import nearest
 from tallyframe.llm.op8_superminhash import keep_one_of_each, near_duplicates, superminhash
 from tallyframe.llm.op9_urls import grams, judge, labelled_urls, split_url
 from tallyframe.llm.op9_urls import train as train_urls
-from tallyframe.llm.op10_best_fit import cut, pack, placed_runs
+from tallyframe.llm.op10_best_fit import cut, pack, placed_runs, supersteps
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +74,18 @@ def test_encoders_equal_the_library():
         assert word_counter(WORDS).count(column).tolist() == [len(x) for x in ids_of(column.to_pylist(), WORDS)]
 
 
+def test_encoders_know_every_latin_letter():
+    letters = [chr(c) for c in range(0x80, 0x250)]
+    column = pa.array([f(c) for c in letters for f in ("{}".format, "a{}b".format, "x {}stanbul".format, "{}.".format, "{}\u0307z".format, "q{}{}".format(c, "{}").format)])
+    assert word_counter(WORDS).count(column).tolist() == [len(x) for x in ids_of(column.to_pylist(), WORDS)]
+    ids, bounds = byte_level(BYTES).encode(column)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == ids_of(column.to_pylist())
+
+
+def test_settings_of_sizes():
+    assert [size_in_bytes(x) for x in ("256MB", "4m", "64k", "1048576", " 2g ", "", "-1")] == [256 << 20, 4 << 20, 64 << 10, 1 << 20, 2 << 30, 0, 0]
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_planes_round_trip(bits):
     ids = np.random.default_rng(0).integers(0, 2**32, 1003, dtype=np.uint32)
@@ -410,8 +422,9 @@ def best_fit_decreasing(counts, most):
     return n
 
 
+@pytest.mark.parametrize("range_runs", [10, 4096])  # with several ranges, and with one
 @pytest.mark.parametrize("case", ["spread", "halves", "claims", "tiny"])
-def test_supersteps_are_tight_and_whole(spark, case):
+def test_supersteps_are_tight_and_whole(spark, case, range_runs):
     rng = random.Random(17)
     counts = {
         "spread": {n: rng.randrange(1, 50) for n in rng.sample(range(1, 101), 60)},
@@ -420,7 +433,7 @@ def test_supersteps_are_tight_and_whole(spark, case):
         "tiny": {1: 500, 3: 40, 70: 3},
     }[case]
     room, ranks = defaultdict(list), defaultdict(list)
-    for r in placed_runs(spark.createDataFrame(list(counts.items()), "length int, n long"), 100, 10 if case == "spread" else 4096).collect():  # with several ranges, and with one
+    for r in placed_runs(spark.createDataFrame(list(counts.items()), "length int, n long"), 100, range_runs).collect():
         for i in range(r.n):
             ranks[r.length].append(r["first"] + i)
             room[r.sequence + i // r.each].append((r["at"] + i % r.each * r.length, r.length))
@@ -436,6 +449,21 @@ def test_supersteps_are_tight_and_whole(spark, case):
         assert sorted(sorted(n for _, n in pieces) for pieces in room.values()) == [[39, 40], [40, 60]]
 
 
+def test_supersteps_of_random_lengths():
+    rng = random.Random(23)
+    for most in [*range(1, 60), *[rng.randrange(60, 400) for _ in range(60)]]:
+        counts = {rng.randrange(1, most + 1): rng.randrange(1, 30) for _ in range(rng.randrange(1, 40))}
+        room, seen = defaultdict(int), defaultdict(list)
+        for length, first, n, sequence, each, at in supersteps(list(counts.items()), most):
+            seen[length] += range(first, first + n)
+            for i in range(n):
+                assert 0 <= at + i % each * length <= most - length
+                room[sequence + i // each] += length
+        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in counts.items()}
+        assert max(room.values()) <= most and len(room) <= best_fit_decreasing(counts, most) * 1.02 + 2
+    assert supersteps([], 10) == []
+
+
 def test_op10_packs_everything_once(spark, odd_docs, no_docs):
     assert cut(5, 10) == [(0, 5)] and cut(20, 10) == [(0, 10), (10, 10)] and cut(23, 10) == [(0, 3), (3, 10), (13, 10)]
     rows = odd_docs.collect()
