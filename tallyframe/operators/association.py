@@ -264,7 +264,17 @@ def associations(df: DataFrame, fields: Fields | None = None) -> DataFrame:
         out = out.unionByName(part)
     out = benjamini_hochberg(out).withColumn("significant_fdr", F.col("q_value") <= ALPHA)
     out = out.withColumns({"effect_label": effect_label(F.col("effect")), "evidence_score": F.coalesce("effect", F.lit(0.0)) * F.when(F.col("significant_fdr"), 1.0).otherwise(0.25)})
-    return out.orderBy(F.desc("evidence_score"), F.desc_nulls_last("effect"), "field_1", "field_2")  # a row a pair of fields
+    return by_evidence(out)
+
+
+def by_evidence(pairs: DataFrame) -> DataFrame:
+    """The strongest evidence first; a row a pair of fields."""
+    return pairs.orderBy(F.desc("evidence_score"), F.desc_nulls_last("effect"), "field_1", "field_2")
+
+
+def by_edges(ends: DataFrame) -> DataFrame:
+    """The best connected field first; a row a field."""
+    return ends.orderBy(F.desc("edges"), F.desc("max_effect"), "field")
 
 
 def supported(pairs: DataFrame) -> DataFrame:
@@ -275,4 +285,4 @@ def connectivity(pairs: DataFrame) -> DataFrame:
     """field, edges, mean and largest effect over the supported pairs, best connected first."""
     good = supported(pairs)
     ends = good.select(F.col("field_1").alias("field"), "effect").unionByName(good.select(F.col("field_2").alias("field"), "effect"))
-    return ends.groupBy("field").agg(F.count(F.lit(1)).alias("edges"), F.avg("effect").alias("mean_effect"), F.max("effect").alias("max_effect")).orderBy(F.desc("edges"), F.desc("max_effect"), "field")
+    return by_edges(ends.groupBy("field").agg(F.count(F.lit(1)).alias("edges"), F.avg("effect").alias("mean_effect"), F.max("effect").alias("max_effect")))

@@ -239,12 +239,17 @@ def best_splits(sums: np.ndarray, offsets: np.ndarray, n_numeric: int, allowed:
     return out
 
 
-def drawn(row: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
-    """The rows that a tree is grown from, by a hash of their number."""
-    x = row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tree * 1_000_003 + seed)
+def hashed(row: np.ndarray, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each row number and seed."""
+    x = row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) < share * 2.0**53
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def drawn(row: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """The rows that a tree is grown from, by a hash of their number."""
+    return hashed(row, tree * 1_000_003 + seed) < share
 
 
 def column_sample(offsets: np.ndarray, n_numeric: int, tree: int, policy: Boosting) -> np.ndarray:

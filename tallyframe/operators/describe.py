@@ -149,12 +149,17 @@ def ordered_counts(values: DataFrame, column: str = "x") -> DataFrame:
     ranges' totals (one row each) give what comes before: no window runs over
     all values in one task.
     """
-    counts = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = kept(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranged")
-    inner = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    ahead = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return ranged.join(F.broadcast(ahead), "part").select("value", "n", (F.col("ahead") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("before"))
+    return ordered_sums(values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value", "n")
+
+
+def ordered_sums(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """``counts`` of distinct values with ``before``, the sum of ``n`` over smaller values."""
+    ranged = kept(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "ranged")
+    inner = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.sum(n).alias("_total"))
+    ahead = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    before = F.col("_ahead") + F.coalesce(F.sum(n).over(inner), F.lit(0))
+    return ranged.join(F.broadcast(ahead), "_part").withColumn("before", before).drop("_part", "_ahead")
 
 
 def qq_points(df: DataFrame, column: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.operators.describe import ordered_counts, quantiles
+from tallyframe.shared import kept
 
 
 def _d(c: Column | str) -> Column:
@@ -123,43 +126,57 @@ def cluster_metrics(df: DataFrame, features: list[str], cluster: str) -> DataFra
     return ch.crossJoin(db)
 
 
-def silhouette(df: DataFrame, features: list[str], cluster: str, block: int = 2000) -> float | None:
+#: Points of a group and of a tile: a task holds two groups, and distances of a tile by a tile.
+GROUP_POINTS, TILE_POINTS = 1 << 15, 1000
+
+
+def silhouette(df: DataFrame, features: list[str], cluster: str, group: int = GROUP_POINTS) -> float | None:
     """Mean Euclidean silhouette over all rows, exact at each size; the work grows with the square of the different points.
 
-    Equal rows are one point with a weight.  Points are packed into blocks by
-    hash, and each block meets each other one; a meeting gives the sums of
-    distances by point and cluster.
+    Equal rows are one point with a weight.  Points are dealt into groups, and each
+    pair of groups is one task's, once: it goes from tile to tile, adds what a
+    distance says to the sums of both its points, and gives one row of sums by
+    cluster for each of its points.  So a point is shuffled once for each group,
+    not for each tile, and so are its sums.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = df.select(F.col(cluster).cast("int").alias("c"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
-    points = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w")).persist()
-    sizes = points.groupBy(F.col("c").alias("kind")).agg(F.sum("w").alias("n")).persist()
-    kinds = np.array(sorted(r["kind"] for r in sizes.collect()))  # a row a cluster
-    if len(kinds) < 2:
+    names = [f"x{i}" for i in range(len(features))]
+    rows = df.select(F.col(cluster).cast("int").alias("c"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, names, strict=True)]).dropna()
+    points = kept(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("id", F.monotonically_increasing_id()), "points")
+    sizes = {r["c"]: r["n"] for r in points.groupBy("c").agg(F.sum("w").alias("n")).collect()}  # a row a cluster
+    if len(sizes) < 2:
         return None
-    blocks = -(-points.count() // block)
-    dealt = points.select(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).alias("block"), F.struct("c", "w", F.array(*rows.columns[1:]).alias("x")).alias("p"))
-    packed = dealt.groupBy("block").agg(F.collect_list("p").alias("p")).select("block", "p.c", "p.w", F.flatten("p.x").alias("x")).persist()
-    left = packed.select("c", "w", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    tiles = left.join(packed.select("block", F.col("c").alias("c2"), F.col("w").alias("w2"), F.col("x").alias("x2")), "block").drop("block")
-
-    def step(batches):
-        for pdf in batches:
-            for c, w, x, c2, w2, x2 in zip(*[pdf[k] for k in ("c", "w", "x", "c2", "w2", "x2")], strict=True):
-                a, b = np.asarray(x).reshape(len(c), -1), np.asarray(x2).reshape(len(c2), -1)
-                d = np.sqrt(sum((a[:, i, None] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
-                sums = d @ ((np.asarray(c2)[:, None] == kinds) * np.asarray(w2)[:, None].astype(float))
-                yield pd.DataFrame({"c": c, "w": w, "x": list(a), "sums": list(sums)})
-
-    sums = tiles.mapInPandas(step, "c int, w long, x array<double>, sums array<double>")
-    sums = sums.groupBy("c", "w", "x").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(len(kinds))]).alias("sums"))
-    means = sums.select("c", "w", "x", F.explode(F.arrays_zip(F.array(*[F.lit(int(k)) for k in kinds]).alias("kind"), "sums")).alias("k")).select("c", "w", "x", "k.kind", F.col("k.sums").alias("total")).join(F.broadcast(sizes), "kind")
-    own = F.col("kind") == F.col("c")
-    each = means.groupBy("c", "w", "x").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("total") / F.greatest(F.lit(1), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
-    s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)))
-    return each.agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
+    kinds = np.array(sorted(sizes))
+    groups = -(-points.count() // group)
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    met = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = met.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "c", "w", *names)
+
+    def meet(part: pa.Table) -> pa.Table:
+        a, b, side = (part.column(c).to_numpy() for c in ("a", "b", "own"))
+        x = np.array([part.column(c).to_numpy() for c in names])
+        kind = (part.column("c").to_numpy()[:, None] == kinds) * part.column("w").to_numpy()[:, None]
+        sums = np.zeros((len(side), len(kinds)))
+        first, second = np.flatnonzero(side == a[0]), np.flatnonzero(side == b[0])
+        same = a[0] == b[0]
+        for i in range(0, len(first), TILE_POINTS):
+            for j in range(i if same else 0, len(second), TILE_POINTS):
+                p, q = first[i : i + TILE_POINTS], second[j : j + TILE_POINTS]
+                d = np.sqrt(sum((v[p][:, None] - v[q][None, :]) ** 2 for v in x))
+                sums[p] += d @ kind[q]
+                if not same or i != j:
+                    sums[q] += d.T @ kind[p]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(side) + 1) * len(kinds), pa.int32()), pa.array(sums.ravel()))
+        return pa.table({"id": part.column("id"), "c": part.column("c"), "w": part.column("w"), "sums": lists})
+
+    sums = met.groupBy("a", "b").applyInArrow(meet, "id long, c int, w double, sums array<double>")
+    sums = sums.groupBy("id").agg(F.first("c").alias("c"), F.first("w").alias("w"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(kinds))])
+    n = [float(sizes[k]) for k in kinds.tolist()]
+    mine = [F.col("c") == int(k) for k in kinds]
+    size = F.coalesce(*[F.when(m, F.lit(v)) for m, v in zip(mine, n, strict=True)])
+    near = F.coalesce(*[F.when(m, F.col(f"s{i}")) for i, m in enumerate(mine)]) / F.greatest(F.lit(1.0), size - 1)
+    away = F.array_min(F.array(*[F.when(~m, F.col(f"s{i}") / v) for i, (m, v) in enumerate(zip(mine, n, strict=True))]))
+    s = F.when(size == 1, 0.0).otherwise((away - near) / F.greatest(near, away, F.lit(1e-300)))
+    return sums.agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
 
 
 def rank_from(df: DataFrame, by: str, n: int, key: str) -> DataFrame:

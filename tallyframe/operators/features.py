@@ -90,9 +90,16 @@ class Preprocessor:
         return out.drop(*chain(*[(f"_i_{c}", f"_o_{c}") for c in self.categorical]))
 
 
-def class_labels(df: DataFrame, target: str) -> list:
-    """The target's distinct values in order; few, as classes are."""
-    return sorted(r[0] for r in df.select(target).filter(F.col(target).isNotNull()).distinct().collect())
+#: Classes of a target at most: each is a tree a round, and its label is known to the driver.
+MOST_CLASSES = 1000
+
+
+def class_labels(df: DataFrame, target: str, most: int = MOST_CLASSES) -> list:
+    """The target's distinct values in order; ValueError if there are more than ``most``."""
+    found = df.select(target).filter(F.col(target).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{target} has more than {most} different values, so it isn't a class")
+    return sorted(r[0] for r in found)
 
 
 def balanced_weight(df: DataFrame, target: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.special import chi2_p, f_tail, t_critical, t_p, t_two_sided
 from tallyframe.operators.compare import measured
-from tallyframe.operators.describe import ordered_counts
+from tallyframe.operators.describe import ordered_counts, ordered_sums
+from tallyframe.shared import kept
 
 #: Fixed value: the normal quantile that Fisher intervals use.
 Z95 = 1.959964
@@ -70,10 +71,16 @@ def spearman(df: DataFrame, a: str, b: str, missing: str = "drop") -> DataFrame:
     return _correlation(sums.withColumn("r", F.when(some, F.col("uv") / F.sqrt(F.when(some, F.col("vx") * F.col("vy"))))), False)
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """row, column, observed, expected of every cell, empty cells included; rows with a blank are left out."""
+def observed_cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """row, column, n of the cells that have rows; rows with a blank are left out."""
     x, y = (F.trim(F.col(c).cast("string")) for c in (a, b))
-    counts = df.select(x.alias("row"), y.alias("column")).filter("row IS NOT NULL AND row <> '' AND column IS NOT NULL AND column <> ''").groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(x.alias("row"), y.alias("column")).filter("row IS NOT NULL AND row <> '' AND column IS NOT NULL AND column <> ''")
+    return rows.groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """row, column, observed, expected of every cell, empty cells included, as the feature shows them."""
+    counts = observed_cells(df, a, b)
     rows, columns = counts.groupBy("row").agg(F.sum("n").alias("row_n")), counts.groupBy("column").agg(F.sum("n").alias("column_n"))
     # Margins, one row a category, not data rows.
     cells = rows.crossJoin(columns).join(counts, ["row", "column"], "left").withColumn("observed", F.coalesce("n", F.lit(0)))
@@ -81,15 +88,30 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson's chi-square without correction, Cramer's V, and how small the expected counts are."""
+    """Pearson's chi-square without correction, Cramer's V, and how small the expected counts are.
+
+    Empty cells are never made: together they expect what the observed ones don't, and
+    add just that to the statistic.  The smallest expected count is that of the two
+    smallest margins, and how many are under 5 comes from one sweep over both
+    sorted margins, each row's asking how many columns' lie below its threshold.
+    """
     if a == b:
         raise ValueError("choose two different variables")
-    cells = crosstab(df, a, b)
-    s = cells.agg(
-        F.count_distinct("row").alias("rows"), F.count_distinct("column").alias("columns"), F.sum("observed").alias("n"), F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).alias("chi2"),
-        F.min("expected").alias("min_expected"), (100.0 * F.avg((F.col("expected") < 5).cast("double"))).alias("pct_expected_lt_5"),
-    ).filter("rows >= 2 AND columns >= 2")
-    s = s.withColumn("df", ((F.col("rows") - 1) * (F.col("columns") - 1)).cast("double"))
+    counts = kept(observed_cells(df, a, b), "cells")
+    rows, columns = counts.groupBy("row").agg(F.sum("n").alias("row_n")), counts.groupBy("column").agg(F.sum("n").alias("column_n"))
+    total = counts.agg(F.sum("n").alias("n"))
+    about = total.crossJoin(rows.agg(F.count(F.lit(1)).alias("rows"), F.min("row_n").alias("least_row"))).crossJoin(columns.agg(F.count(F.lit(1)).alias("columns"), F.min("column_n").alias("least_column")))  # single rows
+    expected = F.col("row_n") * F.col("column_n") / F.col("total")
+    seen = counts.join(rows, "row").join(columns, "column").crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).withColumn("expected", expected)
+    seen = seen.agg(F.sum((F.col("n") - F.col("expected")) ** 2 / F.col("expected")).alias("off"), F.sum("expected").alias("in_seen"))
+    asked = rows.crossJoin(F.broadcast(total)).select(F.expr("(5 * n + row_n - 1) div row_n").alias("v"), F.lit(0).alias("m"), F.lit(1).alias("w"))
+    margins = columns.select(F.col("column_n").alias("v"), F.lit(1).alias("m"), F.lit(0).alias("w")).unionByName(asked).groupBy("v").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
+    small = ordered_sums(margins, "v", "m").agg(F.sum(F.col("w") * F.col("before")).alias("small"))
+    s = about.crossJoin(seen).crossJoin(small).filter("rows >= 2 AND columns >= 2")
+    s = s.withColumns({
+        "chi2": F.col("off") + F.greatest(F.lit(0.0), F.col("n") - F.col("in_seen")), "df": ((F.col("rows") - 1) * (F.col("columns") - 1)).cast("double"),
+        "min_expected": F.col("least_row") * F.col("least_column") / F.col("n"), "pct_expected_lt_5": 100.0 * F.col("small") / (F.col("rows") * F.col("columns")),
+    })
     v = F.sqrt(F.col("chi2") / F.col("n") / (F.least("rows", "columns") - 1))
     return s.select("n", "rows", "columns", "chi2", "df", chi2_p("chi2", "df").alias("p"), v.alias("cramers_v"), "min_expected", "pct_expected_lt_5", ((F.col("pct_expected_lt_5") > 20) | (F.col("min_expected") < 1)).alias("warning"))
 

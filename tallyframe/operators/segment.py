@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,8 +13,10 @@ from pyspark.sql.window import Window
 
 from tallyframe.operators.evaluate import cluster_metrics, silhouette
 from tallyframe.operators.features import derived_fields, medians, numeric_columns
+from tallyframe.operators.kmeans import Centres, kmeans
 from tallyframe.operators.profile import field_roles
 from tallyframe.plans.policies import SEGMENTATION, Segmentation
+from tallyframe.shared import kept
 
 #: Outcomes of a campaign, which don't describe a customer.
 OUTCOMES = ("response", "complain")
@@ -42,7 +43,7 @@ class Segments:
     medians: dict[str, float]
     scaler: StandardScalerModel
     pca: PCAModel
-    model: KMeansModel
+    model: Centres
     evidence: dict
 
 
@@ -59,14 +60,12 @@ def fit_segments(df: DataFrame, policy: Segmentation = SEGMENTATION) -> Segments
     m = next((i + 1 for i, v in enumerate(running) if v > policy.variance), len(features))
     axes = [f"pc{i}" for i in range(m)]
     reduced = pca.transform(scaled).withColumn("pc", vector_to_array("c")).select("raw", *[F.col("pc")[i].alias(c) for i, c in enumerate(axes)])
-    reduced = VectorAssembler(inputCols=axes, outputCol="features").transform(reduced).persist()
-    fits = (KMeans(k=policy.clusters, seed=policy.seed + i, initSteps=2).fit(reduced) for i in range(policy.starts))
-    best = min(fits, key=lambda f: f.summary.trainingCost)
-    labelled = best.transform(reduced).withColumnRenamed("prediction", "segment").persist()
+    reduced = kept(reduced.withColumn("_row", F.monotonically_increasing_id()), "reduced")
+    best = kmeans(reduced, axes, "_row", policy.clusters, policy.starts, policy.seed)
+    labelled = kept(reduced.withColumn("segment", best.nearest(axes)), "labelled")
     scores = cluster_metrics(labelled, axes, "segment").first()
     evidence = {"silhouette": silhouette(labelled, axes, "segment"), "calinski_harabasz": scores[0], "davies_bouldin": scores[1], "pca_dimensions": m, "pca_variance": float(running[m - 1])}
     scaled.unpersist()
-    reduced.unpersist()
     return Segments(labelled.select("raw.*", "segment"), features, [c for c in df.columns if c not in features], fill, scaler, pca, best, evidence)
 
 

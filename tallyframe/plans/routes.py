@@ -11,7 +11,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.association import REDUNDANT, associations, connectivity, supported
+from tallyframe.operators.association import REDUNDANT, associations, by_edges, by_evidence, connectivity, supported
 from tallyframe.operators.evaluate import binary_metrics, confidence, multiclass_metrics, probability_metrics, regression_metrics, selective
 from tallyframe.operators.models import Fitted, binary_models, multiclass_models, regression_models
 from tallyframe.operators.profile import field_profile, field_roles
@@ -53,7 +53,7 @@ def _advice(*chosen: tuple[bool, str, str]) -> list[dict]:
 def association_route(df: DataFrame) -> tuple[dict, dict]:
     began = time.perf_counter()
     fields = field_roles(df)
-    pairs = associations(df, fields).persist()
+    pairs = by_evidence(kept(associations(df, fields), "pairs"))
     good = supported(pairs)
     redundant = pairs.filter("significant_fdr").filter((F.col("pair_type") == "numeric_numeric") & (F.col("effect") >= REDUNDANT))
     evidence = {"tests_run": pairs.count(), "fdr_supported": pairs.filter("significant_fdr").count(), "practical_supported": good.count(), "redundancy_candidates": redundant.count()}
@@ -68,8 +68,8 @@ def association_route(df: DataFrame) -> tuple[dict, dict]:
 def exploratory_route(df: DataFrame) -> tuple[dict, dict]:
     began = time.perf_counter()
     fields = field_roles(df)
-    pairs = associations(df, fields).persist()
-    good, ends = supported(pairs), connectivity(pairs).persist()
+    pairs = by_evidence(kept(associations(df, fields), "pairs"))
+    good, ends = supported(pairs), by_edges(kept(connectivity(pairs), "connectivity"))
     strong = pairs.filter((F.col("pair_type") == "numeric_numeric") & (F.col("effect") >= REDUNDANT)).count()
     top, profile = ends.first(), field_profile(df.drop(*fields.excluded))
     evidence = {
@@ -91,7 +91,7 @@ def segmentation_route(df: DataFrame, policy: Segmentation = SEGMENTATION) -> tu
     """Segments are made from imputed fields and described by the fields as they are."""
     began = time.perf_counter()
     fit = fit_segments(df, policy)
-    profile = segment_profile(fit.rows, fit.features, "segment").persist()
+    profile = kept(segment_profile(fit.rows, fit.features, "segment"), "profile")
     findings: dict[str, dict] = {}
     for r in profile.orderBy("segment", "side", "place").collect():  # six rows a segment
         findings.setdefault(str(r["segment"]), {"high": [], "low": [], "size_pct": r["size_pct"]})[r["side"]].append(r["field"])

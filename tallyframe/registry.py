@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.special import AS241
 from tallyframe.operators import association, compare, describe, evaluate, features, models, profile, relate, segment
 from tallyframe.plans.policies import BINARY, MULTICLASS, REGRESSION, SEGMENTATION
 from tallyframe.sources.tables import table
@@ -52,7 +54,11 @@ def t_p_sql(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - 2 * {c} * {simpson(f'pow(1 + u * u / ({df}), -(({df}) + 1) / 2.0)', f'least(abs({t}), 60.0)')})"
 
 
-def chi2_p_sql(x: str, df: str) -> str:
+def chi2_p_sql(x: str, df: str, root: bool = False) -> str:
+    """The tail of chi-square; with ``root`` by quadrature over the root of x, whose density has a bound for one degree of freedom too."""
+    if root:
+        c = f"(2 * exp(-({df}) / 2.0 * ln(2.0) - lgamma(({df}) / 2.0)))"
+        return f"greatest(0.0, 1 - {c} * {simpson(f'((CASE WHEN ({df}) = 1 THEN 1.0 ELSE pow(u, ({df}) - 1) END) * exp(-u * u / 2))', f'sqrt({x})')})"
     c = f"exp(-({df}) / 2.0 * ln(2.0) - lgamma(({df}) / 2.0))"
     return f"greatest(0.0, 1 - {c} * {simpson(f'(CASE WHEN u = 0 THEN (CASE WHEN ({df}) = 2 THEN 1.0 ELSE 0.0 END) ELSE pow(u, ({df}) / 2.0 - 1) * exp(-u / 2) END)', x)})"
 
@@ -124,7 +130,21 @@ def qq_ranks(spark, folder):
     return describe.qq_points(table(spark, folder, "orders"), "o_totalprice").select("rank", "observed")
 
 
-@query()
+def normal_quantile_sql(p: str) -> str:
+    """The quantile of the normal distribution by the same published coefficients."""
+
+    def ratio(r: str, part: int) -> str:
+        return " / ".join("(" + reduce(lambda total, c: f"({total} * {r} + CAST({c!r} AS DOUBLE))", coefficients[1:], f"CAST({coefficients[0]!r} AS DOUBLE)") + ")" for coefficients in AS241[part])
+
+    far = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (
+        f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))', 0)} "
+        f"ELSE sign({p} - 0.5) * CASE WHEN {far} <= 5 THEN {ratio(f'({far} - 1.6)', 1)} ELSE {ratio(f'({far} - 5)', 2)} END END)"
+    )
+
+
+@query(f"""SELECT rank, {r("x", "observed")}, {r(normal_quantile_sql("p"), "theoretical")}
+  FROM (SELECT x, rank, (rank - 0.5::DOUBLE) / n AS p FROM (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS rank, count(*) OVER () AS n FROM orders))""")
 def qq_points(spark, folder):
     return describe.qq_points(table(spark, folder, "orders"), "o_totalprice")
 
@@ -335,33 +355,45 @@ def _rank_sql(c: str) -> str:
 
 
 def _spearman_sql(a: str, b: str) -> str:
-    return f"SELECT '{a}' AS field_1, '{b}' AS field_2, {r('abs(corr(a, b))', 'effect')}, {r('corr(a, b)', 'signed_effect')} FROM (SELECT {_rank_sql(a)} AS a, {_rank_sql(b)} AS b FROM lineitem)"
+    """field_1, field_2, effect, signed_effect and p of one pair, not rounded."""
+    t = "(r * sqrt((n - 2) / (1 - r * r)))"
+    return f"SELECT '{a}' AS field_1, '{b}' AS field_2, abs(r) AS effect, r AS signed, {t_p_sql(t, '(n - 2)')} AS p FROM (SELECT corr(a, b) AS r, count(*) AS n FROM (SELECT {_rank_sql(a)} AS a, {_rank_sql(b)} AS b FROM lineitem))"
 
 
-@query(" UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(ASSOCIATED) for b in ASSOCIATED[i + 1 :]))
+def _numeric_sql(fields: list[str]) -> str:
+    return " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :])
+
+
+@query(f"SELECT field_1, field_2, {r('effect', 'effect')}, {r('signed', 'signed_effect')}, {r('p', 'p_value')} FROM ({_numeric_sql(ASSOCIATED)})")
 def assoc_numeric(spark, folder):
-    return association.numeric_pairs(table(spark, folder, "lineitem"), ASSOCIATED).select("field_1", "field_2", "effect", "signed_effect")
+    return association.numeric_pairs(table(spark, folder, "lineitem"), ASSOCIATED).select("field_1", "field_2", "effect", "signed_effect", "p_value")
 
 
 def _cramer_sql(t: str, a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, {r("sqrt(greatest(0, chi2 / n - (k - 1) * (q - 1) / (n - 1)) / least(q - (q - 1) ** 2 / (n - 1) - 1, k - (k - 1) ** 2 / (n - 1) - 1))", "effect")} FROM (
+    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, sqrt(greatest(0, chi2 / n - (k - 1) * (q - 1) / (n - 1)) / least(q - (q - 1) ** 2 / (n - 1) - 1, k - (k - 1) ** 2 / (n - 1) - 1)) AS effect,
+      CASE WHEN chi2 > 2000 THEN 0.0 ELSE {chi2_p_sql("least(chi2, 2000)", "((q - 1) * (k - 1))")} END AS p FROM (
       SELECT n * (sum(w * w / (nx * ny)) - 1) AS chi2, n, q, k FROM (SELECT {a}, {b}, count(*)::DOUBLE AS w, sum(count(*)) OVER (PARTITION BY {a})::DOUBLE AS nx, sum(count(*)) OVER (PARTITION BY {b})::DOUBLE AS ny FROM {t} GROUP BY 1, 2),
       (SELECT count(*)::DOUBLE AS n, count(DISTINCT {a}) AS q, count(DISTINCT {b}) AS k FROM {t}) GROUP BY n, q, k)"""
 
 
-@query(_cramer_sql("lineitem", "l_returnflag", "l_linestatus"))
+@query(f"SELECT field_1, field_2, {r('effect', 'effect')}, {r('p', 'p_value')} FROM ({_cramer_sql('lineitem', 'l_returnflag', 'l_linestatus')})")
 def assoc_categorical(spark, folder):
-    return association.categorical_pairs(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"]).select("field_1", "field_2", "effect")
+    return association.categorical_pairs(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"]).select("field_1", "field_2", "effect", "p_value")
 
 
 def _kruskal_sql(a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, {r("greatest(0, (h - k + 1) / (n - k))", "effect")} FROM (SELECT 12.0 / (n * (n + 1)) * sum(m * (t / m - (n + 1) / 2.0) ** 2) / (1 - any_value(tied) / (n ** 3 - n)) AS h, count(*) AS k, n FROM (
+    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, greatest(0, (h - k + 1) / (n - k)) AS effect, {chi2_p_sql("h", "(k - 1)", root=True)} AS p FROM (
+      SELECT 12.0 / (n * (n + 1)) * sum(m * (t / m - (n + 1) / 2.0) ** 2) / (1 - any_value(tied) / (n ** 3 - n)) AS h, count(*) AS k, n FROM (
       SELECT {a}, count(*)::DOUBLE AS m, sum(r) AS t FROM (SELECT {a}, {_rank_sql(b)} AS r FROM lineitem) GROUP BY 1), (SELECT sum(c)::DOUBLE AS n, sum(c::DOUBLE ** 3 - c) AS tied FROM (SELECT count(*) AS c FROM lineitem GROUP BY {b})) GROUP BY n)"""
 
 
-@query(" UNION ALL ".join(_kruskal_sql(a, b) for a in ("l_returnflag", "l_linestatus") for b in ("l_quantity", "l_extendedprice")))
+def _mixed_sql(categorical: list[str], numeric: list[str]) -> str:
+    return " UNION ALL ".join(_kruskal_sql(a, b) for a in categorical for b in numeric)
+
+
+@query(f"SELECT field_1, field_2, {r('effect', 'effect')}, {r('p', 'p_value')} FROM ({_mixed_sql(['l_returnflag', 'l_linestatus'], ['l_quantity', 'l_extendedprice'])})")
 def assoc_mixed(spark, folder):
-    return association.mixed_pairs(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).select("field_1", "field_2", "effect")
+    return association.mixed_pairs(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).select("field_1", "field_2", "effect", "p_value")
 
 
 @query(f"""WITH p AS (SELECT l_orderkey AS field, min(l_tax) * min(l_discount) * 10 AS p_value FROM lineitem GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p_value, field) AS i, count(*) OVER () AS m FROM p)
@@ -371,7 +403,22 @@ def assoc_fdr(spark, folder):
     return association.benjamini_hochberg(p)
 
 
-@query()
+#: The fields in the order of their roles: continuous before discrete, binary before others.
+_BY_ROLE = ["l_quantity", "l_extendedprice", "l_linenumber", "l_discount", "l_tax"]
+
+
+@query(f"""WITH every AS (
+  SELECT field_1, field_2, 'numeric_numeric' AS pair_type, 'Spearman' AS test, effect, signed, p FROM ({_numeric_sql(_BY_ROLE)})
+  UNION ALL SELECT field_1, field_2, 'categorical_categorical', 'ChiSquare+CramersV', effect, NULL, p FROM ({_cramer_sql("lineitem", "l_linestatus", "l_returnflag")})
+  UNION ALL SELECT field_1, field_2, 'categorical_numeric', 'KruskalWallis+EpsilonSquared', effect, NULL, p FROM ({_mixed_sql(["l_linestatus", "l_returnflag"], _BY_ROLE)})
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY p, field_1, field_2) AS i, count(*) OVER () AS m FROM every
+), judged AS (
+  SELECT *, least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM placed
+)
+SELECT field_1, field_2, pair_type, test, {r("effect", "effect")}, {r("signed", "signed_effect")}, CAST(sign(signed) AS INT) AS direction, {r("p", "p_value")}, {r("q", "q_value")}, q <= 0.05 AS significant_fdr,
+  CASE WHEN effect >= 0.7 THEN 'very_strong' WHEN effect >= 0.5 THEN 'strong' WHEN effect >= 0.3 THEN 'moderate' WHEN effect >= 0.15 THEN 'weak' ELSE 'very_weak' END AS effect_label,
+  {r("effect * CASE WHEN q <= 0.05 THEN 1 ELSE 0.25 END", "evidence_score")} FROM judged""")
 def associations(spark, folder):
     return association.associations(table(spark, folder, "lineitem").select(*ASSOCIATED, "l_returnflag", "l_linestatus"))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions.numbers import known, to_number
 
@@ -38,27 +41,92 @@ def _cleaned(df: DataFrame) -> DataFrame:
     """Trimmed cells, blank ones null; rows without any cell go."""
     names = normal_headers([re.sub(r"^﻿", "", c) for c in df.columns])
     df = df.toDF(*[f"c{i}" for i in range(len(names))])
-    df = df.select(*[F.nullif(F.trim(F.col(f"c{i}").cast("string")), F.lit("")).alias(f"c{i}") for i in range(len(names))])
+    blank = F.lit(" \t\n\x0b\x0c\r\xa0\ufeff")
+    df = df.select(*[F.nullif(F.btrim(F.col(f"c{i}").cast("string"), blank), F.lit("")).alias(f"c{i}") for i in range(len(names))])
     return df.dropna(how="all").toDF(*names)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file as text cells; short rows are filled with nulls, cells beyond the header dropped."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, n, record): the records of delimited text, each as one text, whatever newlines its quotes hold.
+
+    The file is read as lines, in blocks that Spark splits as it likes.  A line
+    begins a record where an even number of quotes lies before it.  Each block
+    counts its own in one pass; the blocks' parities, added up in their order (one
+    row a block), say how a block begins, and to which earlier record its first
+    lines belong.  Only lines of records that span several are shuffled.  ``block``
+    and ``n`` order the records of a file.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *place, F.monotonically_increasing_id().alias("n"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, odd, last = None, 0, [None, None]  # last: the line that began a record, if the block begins outside quotes, or within
+        for batch in batches:
+            out = []
+            for value, file, at, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (file, at) != block:
+                    block, odd, last = (file, at), 0, [None, None]
+                last[odd] = n
+                quotes = value.count('"') & 1
+                out.append((odd, quotes, *last))
+                odd ^= quotes
+            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "odd", "quotes", "last0", "last1"])
+
+    rows = lines.mapInArrow(marked, "value string, file string, block long, n long, odd int, quotes int, last0 long, last1 long")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("ends"), F.max("last0").alias("last0"), F.max("last1").alias("last1"))
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("ends").over(earlier), F.lit(0)) % 2)
+    began = F.when(F.col("inside") == 0, F.col("last0")).otherwise(F.col("last1"))
+    blocks = blocks.withColumn("began", F.when(began.isNotNull(), F.struct("block", began.alias("n"))))
+    blocks = blocks.select("file", "block", "inside", F.last("began", ignorenulls=True).over(earlier).alias("carried"))
+    own = F.when(F.col("inside") == 0, F.col("last0")).otherwise(F.col("last1"))
+    rows = rows.join(blocks, ["file", "block"]).withColumns({
+        "of": F.coalesce(F.when(own.isNotNull(), F.struct("block", own.alias("n"))), F.col("carried")),
+        "whole": (F.col("odd") == F.col("inside")) & (F.col("quotes") == 0),
+    })
+    parts = rows.filter(~F.col("whole")).groupBy("file", "of").agg(F.sort_array(F.collect_list(F.struct("block", "n", "value"))).alias("parts"))
+    several = parts.select("file", "of.block", "of.n", F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("record"))
+    return rows.filter("whole").select("file", "block", "n", F.col("value").alias("record")).unionByName(several)
+
+
+def _cells(spark: SparkSession, path: str, sep: str, ordered: bool) -> tuple[list[str], DataFrame]:
+    """The cells of a file's first record, and a table of all the others' as texts, sorted as in the file if ``ordered``."""
+    records = quoted_records(spark, path).filter(F.trim(F.translate("record", "\r\ufeff", "")) != "")
+    options = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    first = records.orderBy("file", "block", "n").limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
-    sep = delimiter or detect_delimiter(first[0][0])
-    head = spark.read.csv(path, sep=sep, header=False, multiLine=True, escape='"', inferSchema=False).limit(1).collect()[0]
-    names = normal_headers([re.sub(r"^﻿", "", c or "") for c in head])
+    head = first[0]
+    wide = ", ".join(f"c{i} string" for i in range(head["record"].count(sep) + 1))
+    one = spark.createDataFrame([(head["record"].removeprefix("\ufeff"),)], "record string")
+    names = [re.sub(r"^\ufeff", "", c or "") for c in one.select(F.from_csv("record", F.lit(wide), options).alias("r")).select("r.*").first()]
+    while len(names) > 1 and not names[-1] and head["record"].count('"'):  # separators within quotes are no cells
+        names.pop()
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    body = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', schema=schema, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return _cleaned(body.toDF(*names))
+    # Every file of a folder begins with its header, as with other readers.
+    firsts = records.groupBy("file").agg(F.min(F.struct("block", "n")).alias("first"))
+    body = records.join(F.broadcast(firsts), "file").filter(F.struct("block", "n") != F.col("first"))
+    body = body.orderBy("file", "block", "n") if ordered else body
+    return names, body.select(F.from_csv("record", F.lit(schema), options).alias("r")).select("r.*")
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, ordered: bool = True) -> DataFrame:
+    """A delimited file as text cells; short rows are filled with nulls, cells beyond the header dropped.
+
+    Rows come in the file's order, by a sort in ranges; ``ordered=False`` spares it.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    if not first:
+        raise ValueError("the file is empty")
+    names, body = _cells(spark, path, delimiter or detect_delimiter(first[0][0]), ordered)
+    return _cleaned(body.toDF(*normal_headers(names)))
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     """A CSV upload: missing-value texts are nulls, and columns of numbers become doubles."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    raw = raw.toDF(*normal_headers(raw.columns))
+    names, raw = _cells(spark, path, ",", ordered)
+    raw = raw.toDF(*normal_headers(names))
     rows = raw.select(*[known(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     fine = rows.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & to_number(F.col(f"`{c}`")).isNull()).alias(f"b{i}") for i, c in enumerate(rows.columns)]).first()
     return rows.select(*[(to_number(F.col(f"`{c}`")) if fine[i] == 0 else F.col(f"`{c}`")).alias(c) for i, c in enumerate(rows.columns)])

@@ -72,7 +72,10 @@ def test_unsupervised_routes(spark):
 def test_supervised_routes(spark):
     rows = spark.createDataFrame([(float(i), "ab"[i % 2], float(i % 5), int(i % 40 > 19)) for i in range(200)], "x double, c string, z double, t int")
     result, artifacts = execute(rows, "classification", "t", policy=replace(BINARY, trees=3, folds=2, inner_folds=2))
-    assert result["route"] == "binary" and artifacts["oof"].count() == 200 and 0 <= result["evidence"]["roc_auc"] <= 1
+    assert result["route"] == "classification" and artifacts["oof"].count() == 200 and 0 <= result["evidence"]["roc_auc"] <= 1
+    assert result["analysis_type"] == "binary" and result["readiness"] == "FAST_PARITY_VALIDATED" and result["dataset"] == {"rows": 200, "columns": 4}
+    assert {"feature_engineering", "model", "calibration", "threshold_policy", "threshold", "selection_source"} <= set(result["method"])
+    assert artifacts["class_mapping"] == {0: 0, 1: 1} and {"uncalibrated", "score", "prediction"} <= set(artifacts["oof"].columns)
     result, _ = execute(rows, "regression", "x", policy=replace(REGRESSION, trees=3, folds=2))
     assert result["evidence"]["mae"] > 0
     for intent, target, error in (("regression", None, ValueError), ("nothing", None, ValueError), ("binary", "missing", ValueError)):

@@ -16,11 +16,12 @@ def brute(c, x):
     return total / len(c)
 
 
-def test_silhouette_takes_all_rows(spark):
+@pytest.mark.parametrize("group", [1 << 15, 3_000])
+def test_silhouette_takes_all_rows(spark, group):
     rng = np.random.default_rng(8)
     c = np.concatenate([rng.integers(0, 3, 10_400), [3]])
     x = rng.normal(size=(len(c), 2)) + c[:, None]
     x[5_000:5_100], c[5_000:5_100] = x[5_000], c[5_000]  # copies
     df = spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in zip(c, x, strict=True)], "c int, a double, b double")
-    assert evaluate.silhouette(df, ["a", "b"], "c") == pytest.approx(brute(c, x), abs=1e-9)
+    assert evaluate.silhouette(df, ["a", "b"], "c", group) == pytest.approx(brute(c, x), abs=1e-9)
     assert evaluate.silhouette(df.filter("c = 1"), ["a", "b"], "c") is None
