@@ -15,7 +15,7 @@ from tallyframe.operators.models import binary_models, multiclass_models, regres
 from tallyframe.plans.policies import Boosting
 from tallyframe.shared import kept
 
-POLICY = Boosting(trees=5, depth=3, rate=0.3, folds=3, inner_folds=2)
+POLICY = Boosting(trees=3, depth=3, rate=0.3, folds=3, inner_folds=2)
 
 
 def table(spark, n=300):
@@ -123,8 +123,9 @@ def test_splits_do_not_depend_on_partitions(spark, monkeypatch):
 
 def test_lineage_is_cut(spark, monkeypatch):
     monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
-    grown = grow(kept(table(spark).withColumn("_y", F.col("number")), "test-lineage"), ["a"], "regression", replace(POLICY, trees=34, depth=1), [Fit()])
-    assert len(grown.trees) == 34 and grown.state.getNumPartitions() > 1 and grown.state.toDebugString().decode().count("PythonRDD") < 10
+    monkeypatch.setattr(boosting, "CHECKPOINT", 4)
+    grown = grow(kept(table(spark).withColumn("_y", F.col("number")), "test-lineage"), ["a"], "regression", replace(POLICY, trees=12, depth=1), [Fit()])
+    assert len(grown.trees) == 12 and grown.state.getNumPartitions() > 1 and grown.state.toDebugString().decode().count("PythonRDD") < 8
 
 
 def test_odd_columns_and_tables(spark):
