@@ -422,8 +422,8 @@ def best_fit_decreasing(counts, most):
     return n
 
 
-@pytest.mark.parametrize("range_runs", [10, 4096])  # with several ranges, and with one
-@pytest.mark.parametrize("case", ["spread", "halves", "claims", "tiny"])
+# With several ranges, and with one.
+@pytest.mark.parametrize(("case", "range_runs"), [("spread", 10), ("claims", 10), ("spread", 4096), ("halves", 4096), ("claims", 4096), ("tiny", 4096)])
 def test_supersteps_are_tight_and_whole(spark, case, range_runs):
     rng = random.Random(17)
     counts = {
