@@ -354,14 +354,14 @@ def _rank_sql(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
 
-def _spearman_sql(a: str, b: str) -> str:
-    """field_1, field_2, effect, signed_effect and p of one pair, not rounded."""
-    t = "(r * sqrt((n - 2) / (1 - r * r)))"
-    return f"SELECT '{a}' AS field_1, '{b}' AS field_2, abs(r) AS effect, r AS signed, {t_p_sql(t, '(n - 2)')} AS p FROM (SELECT corr(a, b) AS r, count(*) AS n FROM (SELECT {_rank_sql(a)} AS a, {_rank_sql(b)} AS b FROM lineitem))"
+def _spearman_sql(a: str, b: str, t: str = "lineitem") -> str:
+    """field_1, field_2, effect, signed_effect and p of one pair over its complete rows, not rounded."""
+    statistic = "(r * sqrt((n - 2) / (1 - r * r)))"
+    return f"SELECT '{a}' AS field_1, '{b}' AS field_2, abs(r) AS effect, r AS signed, {t_p_sql(statistic, '(n - 2)')} AS p FROM (SELECT corr(a, b) AS r, count(*) AS n FROM (SELECT {_rank_sql(a)} AS a, {_rank_sql(b)} AS b FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
 
 
-def _numeric_sql(fields: list[str]) -> str:
-    return " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :])
+def _numeric_sql(fields: list[str], t: str = "lineitem") -> str:
+    return " UNION ALL ".join(_spearman_sql(a, b, t) for i, a in enumerate(fields) for b in fields[i + 1 :])
 
 
 @query(f"SELECT field_1, field_2, {r('effect', 'effect')}, {r('signed', 'signed_effect')}, {r('p', 'p_value')} FROM ({_numeric_sql(ASSOCIATED)})")
@@ -371,7 +371,7 @@ def assoc_numeric(spark, folder):
 
 def _cramer_sql(t: str, a: str, b: str) -> str:
     return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, sqrt(greatest(0, chi2 / n - (k - 1) * (q - 1) / (n - 1)) / least(q - (q - 1) ** 2 / (n - 1) - 1, k - (k - 1) ** 2 / (n - 1) - 1)) AS effect,
-      CASE WHEN chi2 > 2000 THEN 0.0 ELSE {chi2_p_sql("least(chi2, 2000)", "((q - 1) * (k - 1))")} END AS p FROM (
+      {chi2_p_sql("least(chi2, 4000)", "((q - 1) * (k - 1))", root=True)} AS p FROM (
       SELECT n * (sum(w * w / (nx * ny)) - 1) AS chi2, n, q, k FROM (SELECT {a}, {b}, count(*)::DOUBLE AS w, sum(count(*)) OVER (PARTITION BY {a})::DOUBLE AS nx, sum(count(*)) OVER (PARTITION BY {b})::DOUBLE AS ny FROM {t} GROUP BY 1, 2),
       (SELECT count(*)::DOUBLE AS n, count(DISTINCT {a}) AS q, count(DISTINCT {b}) AS k FROM {t}) GROUP BY n, q, k)"""
 
@@ -381,14 +381,15 @@ def assoc_categorical(spark, folder):
     return association.categorical_pairs(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"]).select("field_1", "field_2", "effect", "p_value")
 
 
-def _kruskal_sql(a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, greatest(0, (h - k + 1) / (n - k)) AS effect, {chi2_p_sql("h", "(k - 1)", root=True)} AS p FROM (
+def _kruskal_sql(a: str, b: str, t: str = "lineitem") -> str:
+    rows = f"(SELECT {a}, {b} FROM (SELECT {a}, {b}, count(*) OVER (PARTITION BY {a}) AS m FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) WHERE m > 1)"
+    return f"""SELECT '{a}' AS field_1, '{b}' AS field_2, greatest(0, (h - k + 1) / (n - k)) AS effect, {chi2_p_sql("least(h, 4000)", "(k - 1)", root=True)} AS p FROM (
       SELECT 12.0 / (n * (n + 1)) * sum(m * (t / m - (n + 1) / 2.0) ** 2) / (1 - any_value(tied) / (n ** 3 - n)) AS h, count(*) AS k, n FROM (
-      SELECT {a}, count(*)::DOUBLE AS m, sum(r) AS t FROM (SELECT {a}, {_rank_sql(b)} AS r FROM lineitem) GROUP BY 1), (SELECT sum(c)::DOUBLE AS n, sum(c::DOUBLE ** 3 - c) AS tied FROM (SELECT count(*) AS c FROM lineitem GROUP BY {b})) GROUP BY n)"""
+      SELECT {a}, count(*)::DOUBLE AS m, sum(r) AS t FROM (SELECT {a}, {_rank_sql(b)} AS r FROM {rows}) GROUP BY 1), (SELECT sum(c)::DOUBLE AS n, sum(c::DOUBLE ** 3 - c) AS tied FROM (SELECT count(*) AS c FROM {rows} GROUP BY {b})) GROUP BY n)"""
 
 
-def _mixed_sql(categorical: list[str], numeric: list[str]) -> str:
-    return " UNION ALL ".join(_kruskal_sql(a, b) for a in categorical for b in numeric)
+def _mixed_sql(categorical: list[str], numeric: list[str], t: str = "lineitem") -> str:
+    return " UNION ALL ".join(_kruskal_sql(a, b, t) for a in categorical for b in numeric)
 
 
 @query(f"SELECT field_1, field_2, {r('effect', 'effect')}, {r('p', 'p_value')} FROM ({_mixed_sql(['l_returnflag', 'l_linestatus'], ['l_quantity', 'l_extendedprice'])})")
@@ -423,7 +424,18 @@ def associations(spark, folder):
     return association.associations(table(spark, folder, "lineitem").select(*ASSOCIATED, "l_returnflag", "l_linestatus"))
 
 
-@query()
+@query(f"""WITH parts AS (
+  SELECT lang, source, n_chars, len(string_split(text, chr(10))) AS lines, len(string_split(text, ' ')) AS words FROM documents
+), every AS (
+  SELECT field_1, field_2, effect, p FROM ({_numeric_sql(["n_chars", "lines", "words"], "parts")})
+  UNION ALL SELECT field_1, field_2, effect, p FROM ({_cramer_sql("(SELECT * FROM parts WHERE lang IS NOT NULL AND source IS NOT NULL)", "lang", "source")})
+  UNION ALL SELECT field_1, field_2, effect, p FROM ({_mixed_sql(["lang", "source"], ["n_chars", "lines", "words"], "parts")})
+), judged AS (
+  SELECT *, least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, field_1, field_2) AS i, count(*) OVER () AS m FROM every)
+), edges AS (
+  SELECT unnest([field_1, field_2]) AS field, effect FROM judged WHERE q <= 0.05 AND effect >= 0.15
+)
+SELECT field, count(*) AS edges, {r("avg(effect)", "mean_effect")}, {r("max(effect)", "max_effect")} FROM edges GROUP BY field""")
 def eda_connectivity(spark, folder):
     docs = table(spark, folder, "documents")
     parts = docs.select("lang", "source", "n_chars", F.size(F.split("text", "\n")).alias("lines"), F.size(F.split("text", " ")).alias("words"))
