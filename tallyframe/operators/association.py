@@ -223,15 +223,26 @@ def effect_label(v: Column) -> Column:
     return F.when(v.isNull(), "unknown").when(v >= 0.7, "very_strong").when(v >= 0.5, "strong").when(v >= 0.3, "moderate").when(v >= 0.15, "weak").otherwise("very_weak")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value") -> DataFrame:
+#: Tests that one task may rank; columns bound their number where pairs of fields are tested.
+WINDOW_TESTS = 10_000
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", most: int | None = None) -> DataFrame:
     """``df`` with q_value: smallest false-discovery rate at which a row is significant; a null p counts as 1.
 
+    ``most`` says, where it is known, how many rows there are at most: few are ranked in one window.
+
     Equal p-values share the q of the last of them, so distinct p-values are
     counted and ranged, each range adds up and takes its minima from the end, and
     one row a range gives what comes before and after: no window runs over all
     rows in one task.
     """
-    rows = kept(df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))), "tests")  # each test is made once
+    tests = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))
+    if most is not None and most <= WINDOW_TESTS:
+        up, down = Window.orderBy("_p"), Window.orderBy(F.desc("_p"))  # equal p-values are one place of either
+        scaled = tests.withColumn("_q", F.col("_p") * F.count(F.lit(1)).over(Window.partitionBy()) / F.count(F.lit(1)).over(up))
+        return scaled.withColumn("q_value", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_p", "_q")
+    rows = kept(tests, "tests")  # each test is made once
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     ranged = kept(counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()), "ranged")
     before, after = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -262,7 +273,8 @@ def associations(df: DataFrame, fields: Fields | None = None) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = benjamini_hochberg(out).withColumn("significant_fdr", F.col("q_value") <= ALPHA)
+    n = len(numeric) + len(categorical)
+    out = benjamini_hochberg(out, most=n * (n - 1) // 2).withColumn("significant_fdr", F.col("q_value") <= ALPHA)
     out = out.withColumns({"effect_label": effect_label(F.col("effect")), "evidence_score": F.coalesce("effect", F.lit(0.0)) * F.when(F.col("significant_fdr"), 1.0).otherwise(0.25)})
     return by_evidence(out)
 

@@ -89,3 +89,10 @@ def test_pairs_with_nulls_and_without_are_alike(spark):
         ties = sum(t**3 - t for t in np.unique(y, return_counts=True)[1])
         h = 12 / (n * (n + 1)) * sum((x == g).sum() * (y[x == g].mean() - (n + 1) / 2) ** 2 for g in groups) / (1 - ties / (n**3 - n))
         assert mixed[k, v] == pytest.approx(max(0, (h - len(groups) + 1) / (n - len(groups))))
+
+
+def test_few_tests_and_many_get_the_same_rates(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else round(rng.random() ** 3, 2)) for i in range(400)], "i int, p_value double").repartition(4)
+    few, many = ({r.i: r.q_value for r in association.benjamini_hochberg(df, most=m).collect()} for m in (400, None))
+    assert few == pytest.approx(many) and len(few) == 400
