@@ -5,8 +5,6 @@ Quantiles interpolate linearly between order statistics.  Nulls are dropped.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -196,7 +194,3 @@ def boxplot(df: DataFrame, value: str, group: str) -> DataFrame:
     out = quantiles(rows, ["level"], "value", [0.25, 0.5, 0.75], [F.min("value").alias("low"), F.max("value").alias("high")])
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     return out.select("level", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.greatest("low", F.col("q")[0] - reach).alias("whisker_low"), F.least("high", F.col("q")[2] + reach).alias("whisker_high"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyframe.operators.describe import ordered_counts, quantiles
 from tallyframe.shared import kept
@@ -177,8 +176,3 @@ def silhouette(df: DataFrame, features: list[str], cluster: str, group: int = GR
     away = F.array_min(F.array(*[F.when(~m, F.col(f"s{i}") / v) for i, (m, v) in enumerate(zip(mine, n, strict=True))]))
     s = F.when(size == 1, 0.0).otherwise((away - near) / F.greatest(near, away, F.lit(1e-300)))
     return sums.agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
-
-
-def rank_from(df: DataFrame, by: str, n: int, key: str) -> DataFrame:
-    """The ``n`` largest of each key: a top-k report."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))).filter(F.col("_nth") <= n).drop("_nth")
