@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import in_arrow, kept, mixed, partitions, shared_dir
-from tallyframe.llm.lloyd import all_finite, from_bytes, packed, squared_distances, sums_by, to_bytes, whole
+from tallyframe.llm.lloyd import all_finite, from_bytes, packed, squared_distances, to_bytes, whole
 
 #: Members of an owner, about, and owners' members in a partition.
 OWNER_ROWS, PARTITION_ROWS = 1 << 14, 1 << 18
