@@ -33,7 +33,7 @@ from tallyframe.llm.op2_language import ftrl
 BITS = 14
 
 #: The rules of the query.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 #: Words that hosts and paths of the labelled URLs are made of.
 BLOCKED_WORDS = (
