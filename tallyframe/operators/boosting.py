@@ -16,10 +16,17 @@ side by side over the same scans:
 - Several classes are one model: a tree for each class a round, from the softmax
   gradients of one vector of margins.
 
-A table of at most ``PARTITION_ROWS`` rows is one partition, whose task grows the
-same trees without a job a level.  Otherwise the margins are a state beside the blocks: one persisted RDD a tree, with a
-checkpoint in the shared folder every ``CHECKPOINT`` trees, so that a lost
-executor costs a bounded part.  The rows are written before the first tree.
+Rows with the same bins get the same margins, so trees are grown over cells, the
+different rows of bins, with sums of what a tree draws (``grown_over``):
+
+- Of a table of at most ``PARTITION_ROWS`` rows each fit is one task, which draws from its rows.
+- Where a larger table has few cells (``CELLS``), all rows are drawn where they lie,
+  for a batch of trees a job, and only the sums by cell go to the fits' tasks.
+- Otherwise a level is a job, and the margins are a state beside the blocks: one
+  persisted RDD a tree, with a checkpoint in the shared folder every ``CHECKPOINT``
+  trees, so that a lost executor costs a bounded part.
+
+The rows are written before the first tree.
 """
 
 from __future__ import annotations
@@ -38,10 +45,18 @@ from pyspark.sql import types as T
 from tallyframe.plans.policies import Boosting
 from tallyframe.shared import removed, shared_dir
 
-#: Bins of a numeric feature at most, rows of a partition, trees between checkpoints.
-BINS, PARTITION_ROWS, CHECKPOINT = 256, 1 << 16, 16
+#: Bins of a numeric feature at most, trees between checkpoints.
+BINS, CHECKPOINT = 256, 16
+#: Rows of a table whose fits are a task each, and its bins at most.
+PARTITION_ROWS, PARTITION_BINS = 1 << 20, 1 << 24
+#: Cells at most, margins of all fits at most, rows that a table has at least and rows a cell on average, if only sums by cell go to the fits.
+CELLS, CELL_MARGINS, CELL_TABLE, CELL_ROWS = 1 << 16, 1 << 22, 1 << 12, 4
+#: Bytes of drawn sums that a task holds, rows it draws at once, rows of a partition at most where more tasks are to be had.
+DRAWN_BYTES, DRAWN_ROWS, SPREAD_ROWS = 1 << 26, 1 << 16, 1 << 18
 #: Added to sums of second derivatives, least such sum of a child, least gain.
 SMOOTH, LEAST_CHILD, LEAST_GAIN = 1.0, 1.0, 1e-6
+#: Gains are equal that differ by less than this share of what they are made of.
+SAME_GAIN = 1e-12
 #: What a missing value is stored as.
 MISSING = 0xFFFF
 
@@ -220,7 +235,8 @@ def best_splits(sums: np.ndarray, offsets: np.ndarray, n_numeric: int, allowed:
     """(feature, bin, gain, left G, left H, G, H) for each node of (2, nodes, bins + 1) sums, the last bin being the node's total.
 
     A numeric feature sends bins up to the cut to the left; a categorical one sends
-    one category to the right.  The first of equal gains is taken.
+    one category to the right.  The first of equal gains is taken, which are those
+    that differ by less than sums in another order do.
     """
     g, h = sums[..., :-1]
     total_g, total_h = sums[..., -1:]
@@ -229,11 +245,13 @@ def best_splits(sums: np.ndarray, offsets: np.ndarray, n_numeric: int, allowed:
         for left, of, total in ((left_g, g, total_g), (left_h, h, total_h)):
             left[:, a:b] = of[:, a:b].cumsum(axis=1) if f < n_numeric else total - of[:, a:b]
     right_g, right_h = total_g - left_g, total_h - left_h
-    gain = left_g**2 / (left_h + SMOOTH) + right_g**2 / (right_h + SMOOTH) - total_g**2 / (total_h + SMOOTH)
+    before = total_g**2 / (total_h + SMOOTH)
+    gain = left_g**2 / (left_h + SMOOTH) + right_g**2 / (right_h + SMOOTH) - before
     gain[(left_h < LEAST_CHILD) | (right_h < LEAST_CHILD) | ~allowed] = -np.inf
     out = []
     for node in range(len(g)):
-        at = int(gain[node].argmax())
+        most = gain[node].max()
+        at = int((gain[node] >= most - SAME_GAIN * (abs(most) + before[node, 0])).argmax()) if np.isfinite(most) else 0
         f = int(np.searchsorted(offsets, at, side="right")) - 1
         out.append((f, int(at - offsets[f]), *(float(x) for x in (gain[node, at], left_g[node, at], left_h[node, at], total_g[node, 0], total_h[node, 0]))))
     return out
@@ -450,39 +468,276 @@ def grow(df: DataFrame, features: list[str], kind: str, policy: Boosting, fits:
     spark = df.sparkSession
     shared_dir(spark)
     binning, outputs = fit_binning(df, features), classes if kind == "multiclass" else 1
-    offsets, n_numeric = binning.offsets, len(binning.numeric)
+    offsets, n_numeric, n_rows = binning.offsets, len(binning.numeric), df.count()
     blocks = packed_blocks(df, binning, folds or [])
-    # Rows of a partition: a table that is one partition is grown without a shuffle.
-    n_parts = max(1, min(blocks.getNumPartitions(), -(-df.count() // PARTITION_ROWS)))
+    spread = min(spark.sparkContext.defaultParallelism, -(-n_rows // SPREAD_ROWS))
+    if blocks.getNumPartitions() < spread:
+        blocks = packed_blocks(df.repartition(spread), binning, folds or [])
+    n_parts = max(1, spread, min(blocks.getNumPartitions(), -(-n_rows // PARTITION_ROWS)))
     blocks = blocks.coalesce(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     weights, base = weights_and_base(blocks, fits, kind, classes, outputs)
     layout = Layout(kind, outputs, fits, n_numeric, offsets, fills(training_counts(blocks, fits, offsets), n_numeric, offsets), weights, base, policy.depth)
-    state = blocks.map(lambda b: (b, np.repeat(layout.base[:, :, None], len(b.y), axis=2)))
-    trees, state = (_grown_here if n_parts == 1 else _grown_by_level)(state, layout, policy)
-    blocks.unpersist()
+    cells = None
+    if n_rows <= PARTITION_ROWS and n_rows * (len(offsets) - 1) <= PARTITION_BINS:
+        trees, state = _grown_by_fit(blocks, layout, policy, n_parts)
+    elif n_rows >= CELL_TABLE and (cells := few_cells(blocks, layout, n_rows)) is not None:
+        trees, state = _grown_from_cells(blocks, layout, policy, cells)
+    else:
+        trees, state = _grown_by_level(blocks.map(lambda b: (b, np.repeat(layout.base[:, :, None], len(b.y), axis=2))), layout, policy)
+    if cells is None:
+        blocks.unpersist()
     return Grown(binning, layout, trees, state)
 
 
-def _grown_here(state: RDD, layout: Layout, policy: Boosting) -> tuple[list[Trees], RDD]:
-    """Trees of a table that is one partition of at most ``PARTITION_ROWS`` rows: levels need no jobs of their own."""
+def coded(bins: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
+    """A number for each row of ``bins`` that tells the different ones apart; None if they are too many to number."""
+    code, most = np.zeros(bins.shape[1], np.int64), 1
+    for x, size in zip(bins, np.diff(offsets).tolist(), strict=True):
+        most *= size + 2  # one beyond the bins, and one that is missing
+        if most >= 1 << 62:
+            return None
+        code = code * (size + 2) + np.minimum(x, size + 1)
+    return code
+
+
+def few_cells(blocks: RDD, layout: Layout, n_rows: int) -> np.ndarray | None:
+    """(features, cells) of the different rows of bins in the order of their codes, if they are few."""
+    per_cell = len(layout.fits) * layout.outputs
+    most = min(CELLS, CELL_MARGINS // per_cell, n_rows // CELL_ROWS, DRAWN_BYTES // (8 * _drawn_numbers(layout)))
+
+    def different(part: Iterator[Block]) -> Iterator[np.ndarray | None]:
+        found = np.zeros(0, np.int64)
+        for b in part:
+            code = coded(b.bins, layout.offsets)
+            found = None if code is None else np.union1d(found, code)
+            if found is None or len(found) > most:
+                yield None
+                return
+        yield found
+
+    def both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        if a is None or b is None:
+            return None
+        c = np.union1d(a, b)
+        return c if len(c) <= most else None
+
+    code = blocks.mapPartitions(different).treeReduce(both)
+    if code is None:
+        return None
+    bins = np.empty((len(layout.offsets) - 1, len(code)), np.uint16)
+    for f, size in reversed(list(enumerate(np.diff(layout.offsets).tolist()))):
+        at = code % (size + 2)
+        bins[f], code = np.where(at == size + 1, MISSING, at), code // (size + 2)
+    return bins
+
+
+def _numbers(layout: Layout) -> int:
+    """What is summed of a cell's rows: their count and targets, or their counts by class."""
+    return 2 if layout.kind == "regression" else layout.weights.shape[1]
+
+
+def drawn_sums(layout: Layout, key: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """(numbers, size) sums of rows by ``key``."""
+    if layout.kind == "regression":
+        return np.array([np.bincount(key, minlength=size), np.bincount(key, y, minlength=size)])
+    n = _numbers(layout)
+    return np.bincount(y * size + key, minlength=n * size).reshape(n, size).astype(np.float64)
+
+
+def cell_gradients(layout: Layout, fit: int, margins: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and second derivatives, (outputs, cells) each, of the rows that ``sums`` counts."""
+    if layout.kind == "regression":
+        return margins * sums[0] - sums[1], sums[:1]
+    own = sums * layout.weights[fit][:, None]
+    total = own.sum(axis=0)
+    if layout.kind == "binary":
+        p = chance(margins)
+        return p * total - own[1], np.maximum(p * (1 - p), 1e-16) * total
+    p = softmax(margins)
+    return p * total - own, np.maximum(2 * p * (1 - p), 1e-16) * total
+
+
+def grown_over(layout: Layout, fit: int, bins: np.ndarray, margins: np.ndarray, draws: Iterable[tuple[int, np.ndarray]], policy: Boosting) -> tuple[list[Trees], np.ndarray]:
+    """One fit's trees over cells: ``draws`` are the numbers of its trees with the sums that each draws; the margins after them.
 
-    def run(part: Iterator[State]) -> Iterator[tuple[list[Trees] | None, State | None]]:
-        own, trees = list(part), []
-        for number in range(policy.trees if len(layout.offsets) > 1 else 0):
-            tree, allowed = Trees.empty(len(layout.fits) * layout.outputs, policy.depth), column_sample(layout.offsets, layout.n_numeric, number, policy)
-            samples = list(_samples(iter(own), layout, number, policy))
-            for level in range(policy.depth):
-                sums = _summed(samples, layout, tree, level)
-                if not _split(tree, level, [(t, best_splits(s, layout.offsets, layout.n_numeric, allowed)) for t, s in sums], policy.rate):
+    ``bins`` are the cells' as they are filled for the fit.  Cells go down together,
+    those in a leaf as in its left children.
+    """
+    offsets, total, trees = layout.offsets, int(layout.offsets[-1]) + 1, []
+    line = bins.astype(np.int32) + offsets[:-1, None].astype(np.int32)
+    features = range(len(line))
+    for number, sums in draws:
+        tree, allowed = Trees.empty(layout.outputs, policy.depth), column_sample(offsets, layout.n_numeric, number, policy)
+        both, added = cell_gradients(layout, fit, margins, sums), np.empty_like(margins)
+        for o in range(layout.outputs):
+            weights, node, depth = [np.ascontiguousarray(x[o]) for x in both], np.zeros(line.shape[1], np.int64), 0
+            while depth < policy.depth:
+                n_nodes, row = 2**depth, node * total
+                found = np.zeros((2, n_nodes, total))
+                for s, w in enumerate(weights):
+                    found[s, :, -1] = np.bincount(node, w, minlength=n_nodes)
+                for f in features:
+                    key, (a, z) = row + line[f], offsets[f : f + 2]
+                    for s, w in enumerate(weights):
+                        found[s, :, a:z] = np.bincount(key, w, minlength=n_nodes * total).reshape(n_nodes, total)[:, a:z]
+                if not _split(tree, depth, [(o, best_splits(found, offsets, layout.n_numeric, allowed))], policy.rate):
                     break
-            trees.append(tree)
-            own = [_advanced(s, layout, tree) for s in own]
-        yield trees, None
-        yield from ((None, s) for s in own)
-
-    done = state.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
-    trees = done.filter(lambda x: x[1] is None).map(lambda x: x[0]).first()
-    return trees, done.filter(lambda x: x[1] is not None).map(lambda x: x[1])
+                chosen, cut = (x[o, n_nodes - 1 : 2 * n_nodes - 1] for x in (tree.feature, tree.bin))
+                node *= 2
+                for f in np.unique(chosen[chosen >= 0]):
+                    number_of, mine = np.arange(total - 1) - offsets[f], (chosen == f)[:, None]
+                    right = np.zeros((n_nodes, total), np.int8)
+                    right[:, :-1] = mine & ((number_of > cut[:, None]) if f < layout.n_numeric else (number_of == cut[:, None]))
+                    node += right.ravel().take(row + line[f])
+                depth += 1
+            added[o] = _ends(tree, o, depth)[node]
+        trees.append(tree)
+        margins = margins + added
+    return trees, margins
+
+
+def _ends(tree: Trees, t: int, depth: int) -> np.ndarray:
+    """The value of each node of a level: that of the leaf it lies in."""
+    at = np.arange(2**depth - 1, 2 ** (depth + 1) - 1)
+    for _ in range(depth):
+        at = np.where((at > 0) & (tree.feature[t, (at - 1) // 2] < 0), (at - 1) // 2, at)
+    return tree.value[t, at]
+
+
+def _side_by_side(of_fits: list[list[Trees]]) -> list[Trees]:
+    """Rounds of all fits from the rounds of each."""
+    return [Trees(*[np.concatenate([getattr(t, name) for t in one]) for name in ("feature", "bin", "value")]) for one in zip(*of_fits, strict=True)]
+
+
+def _grown_by_fit(blocks: RDD, layout: Layout, policy: Boosting, n_parts: int) -> tuple[list[Trees], RDD]:
+    """Trees of a table of at most ``PARTITION_ROWS`` rows: a fit is a task, with the table's cells."""
+    n_trees = policy.trees if len(layout.offsets) > 1 else 0
+
+    def run(part: Iterator[tuple[int, Block]]) -> Iterator[tuple[int, list[Trees] | None, int, Block | None, np.ndarray | None]]:
+        mine = list(part)
+        if not mine:
+            return
+        fit, own = mine[0][0], sorted((b for _, b in mine), key=lambda b: tuple(b.row[:1]))
+        bins = np.concatenate([b.bins for b in own], axis=1)
+        y, row, trains = (np.concatenate(x) for x in zip(*[(b.y, b.row, layout.fits[fit].trains(b)) for b in own], strict=True))
+        code = coded(bins, layout.offsets)
+        cell = np.arange(len(y))
+        if code is not None:
+            _, at, cell = np.unique(code, return_index=True, return_inverse=True)
+            bins = bins[:, at]
+        y = y if layout.kind == "regression" else y.astype(np.int64)
+        draws = ((n, drawn_sums(layout, cell[at], y[at], bins.shape[1])) for n in range(n_trees) for at in [np.flatnonzero(trains & drawn(row, n, policy.seed, policy.subsample))])
+        trees, margins = grown_over(layout, fit, layout.filled(fit, bins), np.repeat(layout.base[fit][:, None], bins.shape[1], axis=1), draws, policy)
+        yield fit, trees, -1, None, None
+        ends = np.cumsum([len(b.y) for b in own])
+        for i, (b, end) in enumerate(zip(own, ends.tolist(), strict=True)):
+            yield fit, None, i, b if fit == 0 else None, margins[:, cell[end - len(b.y) : end]]
+
+    n_fits = len(layout.fits)
+    done = blocks.flatMap(lambda b: [(i, b) for i in range(n_fits)]).partitionBy(n_fits, int).mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
+    trees = dict(done.filter(lambda x: x[1] is not None).map(lambda x: x[:2]).collect())
+
+    def joined(parts: Iterable[tuple[int, Block | None, np.ndarray]]) -> State:
+        own = sorted(parts, key=lambda x: x[0])
+        return own[0][1], np.array([m for _, _, m in own])
+
+    state = done.filter(lambda x: x[1] is None).map(lambda x: (x[2], (x[0], x[3], x[4]))).groupByKey(n_parts).map(lambda x: joined(x[1]))
+    return _side_by_side([trees[i] for i in range(n_fits)]) if trees else [], state
+
+
+def _views(layout: Layout) -> list[tuple[int | None, list[int], list[tuple[int, int | None]]]]:
+    """(outer fold or None, its values, fits): folds that fits leave out one part of, each fit with that part's place or None.
+
+    All rows are parted by outer fold; those beyond an outer fold by its inner folds.
+    """
+    out = []
+    for outer in [None, *sorted({f.outer for f in layout.fits if f.inner is not None})]:
+        mine = [(i, f.outer if outer is None else f.inner) for i, f in enumerate(layout.fits) if (f.inner is None if outer is None else f.outer == outer and f.inner is not None)]
+        values = sorted({v for _, v in mine if v is not None})
+        if mine:
+            out.append((outer, values, [(i, None if v is None else values.index(v)) for i, v in mine]))
+    return out
+
+
+def _drawn_numbers(layout: Layout) -> int:
+    """Numbers that a tree draws of a cell, in all views."""
+    return _numbers(layout) * sum(len(values) + 1 for _, values, _ in _views(layout))
+
+
+def _grown_from_cells(blocks: RDD, layout: Layout, policy: Boosting, cells: np.ndarray) -> tuple[list[Trees], RDD]:
+    """Trees of a table of few cells: a job draws from all rows for a batch of trees, and a task a fit grows them from the sums."""
+    n_cells, views, n_fits, codes = cells.shape[1], _views(layout), len(layout.fits), coded(cells, layout.offsets)
+    batch = max(1, DRAWN_BYTES // (8 * n_cells * _drawn_numbers(layout)))
+    n_tasks = max(1, min(n_fits, blocks.context.defaultParallelism))
+
+    def keys(b: Block) -> list[np.ndarray]:
+        """For each view where a row's numbers are summed, or -1."""
+        cell, out = np.searchsorted(codes, coded(b.bins, layout.offsets)), []
+        for outer, values, _ in views:
+            own = b.fold if outer is None else b.inner[outer]
+            part = np.full(len(own), len(values), np.int64)
+            for i, v in enumerate(values):
+                part[own == v] = i
+            out.append(np.where(b.fold == outer, -1, part * n_cells + cell) if outer is not None else part * n_cells + cell)
+        return out
+
+    def draw(numbers: range) -> Callable[[Iterator[Block]], Iterator[tuple[tuple[int, int], np.ndarray]]]:
+        def run(part: Iterator[Block]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+            total = [np.zeros((len(numbers), _numbers(layout), (len(values) + 1) * n_cells)) for _, values, _ in views]
+            waiting, n = [], 0
+
+            def put() -> None:
+                row, y, *own = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                for i, number in enumerate(numbers):
+                    at = np.flatnonzero(drawn(row, number, policy.seed, policy.subsample))
+                    some = y[at]
+                    for v, key in enumerate(own):
+                        where = key[at]
+                        known = slice(None) if views[v][0] is None else where >= 0
+                        total[v][i] += drawn_sums(layout, where[known], some[known], total[v].shape[2])
+
+            for b in part:
+                for a in range(0, len(b.y), DRAWN_ROWS):
+                    piece = slice(a, a + DRAWN_ROWS)
+                    y = b.y[piece] if layout.kind == "regression" else b.y[piece].astype(np.int64)
+                    waiting.append((b.row[piece], y, *[k[piece] for k in keys(b)]))
+                    n += len(y)
+                    if n >= DRAWN_ROWS:
+                        put()
+                        waiting, n = [], 0
+            if n:
+                put()
+            for v, sums in enumerate(total):
+                for i, number in enumerate(numbers):
+                    yield (v, number), sums[i]
+
+        return run
+
+    def dealt(x: tuple[tuple[int, int], np.ndarray]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        """What each fit of a view draws: all parts but the one it leaves out."""
+        (v, number), sums = x
+        parts = sums.reshape(_numbers(layout), -1, n_cells)
+        for fit, out in views[v][2]:
+            yield fit, (number, np.delete(parts, out, axis=1).sum(axis=1) if out is not None else parts.sum(axis=1))
+
+    def grown(margins: np.ndarray) -> Callable:
+        def run(part: Iterator[tuple[int, tuple[int, np.ndarray]]]) -> Iterator[tuple[int, list[Trees], np.ndarray]]:
+            own: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for fit, x in part:
+                own.setdefault(fit, []).append(x)
+            for fit, draws in own.items():
+                yield fit, *grown_over(layout, fit, layout.filled(fit, cells), margins[fit], sorted(draws, key=lambda x: x[0]), policy)
+
+        return run
+
+    trees, margins = [], np.repeat(layout.base[:, :, None], n_cells, axis=2)
+    for first in range(0, policy.trees if len(layout.offsets) > 1 else 0, batch):
+        sums = blocks.mapPartitions(draw(range(first, min(policy.trees, first + batch)))).reduceByKey(np.add, blocks.context.defaultParallelism)
+        found = sorted(sums.flatMap(dealt).partitionBy(n_tasks, int).mapPartitions(grown(margins)).collect(), key=lambda x: x[0])
+        trees += _side_by_side([t for _, t, _ in found])
+        margins = np.array([m for _, _, m in found])
+    held = blocks.context.broadcast(margins)
+    return trees, blocks.map(lambda b: (b, held.value[:, :, np.searchsorted(codes, coded(b.bins, layout.offsets))]))
 
 
 def _grown_by_level(state: RDD, layout: Layout, policy: Boosting) -> tuple[list[Trees], RDD]:
