@@ -36,10 +36,12 @@ def quantiles(rows: DataFrame, by: list[str], value: str, q: list[float], more:
     q, slack = sorted(q), 4 / ACCURACY
     sides = [min(1.0, max(0.0, p + d)) for p in q for d in (-slack, slack)]
     first = rows.groupBy(*by).agg(F.count(x).alias("n"), *(more or []), F.percentile_approx(x, sides, ACCURACY).alias("_in"), F.min(x).alias("_least"), F.max(x).alias("_most"))
-    # A row a group: few of them are a local table, which Spark broadcasts by its size; many are a table of their own.
+    # A row a group: few of them are a local table, whose size Spark doesn't know, so it is told to broadcast it and
+    # neither broadcasts nor deals out the rows; many are a table of their own.
     known = first.limit(BRACKETS + 1).collect()
-    first = rows.sparkSession.createDataFrame(known, first.schema) if len(known) <= BRACKETS else kept(first, "brackets")
-    first = first.filter("n > 0")
+    few_groups = len(known) <= BRACKETS
+    first = rows.sparkSession.createDataFrame(known, first.schema) if few_groups else kept(first, "brackets")
+    first = F.broadcast(first.filter("n > 0")) if few_groups else first.filter("n > 0")
     # Where the slack is less than a rank, a bracket is all there is.
     few = F.col("n") <= ACCURACY
     low = [F.when(few | F.lit(p <= slack), F.col("_least")).otherwise(F.col("_in")[2 * i]) for i, p in enumerate(q)]
