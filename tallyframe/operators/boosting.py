@@ -667,7 +667,8 @@ def _drawn_numbers(layout: Layout) -> int:
 def _grown_from_cells(blocks: RDD, layout: Layout, policy: Boosting, cells: np.ndarray) -> tuple[list[Trees], RDD]:
     """Trees of a table of few cells: a job draws from all rows for a batch of trees, and a task a fit grows them from the sums."""
     n_cells, views, n_fits, codes = cells.shape[1], _views(layout), len(layout.fits), coded(cells, layout.offsets)
-    batch = max(1, DRAWN_BYTES // (8 * n_cells * _drawn_numbers(layout)))
+    summed = np.dtype(np.float64 if layout.kind == "regression" else np.int32)  # rows of a class are counted
+    batch = max(1, DRAWN_BYTES // (summed.itemsize * n_cells * _drawn_numbers(layout)))
     n_tasks = max(1, min(n_fits, blocks.context.defaultParallelism))
 
     def keys(b: Block) -> list[np.ndarray]:
@@ -683,7 +684,7 @@ def _grown_from_cells(blocks: RDD, layout: Layout, policy: Boosting, cells: np.n
 
     def draw(numbers: range) -> Callable[[Iterator[Block]], Iterator[tuple[tuple[int, int], np.ndarray]]]:
         def run(part: Iterator[Block]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-            total = [np.zeros((len(numbers), _numbers(layout), (len(values) + 1) * n_cells)) for _, values, _ in views]
+            total = [np.zeros((len(numbers), _numbers(layout), (len(values) + 1) * n_cells), summed) for _, values, _ in views]
             waiting, n = [], 0
 
             def put() -> None:
@@ -694,7 +695,7 @@ def _grown_from_cells(blocks: RDD, layout: Layout, policy: Boosting, cells: np.n
                     for v, key in enumerate(own):
                         where = key[at]
                         known = slice(None) if views[v][0] is None else where >= 0
-                        total[v][i] += drawn_sums(layout, where[known], some[known], total[v].shape[2])
+                        total[v][i] += drawn_sums(layout, where[known], some[known], total[v].shape[2]).astype(summed)
 
             for b in part:
                 for a in range(0, len(b.y), DRAWN_ROWS):

@@ -115,16 +115,20 @@ def fold(key: list[str], folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(folds)).cast("int")
 
 
-def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int, seed: int, buckets: int = 256, name: str = "_fold") -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int, seed: int, buckets: int = 256, name: str = "_fold", counted: DataFrame | None = None) -> DataFrame:
     """``df`` with a fold number in ``name`` that deals the rows of each class out in turn.
 
+    ``df`` is read twice, to count and to number its rows; ``counted`` is a written table
+    of the same rows to count instead, so that deals after deals don't read it anew for each.
+
     Rows of a class are numbered by hash of the key: within hash buckets, and from
     the number of its rows in the buckets before, so no window holds a whole
     class.  Equal rows are dealt out like others.
     """
     h = F.xxhash64(F.lit(seed), *key)
-    rows = df.withColumns({"_hash": h, "_bucket": F.pmod(h, F.lit(buckets)).cast("int")})
-    counts = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    bucketed = {"_hash": h, "_bucket": F.pmod(h, F.lit(buckets)).cast("int")}
+    rows = df.withColumns(bucketed)
+    counts = (rows if counted is None else counted.withColumns(bucketed)).groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(label, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     local = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash"))

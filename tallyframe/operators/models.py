@@ -113,9 +113,10 @@ def binary_models(df: DataFrame, target: str, policy: Boosting = BINARY) -> tupl
     if len(labels) != 2:
         raise ValueError(f"a binary target has two values, not {len(labels)}")
     folds = range(policy.folds)
-    rows = stratified_folds(_keyed(rows), "_y", ["_key"], policy.folds, policy.seed)
+    rows = outer = kept(stratified_folds(kept(_keyed(rows), "keyed"), "_y", ["_key"], policy.folds, policy.seed), "outer")
     for i in folds:  # rows of the outer fold itself are numbered apart, and not used
-        rows = stratified_folds(rows.withColumn("_stratum", F.col("_y") + F.when(F.col("_fold") == i, 2).otherwise(0)), "_stratum", ["_key"], policy.inner_folds, 101 + i, name=f"_inner{i}").drop("_stratum")
+        stratum = F.col("_y") + F.when(F.col("_fold") == i, 2).otherwise(0)
+        rows = stratified_folds(rows.withColumn("_stratum", stratum), "_stratum", ["_key"], policy.inner_folds, 101 + i, name=f"_inner{i}", counted=outer.withColumn("_stratum", stratum)).drop("_stratum")
     rows = _numbered(rows, "binary")
     features = model_features(rows, "_y")
     fits = [*map(Fit, folds), *[Fit(i, j) for i in folds for j in range(policy.inner_folds)], Fit()]
