@@ -145,7 +145,9 @@ def silhouette(df: DataFrame, features: list[str], cluster: str, group: int = GR
     if len(sizes) < 2:
         return None
     kinds = np.array(sorted(sizes))
-    groups = -(-points.count() // group)
+    n_points, tasks = points.count(), df.sparkSession.sparkContext.defaultParallelism
+    # Groups of at most ``group`` points, and enough of them that their pairs keep all tasks busy, if they have a tile's points each.
+    groups = max(-(-n_points // group), min(n_points // TILE_POINTS, int((4 * tasks) ** 0.5) + 1), 1)
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     met = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = met.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "c", "w", *names)

@@ -1,9 +1,9 @@
 """K-means whose starts share their scans.
 
-The centres of all starts travel together: a pass over the rows assigns them for
-every start that isn't done, and returns the sums by start and cluster, which
-grow with the parameters and not with the rows.  Starts that stand still drop
-out; the one with the least cost wins.
+The centres of all starts travel together: a pass over the different points, each
+with the number of its rows, assigns them for every start that isn't done, and
+returns the sums by start and cluster, which grow with the parameters and not with
+the rows.  Starts that stand still drop out; the one with the least cost wins.
 
 First centres are drawn as k-means++ draws them, for all starts in one pass a
 centre: each row races with an exponential time by a hash of its number, at a rate
@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.boosting import hashed
+from tallyframe.shared import kept, spread
 
-#: Rows for which distances to the centres of a start are held at once.
-ROWS = 1 << 15
+#: Rows for which distances to the centres of a start are held at once; points of a partition at most where more tasks are to be had.
+ROWS, SPREAD_POINTS = 1 << 15, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Centres:
 
 
 def blocks_of(rows: DataFrame, features: list[str], number: str) -> RDD:
-    """(row numbers, features) of the rows as arrays."""
+    """(row numbers, features) of the rows as arrays; ``number`` may be another column of whole numbers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +57,8 @@ def blocks_of(rows: DataFrame, features: list[str], number: str) -> RDD:
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    """(centres, rows) squared distances of (features, rows)."""
+    return sum((v - c[:, None]) ** 2 for v, c in zip(x, centres.T, strict=True))
 
 
 def _drawn(blocks: RDD, centres: list[np.ndarray] | None, starts: int, nth: int, seed: int) -> list[np.ndarray]:
@@ -65,11 +67,14 @@ def _drawn(blocks: RDD, centres: list[np.ndarray] | None, starts: int, nth: int,
     def race(part: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[float, int, np.ndarray] | None]]:
         best: list[tuple[float, int, np.ndarray] | None] = [None] * starts
         for number, x in part:
+            wide = np.ascontiguousarray(x.T)
             for s in range(starts):
-                rate = np.ones(len(x)) if centres is None else _distances(x, centres[s]).min(axis=1)
+                rate = np.ones(len(x)) if centres is None else _distances(wide, centres[s]).min(axis=0)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     time = -np.log1p(-hashed(number, seed + 7919 * s + nth)) / rate
-                at = int(np.lexsort((number, time))[0]) if len(x) else -1
+                time[np.isnan(time)] = np.inf
+                least = np.flatnonzero(time == time.min()) if len(x) else time
+                at = int(least[number[least].argmin()]) if len(x) else -1
                 if at >= 0 and (best[s] is None or (time[at], number[at]) < best[s][:2]):
                     best[s] = (float(time[at]), int(number[at]), x[at])
         yield best
@@ -89,20 +94,19 @@ def first_centres(blocks: RDD, k: int, starts: int, seed: int) -> np.ndarray:
 
 
 def _sums(blocks: RDD, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, k, features) sums, (starts, k) counts and (starts) costs by the nearest centres."""
+    """(starts, k, features) sums, (starts, k) counts and (starts) costs by the nearest centres, of points with their numbers of rows."""
 
     def add(part: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[np.ndarray]]:
         total = [np.zeros(centres.shape), np.zeros(centres.shape[:2]), np.zeros(len(centres))]
-        for _, every in part:
+        for number, every in part:
             for at in range(0, len(every), ROWS):
-                x = every[at : at + ROWS]
+                x, weight = np.ascontiguousarray(every[at : at + ROWS].T), number[at : at + ROWS].astype(np.float64)
                 for s, c in enumerate(centres):
                     d = _distances(x, c)
-                    label = d.argmin(axis=1)
-                    mark = label[:, None] == np.arange(len(c))
-                    total[0][s] += mark.T.astype(np.float64) @ x
-                    total[1][s] += mark.sum(axis=0)
-                    total[2][s] += d[np.arange(len(x)), label].sum()
+                    label = d.argmin(axis=0)
+                    total[0][s] += np.array([np.bincount(label, weight * v, minlength=len(c)) for v in x]).T
+                    total[1][s] += np.bincount(label, weight, minlength=len(c))
+                    total[2][s] += d.min(axis=0) @ weight
         yield total
 
     return tuple(blocks.mapPartitions(add).treeReduce(lambda a, b: [x + y for x, y in zip(a, b, strict=True)]))
@@ -114,9 +118,12 @@ def kmeans(rows: DataFrame, features: list[str], number: str, k: int, starts: in
     A start is done when its centres move by no more than ``tolerance`` times the mean
     variance of the features, as squares summed; an empty cluster keeps its centre.
     """
-    spread = rows.agg(sum((F.var_pop(f) for f in features), F.lit(0.0)) / len(features)).first()[0] or 0.0
-    blocks = blocks_of(rows, features, number).persist(StorageLevel.MEMORY_AND_DISK)
-    centres = first_centres(blocks, k, starts, seed)
+    variance = rows.agg(sum((F.var_pop(f) for f in features), F.lit(0.0)) / len(features)).first()[0] or 0.0
+    drawn = blocks_of(spread(rows, rows.count()), features, number).persist(StorageLevel.MEMORY_AND_DISK)
+    centres = first_centres(drawn, k, starts, seed)
+    drawn.unpersist()
+    points = kept(rows.groupBy(*features).agg(F.count(F.lit(1)).alias("_weight")), "points")
+    blocks = blocks_of(spread(points, points.count(), SPREAD_POINTS), features, "_weight").persist(StorageLevel.MEMORY_AND_DISK)
     active, taken = list(range(starts)), [0] * starts
     for _ in range(passes):
         sums, counts, _ = _sums(blocks, centres[active])
@@ -125,7 +132,7 @@ def kmeans(rows: DataFrame, features: list[str], number: str, k: int, starts: in
         centres[active] = new
         for s in active:
             taken[s] += 1
-        active = [s for s, m in zip(active, moved, strict=True) if m > tolerance * spread]
+        active = [s for s, m in zip(active, moved, strict=True) if m > tolerance * variance]
         if not active:
             break
     costs = _sums(blocks, centres)[2]

@@ -16,7 +16,7 @@ from tallyframe.operators.features import derived_fields, medians, numeric_colum
 from tallyframe.operators.kmeans import Centres, kmeans
 from tallyframe.operators.profile import field_roles
 from tallyframe.plans.policies import SEGMENTATION, Segmentation
-from tallyframe.shared import kept
+from tallyframe.shared import kept, spread
 
 #: Outcomes of a campaign, which don't describe a customer.
 OUTCOMES = ("response", "complain")
@@ -50,17 +50,17 @@ class Segments:
 def fit_segments(df: DataFrame, policy: Segmentation = SEGMENTATION) -> Segments:
     rows, features = segment_features(df)
     fill = medians(rows, features)
-    raw = rows.select(*[F.col(c).cast("double").alias(c) for c in features])
-    filled = raw.select(F.struct(*features).alias("raw"), *[F.coalesce(F.col(c), F.lit(fill.get(c, 0.0))).alias(c) for c in features])
-    wide = VectorAssembler(inputCols=features, outputCol="v").transform(filled).select("raw", "v")
+    raw = spread(rows.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(c) for c in features]), df.count())
+    filled = raw.select("_row", F.struct(*features).alias("raw"), *[F.coalesce(F.col(c), F.lit(fill.get(c, 0.0))).alias(c) for c in features])
+    wide = VectorAssembler(inputCols=features, outputCol="v").transform(filled).select("_row", "raw", "v")
     scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(wide)
     scaled = scaler.transform(wide).persist()
     pca = PCA(k=len(features), inputCol="z", outputCol="c").fit(scaled)
     running = list(accumulate(pca.explainedVariance))
     m = next((i + 1 for i, v in enumerate(running) if v > policy.variance), len(features))
     axes = [f"pc{i}" for i in range(m)]
-    reduced = pca.transform(scaled).withColumn("pc", vector_to_array("c")).select("raw", *[F.col("pc")[i].alias(c) for i, c in enumerate(axes)])
-    reduced = kept(reduced.withColumn("_row", F.monotonically_increasing_id()), "reduced")
+    reduced = pca.transform(scaled).withColumn("pc", vector_to_array("c")).select("_row", "raw", *[F.col("pc")[i].alias(c) for i, c in enumerate(axes)])
+    reduced = kept(reduced, "reduced")
     best = kmeans(reduced, axes, "_row", policy.clusters, policy.starts, policy.seed)
     labelled = kept(reduced.withColumn("segment", best.nearest(axes)), "labelled")
     scores = cluster_metrics(labelled, axes, "segment").first()

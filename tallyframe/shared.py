@@ -46,6 +46,16 @@ def kept(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition at most where more tasks are to be had.
+SPREAD_ROWS = 1 << 16
+
+
+def spread(df: DataFrame, n_rows: int, most: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` in more partitions if it has few for its rows, as a table of one small file has: one for ``most`` rows, up to the cluster's tasks."""
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // most))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
 def removed(spark: SparkSession, path: str | None) -> None:
     """Delete what is no longer needed in the shared folder."""
     if path:
