@@ -22,6 +22,10 @@ different rows of bins, with sums of what a tree draws (``grown_over``):
 - Of a table of at most ``PARTITION_ROWS`` rows each fit is one task, which draws from its rows.
 - Where a larger table has few cells (``CELLS``), all rows are drawn where they lie,
   for a batch of trees a job, and only the sums by cell go to the fits' tasks.
+- Where it has many, but the grid of all combinations of bins is not larger than ``GRID``
+  and the target is a class, rows are dealt by their place in the grid; for a batch of trees
+  a job they send the fits how many rows of a place aren't drawn.  A fit's task grows its
+  trees over the grid, whose nodes are boxes, and the margins stay where the fit is.
 - Otherwise a level is a job, and the margins are a state beside the blocks: one
   persisted RDD a tree, with a checkpoint in the shared folder every ``CHECKPOINT``
   trees, so that a lost executor costs a bounded part.
@@ -31,6 +35,7 @@ The rows are written before the first tree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -53,6 +58,9 @@ PARTITION_ROWS, PARTITION_BINS = 1 << 20, 1 << 24
 CELLS, CELL_MARGINS, CELL_TABLE, CELL_ROWS = 1 << 16, 1 << 22, 1 << 12, 4
 #: Bytes of drawn sums that a task holds, rows it draws at once, rows of a partition at most where more tasks are to be had.
 DRAWN_BYTES, DRAWN_ROWS, SPREAD_ROWS = 1 << 26, 1 << 16, 1 << 18
+#: Places of a grid at most, numbers by place of a fit at most, bytes of what a fit isn't sent of a batch of trees before they
+#: are compressed, batches between checkpoints, places whose gradients are made at once, places a cell at most in a fit's task.
+GRID, GRID_NUMBERS, GRID_BYTES, GRID_BATCHES, GRID_PIECE, GRID_CELL = 1 << 21, 1 << 24, 1 << 28, 8, 1 << 14, 8
 #: Added to sums of second derivatives, least such sum of a child, least gain.
 SMOOTH, LEAST_CHILD, LEAST_GAIN = 1.0, 1.0, 1e-6
 #: Gains are equal that differ by less than this share of what they are made of.
@@ -482,6 +490,8 @@ def grow(df: DataFrame, features: list[str], kind: str, policy: Boosting, fits:
         trees, state = _grown_by_fit(blocks, layout, policy, n_parts)
     elif n_rows >= CELL_TABLE and (cells := few_cells(blocks, layout, n_rows)) is not None:
         trees, state = _grown_from_cells(blocks, layout, policy, cells)
+    elif kind != "regression" and (grid := grid_of(blocks, layout)) is not None:
+        trees, state = _grown_on_grid(blocks, layout, policy, grid, n_rows)
     else:
         trees, state = _grown_by_level(blocks.map(lambda b: (b, np.repeat(layout.base[:, :, None], len(b.y), axis=2))), layout, policy)
     if cells is None:
@@ -596,6 +606,111 @@ def grown_over(layout: Layout, fit: int, bins: np.ndarray, margins: np.ndarray,
     return trees, margins
 
 
+@dataclass(frozen=True)
+class Grid:
+    """All combinations of bins: the features by axis, the largest last, the axes' lengths, and which end with a place for missing values."""
+
+    features: tuple[int, ...]
+    sizes: tuple[int, ...]
+    missing: tuple[bool, ...]
+
+    @classmethod
+    def of(cls, offsets: np.ndarray, missing: np.ndarray) -> Grid:
+        sizes = np.diff(offsets) + missing
+        order = np.argsort(sizes, kind="stable").tolist()
+        return cls(tuple(order), tuple(sizes[order].tolist()), tuple(missing[order].tolist()))
+
+    @property
+    def places(self) -> int:
+        return math.prod(self.sizes)
+
+    def placed(self, bins: np.ndarray) -> np.ndarray:
+        """Where each row lies when the grid stands in one line."""
+        at = np.zeros(bins.shape[1], np.int64)
+        for f, size in zip(self.features, self.sizes, strict=True):
+            at = at * size + np.minimum(bins[f], size - 1)
+        return at
+
+    def without_missing(self, x: np.ndarray, fill: np.ndarray) -> np.ndarray:
+        """(numbers, places) sums with those of missing values added to where ``fill`` puts them."""
+        x = x.reshape(-1, *self.sizes)
+        for axis, (f, gap) in enumerate(zip(self.features, self.missing, strict=True), 1):
+            if gap:
+                before = (slice(None),) * axis
+                last, x = x[(*before, -1)], x[(*before, slice(-1))].copy()
+                x[(*before, int(fill[f]))] += last
+        return x.reshape(len(x), -1)
+
+    def with_missing(self, x: np.ndarray, fill: np.ndarray) -> np.ndarray:
+        """(numbers, places) margins with those of missing values."""
+        x = x.reshape(-1, *[n - gap for n, gap in zip(self.sizes, self.missing, strict=True)])
+        for axis, (f, gap) in enumerate(zip(self.features, self.missing, strict=True), 1):
+            if gap:
+                x = np.concatenate([x, x.take([int(fill[f])], axis=axis)], axis=axis)
+        return x.reshape(len(x), -1)
+
+
+def marginals(x: np.ndarray) -> list[np.ndarray]:
+    """(2, length) sums along each axis of ``x`` but the first."""
+    out = []
+    while x.ndim > 2:
+        out.append(x.sum(axis=tuple(range(2, x.ndim))))
+        x = x.sum(axis=1)
+    return [*out, x]
+
+
+def grown_over_grid(layout: Layout, fit: int, grid: Grid, margins: np.ndarray, draws: Iterable[tuple[int, np.ndarray]], policy: Boosting) -> tuple[list[Trees], np.ndarray]:
+    """``grown_over`` for every place of a grid without missing values: a node is some bins of each feature, so its sums are those of a box."""
+    offsets, trees, margins = layout.offsets, [], margins.copy()
+    both = np.empty((2, *margins.shape))
+    for number, sums in draws:
+        tree, allowed = Trees.empty(layout.outputs, policy.depth), column_sample(offsets, layout.n_numeric, number, policy)
+        for a in range(0, grid.places, GRID_PIECE):
+            piece = slice(a, a + GRID_PIECE)
+            both[0, :, piece], both[1, :, piece] = cell_gradients(layout, fit, margins[:, piece], sums[:, piece])
+        for o in range(layout.outputs):
+            own, nodes, depth = both[:, o].reshape(2, *grid.sizes), [tuple(slice(0, n) for n in grid.sizes)], 0
+            while depth < policy.depth:
+                found = np.zeros((2, len(nodes), offsets[-1] + 1))
+                for i, node in enumerate(nodes):
+                    if node is not None:
+                        for axis, m in enumerate(marginals(_boxed(own, node))):
+                            a, z = offsets[grid.features[axis] :][:2]
+                            found[:, i, a:z][:, node[axis]] = m
+                        found[:, i, -1] = m.sum(axis=1)
+                if not _split(tree, depth, [(o, best_splits(found, offsets, layout.n_numeric, allowed))], policy.rate):
+                    break
+                first, depth = len(nodes) - 1, depth + 1
+                nodes = [child for i, node in enumerate(nodes) for child in _children(node, int(tree.feature[o, first + i]), int(tree.bin[o, first + i]), grid, layout.n_numeric)]
+            here = margins[o].reshape(grid.sizes)
+            for node, value in zip(nodes, _ends(tree, o, depth), strict=True):
+                if node is not None:
+                    at = node if all(isinstance(x, slice) for x in node) else np.ix_(*[np.arange(n)[x] for n, x in zip(grid.sizes, node, strict=True)])
+                    here[at] += value
+        trees.append(tree)
+    return trees, margins
+
+
+def _boxed(x: np.ndarray, node: tuple) -> np.ndarray:
+    for axis, at in enumerate(node, 1):
+        x = x[(slice(None),) * axis + (at,)]
+    return x
+
+
+def _children(node: tuple | None, feature: int, cut: int, grid: Grid, n_numeric: int) -> list[tuple | None]:
+    """A leaf's left child has all that is in the leaf."""
+    if node is None or feature < 0:
+        return [node, None]
+    axis = grid.features.index(feature)
+    if feature < n_numeric:
+        middle = min(max(cut + 1, node[axis].start), node[axis].stop)
+        sides = slice(node[axis].start, middle), slice(middle, node[axis].stop)
+    else:
+        at = np.arange(grid.sizes[axis])[node[axis]]
+        sides = at[at != cut], at[at == cut]
+    return [(*node[:axis], side, *node[axis + 1 :]) for side in sides]
+
+
 def _ends(tree: Trees, t: int, depth: int) -> np.ndarray:
     """The value of each node of a level: that of the leaf it lies in."""
     at = np.arange(2**depth - 1, 2 ** (depth + 1) - 1)
@@ -620,14 +735,18 @@ def _grown_by_fit(blocks: RDD, layout: Layout, policy: Boosting, n_parts: int) -
         fit, own = mine[0][0], sorted((b for _, b in mine), key=lambda b: tuple(b.row[:1]))
         bins = np.concatenate([b.bins for b in own], axis=1)
         y, row, trains = (np.concatenate(x) for x in zip(*[(b.y, b.row, layout.fits[fit].trains(b)) for b in own], strict=True))
-        code = coded(bins, layout.offsets)
+        code, grid = coded(bins, layout.offsets), None
         cell = np.arange(len(y))
         if code is not None:
             _, at, cell = np.unique(code, return_index=True, return_inverse=True)
+            grid = _dense_grid(layout, len(at))
+            cell = cell if grid is None else grid.placed(layout.filled(fit, bins))
             bins = bins[:, at]
+        n_cells = bins.shape[1] if grid is None else grid.places
         y = y if layout.kind == "regression" else y.astype(np.int64)
-        draws = ((n, drawn_sums(layout, cell[at], y[at], bins.shape[1])) for n in range(n_trees) for at in [np.flatnonzero(trains & drawn(row, n, policy.seed, policy.subsample))])
-        trees, margins = grown_over(layout, fit, layout.filled(fit, bins), np.repeat(layout.base[fit][:, None], bins.shape[1], axis=1), draws, policy)
+        draws = ((n, drawn_sums(layout, cell[at], y[at], n_cells)) for n in range(n_trees) for at in [np.flatnonzero(trains & drawn(row, n, policy.seed, policy.subsample))])
+        margins = np.repeat(layout.base[fit][:, None], n_cells, axis=1)
+        trees, margins = grown_over(layout, fit, layout.filled(fit, bins), margins, draws, policy) if grid is None else grown_over_grid(layout, fit, grid, margins, draws, policy)
         yield fit, trees, -1, None, None
         ends = np.cumsum([len(b.y) for b in own])
         for i, (b, end) in enumerate(zip(own, ends.tolist(), strict=True)):
@@ -741,6 +860,174 @@ def _grown_from_cells(blocks: RDD, layout: Layout, policy: Boosting, cells: np.n
     return trees, blocks.map(lambda b: (b, held.value[:, :, np.searchsorted(codes, coded(b.bins, layout.offsets))]))
 
 
+def grid_of(blocks: RDD, layout: Layout) -> Grid | None:
+    """The grid of a table's bins, if it isn't too large."""
+    missing = np.zeros(len(layout.offsets) - 1, bool)
+    if not len(missing) or _too_large(Grid.of(layout.offsets, missing), layout):
+        return None
+    grid = Grid.of(layout.offsets, blocks.map(lambda b: (b.bins == MISSING).any(axis=1)).treeReduce(np.logical_or))
+    return None if _too_large(grid, layout) else grid
+
+
+def _too_large(grid: Grid, layout: Layout) -> bool:
+    return grid.places > GRID or grid.places * max(layout.outputs, _numbers(layout)) > GRID_NUMBERS
+
+
+def _dense_grid(layout: Layout, n_cells: int) -> Grid | None:
+    """The grid without missing values, if sums over all of it are less work than over so many cells."""
+    grid = Grid.of(layout.offsets, np.zeros(len(layout.offsets) - 1, bool))
+    return None if not grid.sizes or _too_large(grid, layout) or grid.places > GRID_CELL * n_cells else grid
+
+
+def _joined(own: list[Block]) -> Block:
+    return Block(*[np.concatenate([getattr(b, name) for b in own], axis=-1) for name in ("bins", "y", "fold", "inner", "row", "key")])
+
+
+def _some(b: Block, at: np.ndarray) -> Block:
+    return Block(*[x[..., at] for x in (b.bins, b.y, b.fold, b.inner, b.row, b.key)])
+
+
+def _dealt_by_place(blocks: RDD, grid: Grid, n_rows: int) -> tuple[RDD, list[tuple[int, int]], list[list[int]]]:
+    """(partition, (slice, block)) of slices of the grid, several partitions for one of many rows; the slices' ends, and their partitions."""
+    n_slices = max(1, min(grid.places, max(blocks.getNumPartitions(), -(-n_rows // SPREAD_ROWS))))
+    width = -(-grid.places // n_slices)
+    ends = [(a, min(grid.places, a + width)) for a in range(0, grid.places, width)]
+    rows = blocks.map(lambda b: np.bincount(grid.placed(b.bins) // width, minlength=len(ends))).treeReduce(np.add)
+    parts = np.maximum(1, -(-rows // SPREAD_ROWS))
+    first = np.concatenate(([0], np.cumsum(parts)))
+
+    def deal(part: Iterator[Block]) -> Iterator[tuple[int, tuple[int, Block]]]:
+        waiting, n = [], 0
+
+        def put() -> Iterator[tuple[int, tuple[int, Block]]]:
+            b = _joined(waiting)
+            s = grid.placed(b.bins) // width
+            to = first[s] + b.row % parts[s]
+            order = np.argsort(to, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                yield int(to[at[0]]), (int(s[at[0]]), _some(b, at))
+
+        for b in part:
+            waiting.append(b)
+            n += len(b.y)
+            if n >= SPREAD_ROWS:
+                yield from put()
+                waiting, n = [], 0
+        if n:
+            yield from put()
+
+    def one(part: Iterator[tuple[int, tuple[int, Block]]]) -> Iterator[tuple[int, tuple[int, Block]]]:
+        mine = list(part)
+        if mine:
+            own = _joined([b for _, (_, b) in mine])
+            yield mine[0][0], (mine[0][1][0], _some(own, np.argsort(grid.placed(own.bins), kind="stable")))
+
+    dealt = blocks.mapPartitions(deal).partitionBy(int(first[-1]), int).mapPartitions(one, preservesPartitioning=True)
+    return dealt, ends, [list(range(a, z)) for a, z in zip(first.tolist(), first.tolist()[1:], strict=False)]
+
+
+def _grown_on_grid(blocks: RDD, layout: Layout, policy: Boosting, grid: Grid, n_rows: int) -> tuple[list[Trees], RDD]:
+    """Trees of classes by places of a grid: rows count, for a batch of trees a job, what isn't drawn, and a task a fit grows them from the rest."""
+    n_fits, n_classes = len(layout.fits), _numbers(layout)
+    rows, ends, parts = _dealt_by_place(blocks, grid, n_rows)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def left_out(numbers: range | None) -> Callable[[tuple[int, tuple[int, Block]]], Iterator[tuple[int, tuple[int | None, int, str, bytes]]]]:
+        """(fit, (tree, slice, type, counts by class and place)) of a fit's rows that a tree doesn't draw; for None of all its rows."""
+
+        def run(x: tuple[int, tuple[int, Block]]) -> Iterator[tuple[int, tuple[int | None, int, str, bytes]]]:
+            s, b = x[1]
+            a, z = ends[s]
+            key = b.y.astype(np.int64) * (z - a) + grid.placed(b.bins) - a
+            trains = [fit.trains(b) for fit in layout.fits]
+            for number in [None] if numbers is None else numbers:
+                at = np.arange(len(key)) if number is None else np.flatnonzero(~drawn(b.row, number, policy.seed, policy.subsample))
+                some = key[at]
+                for fit, own in enumerate(trains):
+                    counts = np.bincount(some[own[at]], minlength=n_classes * (z - a))
+                    counts = counts.astype(np.min_scalar_type(counts.max()))
+                    yield fit, (number, s, counts.dtype.str, pa.compress(counts, codec="zstd", asbytes=True))
+
+        return run
+
+    def opened(s: int, kind: str, data: bytes) -> np.ndarray:
+        a, z = ends[s]
+        size = n_classes * (z - a) * np.dtype(kind).itemsize
+        return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), kind).reshape(n_classes, z - a)
+
+    def counted(part: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, tuple[str, np.ndarray]]]:
+        own: dict[int, np.ndarray] = {}
+        for fit, (_, s, kind, data) in part:
+            own.setdefault(fit, np.zeros((n_classes, grid.places), np.int32))[:, slice(*ends[s])] += opened(s, kind, data)
+        for fit, counts in own.items():
+            yield fit, ("rows", counts)
+
+    def base(part: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, tuple[str, np.ndarray]]]:
+        for fit, _ in part:
+            places = math.prod(n - gap for n, gap in zip(grid.sizes, grid.missing, strict=True))
+            yield fit, ("margins", np.repeat(layout.base[fit][:, None], places, axis=1))
+
+    bare = replace(grid, sizes=tuple(n - gap for n, gap in zip(grid.sizes, grid.missing, strict=True)), missing=(False,) * len(grid.sizes))
+
+    def grown(part: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, tuple]]:
+        state, waiting = {}, {}
+        for fit, x in part:
+            if isinstance(x[0], str):
+                state[x[0]] = x[1]
+            else:
+                waiting.setdefault(x[0], []).append(x[1:])
+
+        def draws() -> Iterator[tuple[int, np.ndarray]]:
+            for number in sorted(waiting):
+                counts = state["rows"].copy()
+                for s, kind, data in waiting.pop(number):
+                    counts[:, slice(*ends[s])] -= opened(s, kind, data)
+                yield number, grid.without_missing(counts, layout.fill[fit])
+
+        trees, margins = grown_over_grid(layout, fit, bare, state["margins"], draws(), policy)
+        yield fit, ("trees", trees)
+        yield fit, ("margins", margins)
+
+    # What a fit needs has the same partitioner, so the unions are narrow.
+    counts = rows.flatMap(left_out(None)).partitionBy(n_fits, int).mapPartitions(counted, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+    step, files, trees = counts.mapPartitions(base, preservesPartitioning=True), [], []
+    batch = max(1, GRID_BYTES // (n_classes * grid.places))
+    for i, first in enumerate(range(0, policy.trees, batch)):
+        sent = rows.flatMap(left_out(range(first, min(policy.trees, first + batch)))).partitionBy(n_fits, int)
+        old, margins = step, step.filter(lambda x: x[1][0] == "margins")
+        step = counts.union(margins).union(sent).mapPartitions(grown, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+        if i % GRID_BATCHES == GRID_BATCHES - 1:
+            files.append(step)
+            step.checkpoint()
+        found = dict(step.filter(lambda x: x[1][0] == "trees").mapValues(lambda x: x[1]).collect())
+        trees += _side_by_side([found[fit] for fit in range(n_fits)])
+        old.unpersist()
+        if len(files) > 1:
+            removed(SparkSession.active(), files.pop(0).getCheckpointFile())
+
+    def cut(x: tuple[int, tuple[str, np.ndarray]]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        fit, (_, margins) = x
+        margins = grid.with_missing(margins, layout.fill[fit])
+        for (a, z), mine in zip(ends, parts, strict=True):
+            for p in mine:
+                yield p, (fit, margins[:, a:z])
+
+    def met(part: Iterator[tuple[int, tuple]]) -> Iterator[State]:
+        own, margins = None, {}
+        for _, (number, x) in part:
+            if isinstance(x, Block):
+                own = number, x
+            else:
+                margins[number] = x
+        if own:
+            s, b = own
+            at = grid.placed(b.bins) - ends[s][0]
+            yield b, np.array([margins[i][:, at] for i in range(n_fits)])
+
+    cuts = step.filter(lambda x: x[1][0] == "margins").flatMap(cut).partitionBy(rows.getNumPartitions(), int)
+    return trees, rows.union(cuts).mapPartitions(met)
+
+
 def _grown_by_level(state: RDD, layout: Layout, policy: Boosting) -> tuple[list[Trees], RDD]:
     """Trees by one aggregation a level, the splits of all fits coming to the driver."""
     spark = state.context

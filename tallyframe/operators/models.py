@@ -145,4 +145,5 @@ def multiclass_models(df: DataFrame, target: str, policy: Boosting = MULTICLASS)
     features = model_features(rows, "_y")
     grown = grow(rows, features, "multiclass", policy, [*map(Fit, range(policy.folds)), Fit()], len(labels), ["_fold"])
     oof = grown.held_out(df.sparkSession, list(range(policy.folds))).select("_key", F.col("y").cast("int").alias("y"), clipped(F.col("answers")).alias("probabilities"))
+    oof = kept(oof, "scores")  # each measure reads it anew
     return oof.withColumn("prediction", hardest("probabilities")), Fitted("multiclass", target, features, labels, _prepared, grown.model(policy.folds))
