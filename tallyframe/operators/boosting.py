@@ -54,7 +54,7 @@ from tallyframe.shared import removed, shared_dir
 BINS, CHECKPOINT = 256, 16
 #: Rows of a table whose fits are a task each, and its bins at most.
 PARTITION_ROWS, PARTITION_BINS = 1 << 20, 1 << 24
-#: Cells at most, margins of all fits at most, rows that a table has at least and rows a cell on average, if only sums by cell go to the fits.
+#: Cells at most, margins of all fits at most, rows that a table has at least and rows a cell on average, if only sums by cell go to the fits (a grid needs as many rows).
 CELLS, CELL_MARGINS, CELL_TABLE, CELL_ROWS = 1 << 16, 1 << 22, 1 << 12, 4
 #: Bytes of drawn sums that a task holds, rows it draws at once, rows of a partition at most where more tasks are to be had.
 DRAWN_BYTES, DRAWN_ROWS, SPREAD_ROWS = 1 << 26, 1 << 16, 1 << 18
@@ -490,7 +490,7 @@ def grow(df: DataFrame, features: list[str], kind: str, policy: Boosting, fits:
         trees, state = _grown_by_fit(blocks, layout, policy, n_parts)
     elif n_rows >= CELL_TABLE and (cells := few_cells(blocks, layout, n_rows)) is not None:
         trees, state = _grown_from_cells(blocks, layout, policy, cells)
-    elif kind != "regression" and (grid := grid_of(blocks, layout)) is not None:
+    elif n_rows >= CELL_TABLE and kind != "regression" and (grid := grid_of(blocks, layout)) is not None:
         trees, state = _grown_on_grid(blocks, layout, policy, grid, n_rows)
     else:
         trees, state = _grown_by_level(blocks.map(lambda b: (b, np.repeat(layout.base[:, :, None], len(b.y), axis=2))), layout, policy)
@@ -650,13 +650,61 @@ class Grid:
         return x.reshape(len(x), -1)
 
 
+def _summed_out(x: np.ndarray, axis: int) -> np.ndarray:
+    """``x.sum(axis=axis)``; along the last two axes products with ones are faster, whatever box ``x`` is of an array."""
+    if axis == x.ndim - 1:
+        return x @ np.ones(x.shape[-1])
+    return np.ones(x.shape[-2]) @ x if axis == x.ndim - 2 else x.sum(axis=axis)
+
+
 def marginals(x: np.ndarray) -> list[np.ndarray]:
     """(2, length) sums along each axis of ``x`` but the first."""
-    out = []
-    while x.ndim > 2:
-        out.append(x.sum(axis=tuple(range(2, x.ndim))))
-        x = x.sum(axis=1)
-    return [*out, x]
+    if x.ndim < 3:
+        return [x] if x.ndim == 2 else []
+    last = _summed_out(x, x.ndim - 2)
+    return [*marginals(_summed_out(x, x.ndim - 1)), last.sum(axis=tuple(range(1, last.ndim - 1)))]
+
+
+class BoxSums:
+    """Sums along each axis of boxes of a (2, places by axis) array.
+
+    An axis along which a box isn't cut is summed out first, for all such boxes at once.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.whole = tuple(range(x.ndim - 1))
+        self.tables, self.sizes, self.held, self.most = {self.whole: x}, x.shape[1:], 0, x.size
+
+    def over(self, axes: tuple[int, ...]) -> np.ndarray:
+        """Sums over all axes but ``axes``, from the smallest table that has them; tables are kept up to the array's own size."""
+        at = min((k for k in self.tables if set(axes) <= set(k)), key=lambda k: self.tables[k].size)
+        x = self.tables[at]
+        while at != axes:
+            out = max(i for i, a in enumerate(at) if a not in axes)
+            x, at = _summed_out(x, out + 1), (*at[:out], *at[out + 1 :])
+            if self.held + x.size <= self.most:
+                self.held += x.size
+                self.tables[at] = x
+        return x
+
+    def box(self, node: tuple) -> list[np.ndarray]:
+        cut = tuple(a for a, n in zip(self.whole, self.sizes, strict=True) if not isinstance(node[a], slice) or node[a] != slice(0, n))
+        own = dict(zip(cut, marginals(self._boxed(node, cut, cut)), strict=True))
+        for a in self.whole:
+            if a not in own:
+                axes = tuple(sorted((*cut, a)))
+                x = self._boxed(node, axes, cut)
+                for i in reversed(range(len(axes))):
+                    x = x if axes[i] == a else _summed_out(x, i + 1)
+                own[a] = x
+        return [own[a] for a in self.whole]
+
+    def _boxed(self, node: tuple, axes: tuple[int, ...], cut: tuple[int, ...]) -> np.ndarray:
+        x = self.over(axes)
+        for i, a in enumerate(axes, 1):
+            if a in cut:
+                x = x[(slice(None),) * i + (node[a],)]
+        return x
 
 
 def grown_over_grid(layout: Layout, fit: int, grid: Grid, margins: np.ndarray, draws: Iterable[tuple[int, np.ndarray]], policy: Boosting) -> tuple[list[Trees], np.ndarray]:
@@ -669,12 +717,12 @@ def grown_over_grid(layout: Layout, fit: int, grid: Grid, margins: np.ndarray, d
             piece = slice(a, a + GRID_PIECE)
             both[0, :, piece], both[1, :, piece] = cell_gradients(layout, fit, margins[:, piece], sums[:, piece])
         for o in range(layout.outputs):
-            own, nodes, depth = both[:, o].reshape(2, *grid.sizes), [tuple(slice(0, n) for n in grid.sizes)], 0
+            own, nodes, depth = BoxSums(both[:, o].reshape(2, *grid.sizes)), [tuple(slice(0, n) for n in grid.sizes)], 0
             while depth < policy.depth:
                 found = np.zeros((2, len(nodes), offsets[-1] + 1))
                 for i, node in enumerate(nodes):
                     if node is not None:
-                        for axis, m in enumerate(marginals(_boxed(own, node))):
+                        for axis, m in enumerate(own.box(node)):
                             a, z = offsets[grid.features[axis] :][:2]
                             found[:, i, a:z][:, node[axis]] = m
                         found[:, i, -1] = m.sum(axis=1)
@@ -691,12 +739,6 @@ def grown_over_grid(layout: Layout, fit: int, grid: Grid, margins: np.ndarray, d
     return trees, margins
 
 
-def _boxed(x: np.ndarray, node: tuple) -> np.ndarray:
-    for axis, at in enumerate(node, 1):
-        x = x[(slice(None),) * axis + (at,)]
-    return x
-
-
 def _children(node: tuple | None, feature: int, cut: int, grid: Grid, n_numeric: int) -> list[tuple | None]:
     """A leaf's left child has all that is in the leaf."""
     if node is None or feature < 0:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.describe import ordered_counts, quantiles
+from tallyframe.operators.describe import ordered_counts, ordered_sums, quantiles
 from tallyframe.shared import kept
 
 
@@ -29,8 +29,8 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """Area under the ROC curve from average ranks of the scores."""
     rows = df.select(truth.cast("int").alias("y"), score.alias("s")).dropna()
-    ranks = ordered_counts(rows, "s").select(F.col("value").alias("s"), (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    s = rows.groupBy("s").agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n")).join(ranks, "s").agg(F.sum(F.col("n1") * F.col("rank")).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    ranked = ordered_sums(rows.groupBy("s").agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n")), "s", "n")
+    s = ranked.agg(F.sum(F.col("n1") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n0 = F.col("n") - F.col("n1")
     some = (F.col("n1") > 0) & (n0 > 0)
     return s.select(F.when(some, (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / F.when(some, F.col("n1") * n0)).alias("roc_auc"))

@@ -18,6 +18,7 @@ def test_grid_agrees_with_a_job_a_level(spark, monkeypatch, kind, target, classe
     df = kept(table(spark).withColumn("_y", F.col(target).cast("double")), "test-grid")
     monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
     monkeypatch.setattr(boosting, "SPREAD_ROWS", 90)  # several slices, and several partitions for some
+    monkeypatch.setattr(boosting, "CELL_TABLE", 100)
     monkeypatch.setattr(boosting, "CELLS", 10)
     monkeypatch.setattr(boosting, "GRID_BYTES", 700)  # a few trees a job
     monkeypatch.setattr(boosting, "GRID_BATCHES", 1)
@@ -55,6 +56,7 @@ def test_a_fit_grows_the_same_over_grid_and_cells(spark, monkeypatch, kind, targ
 
 def test_many_cells_of_classes_take_no_job_a_level(spark, monkeypatch):
     monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
+    monkeypatch.setattr(boosting, "CELL_TABLE", 100)
     monkeypatch.setattr(boosting, "CELLS", 10)
     df = kept(table(spark).withColumn("_y", F.col("three").cast("double")), "test-jobs")
     sc = spark.sparkContext
@@ -80,3 +82,17 @@ def test_places_of_missing_values():
     sums = np.arange(9)[None]
     assert grid.without_missing(sums, np.array([1, 0])).tolist() == [[0, 1, 2, 9, 11, 13]] and sums.tolist() == [list(range(9))]
     assert grid.with_missing(np.arange(6.0)[None], np.array([1, 0])).tolist() == [[0, 1, 2, 3, 4, 5, 3, 4, 5]]
+
+
+def test_sums_of_boxes():
+    x = np.random.default_rng(5).normal(size=(2, 4, 3, 5, 6))
+    sums = boosting.BoxSums(x)
+    whole = [slice(0, n) for n in x.shape[1:]]
+    for cuts in ({}, {2: slice(1, 4)}, {0: slice(1, 2), 3: np.array([0, 2, 5])}, {1: np.array([1]), 2: slice(0, 2), 3: slice(2, 6)}, {0: slice(2, 4), 1: slice(0, 0)}, dict(enumerate([slice(0, 3), slice(1, 3), slice(2, 5), slice(0, 5)]))):
+        node = tuple(cuts.get(a, at) for a, at in enumerate(whole))
+        own = x
+        for a, at in enumerate(node, 1):
+            own = own[(slice(None),) * a + (at,)]
+        want = [own.sum(axis=tuple(b for b in range(1, 5) if b != a)) for a in range(1, 5)]
+        assert all(g.shape == w.shape and np.allclose(g, w, atol=1e-12) for g, w in zip(sums.box(node), want, strict=True))
+    assert sums.held <= x.size
